@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slotflow.checks import slots
+from slotflow.checks import flow, slots
 
-MODULES = [slots]
+MODULES = [slots, flow]
 
 
 def registered() -> dict:

@@ -12,6 +12,7 @@ from slotflow.checks.adapter import (
     present,
     with_sql,
 )
+from slotflow.functions.scoring import present as present_column
 from slotflow.functions.quantiles import series_coefficients, t_table
 from slotflow.operators import slots
 
@@ -20,7 +21,7 @@ CAP = 2  # the plain timeline holds few movements per slot
 
 
 def rounded(df, *cols, digits=4):
-    return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in cols})
+    return df.withColumns({c: present_column(F.col(c), digits) + F.lit(0.0) for c in cols})
 
 
 def bucket(expr: str, minutes: int) -> str:

@@ -38,7 +38,7 @@ def minutes_between(later: Column | str, earlier: Column | str) -> Column:
 
 
 def add_minutes(ts: Column | str, minutes: Column) -> Column:
-    return from_micros(micros(ts) + (minutes * F.lit(MINUTE)).cast("bigint"))
+    return from_micros(micros(ts) + minutes.cast("bigint") * F.lit(MINUTE))
 
 
 def clock_on(ts: Column | str, day: Column) -> Column:
