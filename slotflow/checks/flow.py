@@ -127,8 +127,8 @@ timed AS (SELECT {col}row_id, flight_id, sched_dep, coalesce(dep_delay_min, 0) A
 ahead AS (
   SELECT *, avg(d) OVER w AS mean_d, count(*) OVER w AS n, count(*) FILTER (d > 5) OVER w AS late FROM timed
   WINDOW w AS ({part} ORDER BY sched_dep RANGE BETWEEN INTERVAL 1 MICROSECOND FOLLOWING AND INTERVAL 2 HOUR FOLLOWING))
-SELECT {col}row_id, flight_id AS initiating_flight, round(d, 4) + 0.0 AS initial_delay, sched_dep AS time_window_start,
-       round(least(d * 0.1, mean_d), 4) + 0.0 AS avg_delay_propagation, late AS affected_flights, n AS total_future_flights
+SELECT {col}row_id, flight_id AS initiating_flight, {present('d', 4)} AS initial_delay, sched_dep AS time_window_start,
+       {present('least(d * 0.1, mean_d)', 4)} AS avg_delay_propagation, late AS affected_flights, n AS total_future_flights
 FROM ahead WHERE d > 5 AND n > 0 {limit}""")
 
 

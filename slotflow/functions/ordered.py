@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotflow.functions.times import DAY, MINUTE, from_micros, micros
+from slotflow.functions.times import DAY, MINUTE, floor_div, from_micros, micros
 
 ROW_BIN_BITS = 20  # rows of one instant are cut every 2**20 row ids
 _LAST_BIN = 1 << 62
@@ -42,7 +42,7 @@ def next_rows(
     if bin_micros is None:
         tb, rb = F.coalesce(us, F.lit(_LAST_BIN)), row_bin()
     else:
-        tb = F.coalesce(F.floor(us / F.lit(bin_micros)).cast("bigint"), F.lit(_LAST_BIN))
+        tb = F.coalesce(floor_div(us, bin_micros), F.lit(_LAST_BIN))
         rb = F.when(F.col(time).isNull(), row_bin()).otherwise(F.lit(0).cast("bigint"))
     bins = ["__tb", "__rb"]
     order = [F.col(time).asc_nulls_last(), F.col("row_id")]
@@ -140,7 +140,7 @@ def gap_fill(
     """
     step, block = minutes * MINUTE, 4096
     ahead = Window.partitionBy(*by).orderBy(slot)
-    width = F.coalesce((F.lead(micros(slot)).over(ahead) - micros(slot)) / F.lit(step), F.lit(1.0)).cast("bigint")
+    width = F.coalesce(floor_div(F.lead(micros(slot)).over(ahead) - micros(slot), step), F.lit(1).cast("bigint"))
     first = F.col("__i") == 0
     return (
         slots.withColumn("__n", width)
@@ -199,7 +199,14 @@ def value_stats(counted: DataFrame, keys: Sequence[str], value: str, weight: str
 
 
 def band_sums(
-    df: DataFrame, by: Sequence[str], at: str, low: int, high: int, values: Mapping[str, Column]
+    df: DataFrame,
+    by: Sequence[str],
+    at: str,
+    low: int,
+    high: int,
+    values: Mapping[str, Column],
+    distances: Mapping[str, str] | None = None,
+    unit: int = 1,
 ) -> DataFrame:
     """Sums over the time band [at + low, at + high] for every instant ``at`` (micros).
 
@@ -208,31 +215,40 @@ def band_sums(
     band is always the end of one bin plus the start of the next, and both parts are
     running sums. No pairs are formed and no task holds more than one (by, bin).
     Returns one row per (by, at) with each sum (0 when the band is empty).
+
+    ``distances`` maps a new name to a value name v and adds the sum of v * (at - t)
+    over the band, in ``unit`` micros. Offsets are taken from the bin start, which
+    keeps the arithmetic exact where epoch-sized products would lose digits.
     """
     width = high - low + 1
-    names = list(values)
+    names, moments = list(values), dict(distances or {})
     cells = df.filter(F.col(at).isNotNull()).groupBy(*by, at).agg(*[F.sum(v).alias(n) for n, v in values.items()])
-    bin_of = lambda t: F.floor(t / F.lit(width)).cast("bigint")
+    bin_of = lambda t: floor_div(t, width)
     t = F.col(at)
-    blank = [F.lit(None).cast("double").alias(n) for n in names]
 
-    def mark(kind: int, when: Column, vals: Sequence[Column]) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), bin_of(when).alias("bin"), when.alias("pos"), *vals)
+    def mark(kind: int, when: Column) -> Column:
+        held = [(F.col(n) if kind == 0 else F.lit(None)).cast("double").alias(n) for n in names]
+        return F.struct(F.lit(kind).alias("kind"), bin_of(when).alias("bin"), when.alias("pos"), *held)
 
     marks = F.array(
-        mark(0, t, [F.col(n).cast("double").alias(n) for n in names]),
-        mark(1, t + F.lit(low), blank),
+        mark(0, t),
+        mark(1, t + F.lit(low)),
         # an aligned band is one whole bin: the mark above already covers it
-        F.when(bin_of(t + F.lit(low)) != bin_of(t + F.lit(high)), mark(2, t + F.lit(high), blank)),
+        F.when(bin_of(t + F.lit(low)) != bin_of(t + F.lit(high)), mark(2, t + F.lit(high))),
     )
     swept = cells.select(*by, t, F.explode(F.array_compact(marks)).alias("m")).select(*by, at, "m.*")
     lane = Window.partitionBy(*by, "bin")
     head = lane.orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     tail = lane.orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    part = lambda c: F.when(F.col("kind") == 1, F.sum(c).over(tail)).otherwise(F.sum(c).over(head))
+    offset = lambda c: (F.col(c) - F.col("bin") * F.lit(width)) / F.lit(float(unit))
     parts = swept.select(
         *by,
         at,
         "kind",
-        *[F.when(F.col("kind") == 1, F.sum(n).over(tail)).otherwise(F.sum(n).over(head)).alias(n) for n in names],
+        *[part(F.col(n)).alias(n) for n in names],
+        *[(offset(at) * part(F.col(n)) - part(offset("pos") * F.col(n))).alias(m) for m, n in moments.items()],
     ).filter(F.col("kind") > 0)
-    return parts.groupBy(*by, at).agg(*[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names])
+    return parts.groupBy(*by, at).agg(
+        *[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in [*names, *moments]]
+    )

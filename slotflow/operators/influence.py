@@ -70,35 +70,54 @@ def dependency_edges(df: DataFrame, slot_min: int = 5, by: Sequence[str] = ()) -
     )
 
 
-def effective_edges(edges: DataFrame) -> DataFrame:
-    """One weight per pair: the later kind wins, crew links take the pair away."""
+def _kind_rank() -> Column:
     rank = F.lit(0)
     for kind, place in KIND_RANK.items():
         rank = F.when(F.col("kind") == kind, place).otherwise(rank)
+    return rank
+
+
+def effective_edges(edges: DataFrame) -> DataFrame:
+    """One weight per pair: the later kind wins, crew links take the pair away."""
     return (
         edges.filter(~F.col("crew_linked"))
         .groupBy("src", "dst")
-        .agg(F.max_by("weight", rank).alias("weight"), F.max_by("kind", rank).alias("kind"))
+        .agg(F.max_by("weight", _kind_rank()).alias("weight"), F.max_by("kind", _kind_rank()).alias("kind"))
     )
 
 
-def _crew_band(points: DataFrame, by: Sequence[str], incoming: bool, values: dict[str, Column]) -> DataFrame:
-    """Sums over a movement's crew partners: earlier ones when ``incoming``, else later ones."""
-    low, high = CREW_FROM_H * HOUR, CREW_TO_H * HOUR
-    reach = (-high, -low) if incoming else (low, high)
-    return band_sums(points.filter(F.col("carrier").isNotNull()), [*by, "carrier"], "__t", *reach, values)
+def _links(edges: DataFrame, incoming: bool) -> DataFrame:
+    """(row_id, links): the at most five explicit edges along which a movement passes weight on.
+
+    Pairs linked by several kinds keep the later kind; this is settled inside the
+    small array, so one shuffle both groups and deduplicates.
+    """
+    here, there = ("src", "dst") if incoming else ("dst", "src")
+    entry = F.struct(F.col(there).alias("to"), _kind_rank().alias("rank"), "weight")
+    beaten = lambda x, all_: F.exists(all_, lambda y: (y["to"] == x["to"]) & (y["rank"] > x["rank"]))
+    return (
+        edges.filter(~F.col("crew_linked"))
+        .groupBy(F.col(here).alias("row_id"))
+        .agg(F.collect_list(entry).alias("__e"))
+        .select("row_id", F.filter("__e", lambda x: ~beaten(x, F.col("__e"))).alias("links"))
+    )
 
 
-def _crew_weight_sum(total: Column, moment: Column, incoming: bool) -> Column:
-    """Sum of weight x value over partners from sum(value) and sum(hours x value).
+def _crew_sums(points: DataFrame, by: Sequence[str], incoming: bool, value: Column) -> DataFrame:
+    """(by, carrier, __t, __n, __w): sum of ``value`` and of weight x value over crew partners.
 
-    The weight falls linearly with the gap, 0.4 at two hours to 0 at six, so the sum
-    over all partners needs only these two sums, never the partners themselves.
+    Partners are earlier movements when ``incoming``, else later ones. The weight falls
+    linearly with the gap, 0.4 at two hours to 0 at six, so the weighted sum needs only
+    the plain sum and the sum of gaps, never the partners themselves.
     """
+    low, high = CREW_FROM_H * HOUR, CREW_TO_H * HOUR
+    reach, sign = ((-high, -low), 1.0) if incoming else ((low, high), -1.0)
     slope = CREW_WEIGHT / (CREW_TO_H - CREW_FROM_H)
-    hours = F.col("__t") / F.lit(float(HOUR))
-    gaps = hours * total - moment if incoming else moment - hours * total
-    return F.lit(CREW_WEIGHT + slope * CREW_FROM_H) * total - F.lit(slope) * gaps
+    sums = band_sums(
+        points.filter(F.col("carrier").isNotNull()), [*by, "carrier"], "__t", *reach, {"__n": value}, {"__gap": "__n"}, HOUR
+    )
+    weighted = F.lit(CREW_WEIGHT + slope * CREW_FROM_H) * F.col("__n") - F.lit(slope * sign) * F.col("__gap")
+    return sums.select(*by, "carrier", "__t", "__n", weighted.alias("__w"))
 
 
 def crew_links(df: DataFrame, incoming: bool = True, by: Sequence[str] = ()) -> DataFrame:
@@ -108,53 +127,45 @@ def crew_links(df: DataFrame, incoming: bool = True, by: Sequence[str] = ()) ->
     (``incoming``) or later.
     """
     points = df.select(*by, "row_id", "carrier", micros("sched_dep").alias("__t"))
-    hours = F.col("__t") / F.lit(float(HOUR))
-    sums = _crew_band(points, by, incoming, {"__n": F.lit(1), "__h": hours})
-    weight = _crew_weight_sum(F.col("__n"), F.col("__h"), incoming)
+    sums = _crew_sums(points, by, incoming, F.lit(1))
     return points.join(sums, [*by, "carrier", "__t"]).select(
-        *by, "row_id", F.col("__n").cast("bigint").alias("links"), weight.alias("weight_sum")
+        *by, "row_id", F.col("__n").cast("bigint").alias("links"), F.col("__w").alias("weight_sum")
     )
 
 
 def propagate(
-    nodes: DataFrame,
-    edges: DataFrame,
-    steps: int,
-    decay: float,
-    direction: str = "incoming",
-    by: Sequence[str] = (),
+    df: DataFrame, steps: int, decay: float, direction: str = "incoming", by: Sequence[str] = ()
 ) -> DataFrame:
-    """(by, row_id, reach): sum over k of decay^k times the k-step path weight of a movement.
+    """(row_id, reach): sum over k of decay^k times the k-step path weight of a movement.
 
-    Each step sends the current weight along the bounded explicit edges (equi join)
-    and along the implicit crew links (two sliding sums per carrier). The step result
-    is written to the checkpoint folder, so neither plan nor recomputation grows with
-    the steps; the edges are written once, partitioned by the join key.
+    Each movement carries its few explicit edges, so a step sends weight along them
+    without a join; crew links are two sliding sums per carrier. The step result is
+    written to the checkpoint folder: neither the plan nor a recomputation after a
+    lost executor grows with the steps.
     """
     if direction not in ("incoming", "outgoing"):
         raise ValueError(f"direction must be 'incoming' or 'outgoing', not {direction!r}")
     incoming = direction == "incoming"
-    origin, target = ("src", "dst") if incoming else ("dst", "src")
-    links = cut_lineage(
-        edges.select(F.col(origin).alias("row_id"), F.col(target).alias("to"), "weight").repartition("row_id")
+    carried = [*by, "row_id", "carrier", "__t", "links"]
+    state = (
+        df.select(*by, "row_id", "carrier", micros("sched_dep").alias("__t"))
+        .join(_links(dependency_edges(df, 5, by), incoming), "row_id", "left")
+        .select(*carried, F.lit(1.0).alias("s"), F.lit(0.0).alias("reach"))
     )
-    points = cut_lineage(nodes.select(*by, "row_id", "carrier", micros("sched_dep").alias("__t")))
-    hours = F.col("__t") / F.lit(float(HOUR))
-    crew_points = points.filter(F.col("carrier").isNotNull() & F.col("__t").isNotNull())
-
-    state = points.select("row_id", F.lit(1.0).alias("s"), F.lit(0.0).alias("reach"))
     factor = decay
     for _ in range(steps):
-        live = state.filter(F.col("s") != 0).select("row_id", "s")
-        direct = links.join(live, "row_id").select(F.col("to").alias("row_id"), (F.col("weight") * F.col("s")).alias("s"))
-        weighted = crew_points.join(live, "row_id")
-        sums = _crew_band(weighted, by, incoming, {"__n": F.col("s"), "__h": hours * F.col("s")})
-        crew_value = _crew_weight_sum(F.col("__n"), F.col("__h"), incoming)
-        crew = crew_points.join(sums, [*by, "carrier", "__t"]).select("row_id", crew_value.alias("s"))
-        held = state.select("row_id", F.lit(0.0).alias("s"), "reach")
-        moved = direct.unionByName(crew).withColumn("reach", F.col("s") * F.lit(factor))
-        state = cut_lineage(
-            held.unionByName(moved).groupBy("row_id").agg(F.sum("s").alias("s"), F.sum("reach").alias("reach"))
+        state = cut_lineage(state)
+        sending = state.filter(F.col("s") != 0)
+        direct = sending.select("s", F.explode("links").alias("e")).select(
+            F.col("e.to").alias("row_id"), (F.col("e.weight") * F.col("s")).alias("gain")
+        )
+        crewed = [*by, "carrier", "__t"]
+        sums = _crew_sums(sending.select(*crewed, "s"), by, incoming, F.col("s"))
+        crew = state.select("row_id", *crewed).join(sums, crewed).select("row_id", F.col("__w").alias("gain"))
+        gained = direct.unionByName(crew).groupBy("row_id").agg(F.sum("gain").alias("gain"))
+        gain = F.coalesce(F.col("gain"), F.lit(0.0))
+        state = state.join(gained, "row_id", "left").select(
+            *carried, gain.alias("s"), (F.col("reach") + gain * F.lit(factor)).alias("reach")
         )
         factor *= decay
     return state.select("row_id", "reach")
@@ -182,9 +193,7 @@ def movement_influence(
 ) -> DataFrame:
     """Influence per movement (row), before the roll-up by flight id."""
     scoped = scope_airport(df, airport, "any")
-    reach = propagate(
-        scoped, effective_edges(dependency_edges(scoped, 5, by)), steps, decay_factor, direction, by
-    )
+    reach = propagate(scoped, steps, decay_factor, direction, by)
     b = F.col("direct_impact")
     return (
         scoped.select(*by, "row_id", "flight_id", _base_delay(scoped, base_delay_col).alias("direct_impact"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotflow.functions.scoring import PEAK_HOURS, move_priority, relief_score
-from slotflow.functions.times import MINUTE, add_minutes, from_micros, micros, slot_start
+from slotflow.functions.times import MINUTE, add_minutes, floor_div, from_micros, micros, slot_start
 from slotflow.operators.scope import schedule_time, scope_airport, with_group_stats
 from slotflow.operators.slots import slot_counts
 
@@ -43,8 +43,8 @@ def _islands(slots: DataFrame, keys: Sequence[str], window_min: int) -> DataFram
     along = Window.partitionBy(*keys).orderBy("pos")  # slot rows: bounded by the calendar
     run = Window.partitionBy(*keys, "__run")
     full = (
-        slots.withColumn("pos", F.floor(micros("slot_start") / F.lit(window_min * MINUTE)).cast("bigint"))
-        .withColumn("reach", F.floor(F.col("max_shift") / window_min).cast("bigint"))
+        slots.withColumn("pos", floor_div(micros("slot_start"), window_min * MINUTE))
+        .withColumn("reach", floor_div(F.col("max_shift"), window_min))
         .filter((F.col("movements") >= F.col("cap")) & (F.col("reach") > 0))
         .withColumn("__run", F.col("pos") - F.row_number().over(along))
         .withColumns({"__from": F.min("pos").over(run), "__to": F.max("pos").over(run)})
@@ -105,7 +105,7 @@ def plan_moves(slots: DataFrame, window_min: int, keys: Sequence[str] = ()) -> D
     ).distinct()
     counts = slots.select(
         *keys,
-        F.floor(micros("slot_start") / F.lit(window_min * MINUTE)).cast("bigint").alias("pos"),
+        floor_div(micros("slot_start"), window_min * MINUTE).alias("pos"),
         "movements",
     )
     rows = around.join(counts, [*keys, "pos"], "left").withColumn(
