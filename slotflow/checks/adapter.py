@@ -100,3 +100,113 @@ def with_sql(body: str, views: str = MOVEMENTS_SQL) -> str:
 def present(expr: str, digits: int) -> str:
     """SQL twin of the display rounding: decimal, so that ties go away from zero."""
     return f"(CAST(round(CAST(round({expr}, 9) AS DECIMAL(30, 9)), {digits}) AS DOUBLE) + 0.0)"
+
+
+# ---- raw text forms -----------------------------------------------------------------
+
+RAW_HEADERS = ["Date", "Airline", "Flight No", "From", "To", "Tail", "Gate", "STD", "ATD", "STA", "ATA"]
+_SPARK_FORMATS = ["HH:mm", "HH:mm:ss", "hh:mm a", "hh:mm:ss a", "dd/MM/yyyy HH:mm", "yyyy-MM-dd HH:mm:ss"]
+_SQL_FORMATS = ["%H:%M", "%H:%M:%S", "%I:%M %p", "%I:%M:%S %p", "%d/%m/%Y %H:%M", "%Y-%m-%d %H:%M:%S"]
+
+
+def raw_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Movements written as untidy text: mixed time formats, sparse dates, null marks."""
+    def time(column: str, offset: int) -> str:
+        cases = " ".join(
+            f"WHEN {i} THEN date_format({column}, '{p}')" for i, p in enumerate(_SPARK_FORMATS)
+        )
+        return f"CASE WHEN row_id % 13 = {offset} THEN 'nan' ELSE CASE (row_id + {offset}) % 6 {cases} END END"
+
+    return movements(spark, sf_dir).selectExpr(
+        "row_id",
+        "concat('schedule-', CAST(row_id % 3 AS STRING), '.csv') AS source_file",
+        "CASE WHEN row_id % 4 = 0 THEN date_format(sched_dep, 'dd/MM/yyyy') END AS `Date`",
+        "CASE WHEN row_id % 13 = 5 THEN ' nan' ELSE lower(carrier) END AS `Airline`",
+        "CASE row_id % 3 WHEN 0 THEN flight_number || '.0' WHEN 1 THEN carrier || ' ' || flight_number ELSE flight_number END"
+        " AS `Flight No`",
+        "origin AS `From`",
+        "destination AS `To`",
+        "tail_number AS `Tail`",
+        "gate AS `Gate`",
+        f"{time('sched_dep', 0)} AS `STD`",
+        f"{time('act_dep', 1)} AS `ATD`",
+        f"{time('sched_arr', 2)} AS `STA`",
+        f"{time('act_arr', 3)} AS `ATA`",
+    )
+
+
+def _raw_time_sql(column: str, offset: int) -> str:
+    cases = " ".join(f"WHEN {i} THEN strftime({column}, '{p}')" for i, p in enumerate(_SQL_FORMATS))
+    return f"CASE WHEN row_id % 13 = {offset} THEN 'nan' ELSE CASE (row_id + {offset}) % 6 {cases} END END"
+
+
+RAW_SQL = f"""{MOVEMENTS_SQL},
+raw AS (
+  SELECT row_id, 'schedule-' || (row_id % 3) || '.csv' AS source_file,
+         CASE WHEN row_id % 4 = 0 THEN strftime(sched_dep, '%d/%m/%Y') END AS "Date",
+         CASE WHEN row_id % 13 = 5 THEN ' nan' ELSE lower(carrier) END AS "Airline",
+         CASE row_id % 3 WHEN 0 THEN flight_number || '.0' WHEN 1 THEN carrier || ' ' || flight_number ELSE flight_number END AS "Flight No",
+         origin AS "From", destination AS "To", tail_number AS "Tail", gate AS "Gate",
+         {_raw_time_sql('sched_dep', 0)} AS "STD", {_raw_time_sql('act_dep', 1)} AS "ATD",
+         {_raw_time_sql('sched_arr', 2)} AS "STA", {_raw_time_sql('act_arr', 3)} AS "ATA"
+  FROM movements)"""
+
+# a sheet holds 60 movements: three blocks of 20 with their own column order, or, in
+# every fifth sheet, one block whose header row uses none of the header words
+BLOCK_ORDERS = [
+    RAW_HEADERS,
+    RAW_HEADERS[::-1],
+    RAW_HEADERS[3:] + RAW_HEADERS[:3],
+]
+PLAIN_HEADERS = ["Flight Date", "Airline", "Fl.No", "Src", "Dest", "Tail Number", "Stand No", "Sched Dep", "Actual Dep", "Sched Arr", "Actual Arr"]
+
+
+def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets as rows of cells, with title rows, repeated headers and permuted columns."""
+    raw = raw_movements(spark, sf_dir)
+    sheet_no, r = F.expr("row_id div 60"), F.col("row_id") % 60
+    block, plain = F.expr("(row_id % 60) div 20"), sheet_no % 5 == 4
+
+    def row(index, cells):
+        return F.struct(index.cast("bigint").alias("row_idx"), cells.alias("cells"))
+
+    def texts(values):
+        return F.array(*[F.lit(v).cast("string") for v in values])
+
+    def by_block(build):
+        return F.when(block == 0, build(BLOCK_ORDERS[0])).when(block == 1, build(BLOCK_ORDERS[1])).otherwise(
+            build(BLOCK_ORDERS[2])
+        )
+
+    values = by_block(lambda order: F.array(*[F.col(f"`{h}`") for h in order]))
+    plain_values = F.array(*[F.col(f"`{h}`") for h in RAW_HEADERS])
+    blocks = F.concat(
+        F.when(r == 0, F.array(row(F.lit(0), texts(["Schedule", None, "draft"])))).otherwise(F.array()),
+        F.when(r % 20 == 0, F.array(row(1 + block * 21, by_block(texts)))).otherwise(F.array()),
+        F.array(row(2 + block * 21 + r % 20, values)),
+    )
+    flat = F.concat(
+        F.when(r == 0, F.array(row(F.lit(0), texts(PLAIN_HEADERS)))).otherwise(F.array()),
+        F.array(row(1 + r, plain_values)),
+    )
+    return raw.select(
+        F.concat(F.lit("book-"), (sheet_no % 4).cast("string")).alias("source_file"),
+        F.concat(F.lit("sheet-"), sheet_no.cast("string")).alias("sheet"),
+        F.explode(F.when(plain, flat).otherwise(blocks)).alias("c"),
+    ).select("source_file", "sheet", "c.row_idx", "c.cells")
+
+
+_LISTS = [", ".join(f'"{h}"' for h in order) for order in BLOCK_ORDERS]
+_HEADS = ["[" + ", ".join(f"'{h}'" for h in order) + "]" for order in [*BLOCK_ORDERS, PLAIN_HEADERS]]
+CELLS_SQL = f"""{RAW_SQL},
+placed AS (SELECT *, row_id // 60 AS sheet_no, row_id % 60 AS r, (row_id % 60) // 20 AS block, (row_id // 60) % 5 = 4 AS plain FROM raw),
+parts AS (
+  SELECT sheet_no, 0 AS row_idx, ['Schedule', NULL, 'draft'] AS cells FROM placed WHERE r = 0 AND NOT plain
+  UNION ALL SELECT sheet_no, 1 + block * 21, CASE block WHEN 0 THEN {_HEADS[0]} WHEN 1 THEN {_HEADS[1]} ELSE {_HEADS[2]} END
+            FROM placed WHERE r % 20 = 0 AND NOT plain
+  UNION ALL SELECT sheet_no, 2 + block * 21 + r % 20,
+                   CASE block WHEN 0 THEN [{_LISTS[0]}] WHEN 1 THEN [{_LISTS[1]}] ELSE [{_LISTS[2]}] END FROM placed WHERE NOT plain
+  UNION ALL SELECT sheet_no, 0, {_HEADS[3]} FROM placed WHERE r = 0 AND plain
+  UNION ALL SELECT sheet_no, 1 + r, [{_LISTS[0]}] FROM placed WHERE plain),
+cell_rows AS (
+  SELECT 'book-' || (sheet_no % 4) AS source_file, 'sheet-' || sheet_no AS sheet, CAST(row_idx AS BIGINT) AS row_idx, cells FROM parts)"""

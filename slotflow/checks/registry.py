@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slotflow.checks import flow, slots
+from slotflow.checks import flow, records, slots
 
-MODULES = [slots, flow]
+MODULES = [slots, flow, records]
 
 
 def registered() -> dict:

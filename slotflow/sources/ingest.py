@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from slotflow.functions.ordered import fill_forward
 from slotflow.functions.text import clean_token, flight_id
 from slotflow.functions.times import minutes_between, parse_day, resolve_time
-from slotflow.schema import MOVEMENT_SCHEMA, conform
+from slotflow.schema import MOVEMENT_SCHEMA
 from slotflow.sources.columns import detect_columns
 from slotflow.sources.sinks import write_movements
-from slotflow.sources.tables import read_blocks, read_csv, read_csv_robust, read_movements
+from slotflow.sources.tables import read_blocks, read_csv_robust, read_movements
 
 _PLAIN = ("origin", "destination", "carrier", "flight_number", "tail_number", "runway", "gate", "airport")
 _TIMES = ("sched_dep", "act_dep", "sched_arr", "act_arr")
@@ -93,15 +93,3 @@ def ingest(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
 def run_ingest(spark: SparkSession, path: str, out_path: str, fmt: str | None = None) -> str:
     """Ingest and write parquet partitioned by date."""
     return write_movements(ingest(spark, path, fmt), out_path)
-
-
-__all__ = [
-    "compute_basic_features",
-    "conform",
-    "ingest",
-    "normalise_times",
-    "read_and_normalize",
-    "read_csv",
-    "run_ingest",
-    "to_movements",
-]
