@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slotflow.checks import flow, records, slots
+from slotflow.checks import flow, planning, records, slots
 
-MODULES = [slots, flow, records]
+MODULES = [slots, flow, records, planning]
 
 
 def registered() -> dict:

@@ -67,7 +67,7 @@ def _fill_island(rows: pd.DataFrame, keys: list[str], window_min: int) -> pd.Dat
     cap, max_shift = int(rows["cap"].iat[0]), float(rows["max_shift"].iat[0])
     reach, per_day = int(rows["reach"].iat[0]), 1440 // window_min
     out = []
-    for pos in sorted(p for p, n in count.items() if n > cap):
+    for pos in sorted(rows.loc[rows["own"], "pos"].tolist()):
         offers = []
         for step in range(1, reach + 1):
             for shift in (-step, step):
@@ -100,9 +100,12 @@ def plan_moves(slots: DataFrame, window_min: int, keys: Sequence[str] = ()) -> D
     """
     keys = list(keys)
     over = _islands(slots, keys, window_min)
-    around = over.select(
-        *keys, "island", "cap", "max_shift", "reach", F.explode(F.expr("sequence(pos - reach, pos + reach)")).alias("pos")
-    ).distinct()
+    reached = over.select(
+        *keys, "island", "cap", "max_shift", "reach", "pos", F.explode(F.expr("sequence(pos - reach, pos + reach)")).alias("at")
+    )
+    around = reached.groupBy(*keys, "island", F.col("at").alias("pos"), "cap", "max_shift", "reach").agg(
+        F.bool_or(F.col("at") == F.col("pos")).alias("own")
+    )
     counts = slots.select(
         *keys,
         floor_div(micros("slot_start"), window_min * MINUTE).alias("pos"),
