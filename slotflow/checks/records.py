@@ -28,11 +28,11 @@ def clean_tokens(spark, sf):
 
 
 def parse_times(spark, sf):
-    raw = raw_movements(spark, sf)
+    raw = raw_movements(spark, sf).withColumn("parts", times.time_parts(F.col("STD")))
     return raw.select(
         "row_id",
-        (times.parse_clock(F.col("STD")) / 1_000_000).cast("bigint").alias("clock_s"),
-        times.parse_datetime(F.col("STD")).alias("full_time"),
+        (times.clock_time(F.col("parts")) / 1_000_000).cast("bigint").alias("clock_s"),
+        times.full_time(F.col("parts")).alias("full_time"),
         times.parse_day(F.col("Date")).alias("day"),
     )
 

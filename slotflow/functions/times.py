@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MINUTE = 60_000_000
@@ -54,24 +56,51 @@ def clock_on(ts: Column | str, day: Column) -> Column:
 
 # ---- text to time -----------------------------------------------------------------
 
-_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?)\d*)?\s*([AaPp][Mm])?"
-_CLOCK_ONLY = rf"^\s*{_CLOCK}\s*$"
-_ISO_DAY = r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:$|[T\s])"
-_DAY_FIRST = r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?:$|\s)"
-_NAMED_MONTH = r"(?i)^\s*(\d{1,2})[-/ ](jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[-/ ,]+(\d{4}|\d{2})(?:$|\s)"
-_TRAILING_CLOCK = rf"[T\s]{_CLOCK}Z?\s*$"
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
+# one pass over the text: Y-M-D, D-M-Y or D-Mon-Y, then an optional clock
+_LAYOUT = (
+    r"(?i)^\s*(?:(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})|(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})"
+    rf"|(\d{{1,2}})[-/ ]({_MONTHS.replace(' ', '|')})[a-z]*[-/ ,]+(\d{{4}}|\d{{2}}))?"
+    r"(?:(?:^|(?<=\d)[T\s]+)\s*(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?)\d*)?\s*([AP]M)?)?Z?\s*$"
+)
+_PARTS = ["y1", "m1", "d1", "d2", "m2", "y2", "d3", "mon", "y3", "hour", "minute", "second", "half"]
+_MARK = "#" + ",".join(f"${i + 1}" for i in range(len(_PARTS)))
+
+
+def time_parts(text: Column) -> Column:
+    """The pieces of a date or time text, in a fixed order; NULL when the layout is unknown."""
+    marked = F.regexp_replace(text, _LAYOUT, _MARK)
+    return F.when(F.startswith(marked, F.lit("#")), F.split(F.substring(marked, 2, 1 << 20), ",", -1))
+
+
+def _piece(parts: Column, name: str) -> Column:
+    return F.get(parts, F.lit(_PARTS.index(name)))
+
+
+def _number(parts: Column, name: str) -> Column:
+    return _piece(parts, name).try_cast("int")
+
 
+def day_of(parts: Column) -> Column:
+    """Calendar day: Y-M-D as written, otherwise day first; impossible days give NULL."""
+    year = F.coalesce(*[_number(parts, c) for c in ("y1", "y2", "y3")])
+    mon = F.lower(_piece(parts, "mon"))
+    named = F.when(mon != "", F.call_function("div", F.instr(F.lit(_MONTHS), mon) - 1, F.lit(4)) + 1)
+    month = F.coalesce(_number(parts, "m1"), _number(parts, "m2"), named)
+    day = F.coalesce(*[_number(parts, c) for c in ("d1", "d2", "d3")])
+    full = F.when(year < 70, year + 2000).when(year < 100, year + 1900).otherwise(year)
+    return F.format_string("%04d-%02d-%02d", full, month, day).try_cast("date")
 
-def _part(text: Column, pattern: str, group: int) -> Column:
-    """A capture group as an integer, NULL when the pattern does not match."""
-    return F.regexp_extract(text, pattern, group).try_cast("int")
 
+def has_day(parts: Column) -> Column:
+    return (_piece(parts, "y1") != "") | (_piece(parts, "y2") != "") | (_piece(parts, "y3") != "")
 
-def _clock_micros(text: Column, pattern: str) -> Column:
-    hour, minute = _part(text, pattern, 1), _part(text, pattern, 2)
-    second = F.coalesce(F.regexp_extract(text, pattern, 3).try_cast("decimal(8,6)"), F.lit(0))
-    half = F.lower(F.regexp_extract(text, pattern, 4))
+
+def clock_of(parts: Column) -> Column:
+    """Microseconds of day (24 h or 12 h), NULL without a valid clock."""
+    hour, minute = _number(parts, "hour"), _number(parts, "minute")
+    second = F.coalesce(_piece(parts, "second").try_cast("decimal(8,6)"), F.lit(0))
+    half = F.lower(_piece(parts, "half"))
     on_12 = half != ""
     valid = (minute < 60) & (second < 60) & F.when(on_12, hour.between(1, 12)).otherwise(hour < 24)
     hour24 = F.when(on_12, hour % 12 + F.when(half == "pm", 12).otherwise(0)).otherwise(hour)
@@ -79,41 +108,29 @@ def _clock_micros(text: Column, pattern: str) -> Column:
     return F.when(valid, whole + (second * 1_000_000).cast("bigint"))
 
 
-def is_clock_only(text: Column) -> Column:
-    return text.rlike(_CLOCK_ONLY)
+def full_time(parts: Column) -> Column:
+    """Date-time of a text with a day (midnight without a clock)."""
+    of_day = F.when(_piece(parts, "hour") == "", F.lit(0).cast("bigint")).otherwise(clock_of(parts))
+    return F.when(has_day(parts), from_micros(micros(day_of(parts).cast("timestamp_ntz")) + of_day))
 
 
-def parse_day(text: Column) -> Column:
-    """Calendar day at the start of a text: Y-M-D always, otherwise day first."""
-
-    def build(year: Column, month: Column, day: Column) -> Column:
-        full = F.when(year < 70, year + 2000).when(year < 100, year + 1900).otherwise(year)
-        return F.concat_ws("-", F.lpad(full.cast("string"), 4, "0"), month.cast("string"), day.cast("string")).try_cast(
-            "date"
-        )
-
-    month_name = F.lower(F.regexp_extract(text, _NAMED_MONTH, 2))
-    month_no = F.floor((F.instr(F.lit(_MONTHS), month_name) - 1) / 4).cast("int") + 1
-    return (
-        F.when(text.rlike(_ISO_DAY), build(*[_part(text, _ISO_DAY, i) for i in (1, 2, 3)]))
-        .when(text.rlike(_DAY_FIRST), build(*[_part(text, _DAY_FIRST, i) for i in (3, 2, 1)]))
-        .when(text.rlike(_NAMED_MONTH), build(_part(text, _NAMED_MONTH, 3), month_no, _part(text, _NAMED_MONTH, 1)))
-    )
+def clock_time(parts: Column) -> Column:
+    """Microseconds of day of a text that is a clock only."""
+    return F.when(~has_day(parts), clock_of(parts))
 
 
-def parse_clock(text: Column) -> Column:
-    """Microseconds of day of a clock-only text (24 h or 12 h), else NULL."""
-    return F.when(is_clock_only(text), _clock_micros(text, _CLOCK_ONLY))
+def parse_day(text: Column) -> Column:
+    return F.when(has_day(time_parts(text)), day_of(time_parts(text)))
 
 
-def parse_datetime(text: Column) -> Column:
-    """Full date-time (midnight when the text holds only a day); junk gives NULL."""
-    day = F.when(~is_clock_only(text), parse_day(text))
-    of_day = F.when(text.contains(":"), _clock_micros(text, _TRAILING_CLOCK)).otherwise(F.lit(0).cast("bigint"))
-    return from_micros(micros(day.cast("timestamp_ntz")) + of_day)
+def resolved(parts: Column, day: Column) -> Column:
+    """A full date-time as written, or the clock placed on ``day``."""
+    return F.coalesce(full_time(parts), from_micros(micros(day.cast("timestamp_ntz")) + clock_time(parts)))
 
 
-def resolve_time(text: Column, day: Column) -> Column:
-    """A full date-time as written, or the clock placed on ``day``."""
-    on_day = from_micros(micros(day.cast("timestamp_ntz")) + parse_clock(text))
-    return F.coalesce(parse_datetime(text), on_day)
+def resolve_times(df: DataFrame, columns: Sequence[str], day: str) -> DataFrame:
+    """Replace text columns by timestamps; each text is taken apart once."""
+    split = df.withColumns({f"__{c}": time_parts(F.col(c)) for c in columns})
+    return split.withColumns({c: resolved(F.col(f"__{c}"), F.col(day)) for c in columns}).drop(
+        *[f"__{c}" for c in columns]
+    )

@@ -3,7 +3,7 @@
 The cost of a move depends only on the slots involved, and a full slot is never a
 target. So an overloaded slot simply fills its open neighbours in cost order, and
 overloaded slots that cannot reach a common open slot do not affect each other. The
-sequential part therefore runs on slot rows, one small island per task group; the
+sequential part therefore runs on slot rows, whole islands per task group; the
 movements themselves are only ranked and joined.
 """
 
@@ -29,16 +29,18 @@ OBJECTIVES = {
 }
 TOP_MOVES = 50
 
+_BATCH = 1000  # overloaded slots per Python call, rounded up to whole islands
 _SALTS = 64
 _GROUP_LIMIT = 1000  # up to here Spark itself trims each group before the shuffle
 
 
-def _islands(slots: DataFrame, keys: Sequence[str], window_min: int) -> DataFrame:
-    """(keys, island, pos, cap, max_shift, reach) of the overloaded slots.
+def _batches(slots: DataFrame, keys: Sequence[str], window_min: int) -> DataFrame:
+    """(keys, batch, pos, cap, max_shift, reach) of the overloaded slots.
 
     ``pos`` is the slot number on the time axis. Two neighbouring overloaded slots
     are in one island unless they are too far apart for a common target, or every
-    slot both could reach is full.
+    slot both could reach is full. Whole islands are packed into batches, so that
+    one Python call handles many short islands.
     """
     along = Window.partitionBy(*keys).orderBy("pos")  # slot rows: bounded by the calendar
     run = Window.partitionBy(*keys, "__run")
@@ -53,16 +55,18 @@ def _islands(slots: DataFrame, keys: Sequence[str], window_min: int) -> DataFram
     before, reach = F.lag("pos").over(along), F.col("reach")
     gap = F.col("pos") - before
     saturated = (gap <= reach) & (F.col("__from") <= F.col("pos") - reach) & (F.col("__to") >= before + reach)
-    starts = F.when(before.isNull() | (gap > 2 * reach) | saturated, 1).otherwise(0)
+    starts = before.isNull() | (gap > 2 * reach) | saturated
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    island_start = F.max(F.when(F.col("__starts"), F.col("__nth"))).over(upto)
     return (
-        over.withColumn("__starts", starts)
-        .withColumn("island", F.sum("__starts").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        .select(*keys, "island", "pos", "cap", "max_shift", "reach")
+        over.withColumns({"__starts": starts, "__nth": F.row_number().over(along)})
+        .withColumn("batch", floor_div(island_start, _BATCH))
+        .select(*keys, "batch", "pos", "cap", "max_shift", "reach")
     )
 
 
-def _fill_island(rows: pd.DataFrame, keys: list[str], window_min: int) -> pd.DataFrame:
-    """Moves of one island: each overloaded slot, in time order, fills its cheapest open targets."""
+def _fill_batch(rows: pd.DataFrame, keys: list[str], window_min: int) -> pd.DataFrame:
+    """Moves of some islands: each overloaded slot, in time order, fills its cheapest open targets."""
     count = dict(zip(rows["pos"].tolist(), rows["movements"].tolist()))
     cap, max_shift = int(rows["cap"].iat[0]), float(rows["max_shift"].iat[0])
     reach, per_day = int(rows["reach"].iat[0]), 1440 // window_min
@@ -99,11 +103,11 @@ def plan_moves(slots: DataFrame, window_min: int, keys: Sequence[str] = ()) -> D
     slot's movements, easiest first, take the move. ``keys`` may hold scenario columns.
     """
     keys = list(keys)
-    over = _islands(slots, keys, window_min)
+    over = _batches(slots, keys, window_min)
     reached = over.select(
-        *keys, "island", "cap", "max_shift", "reach", "pos", F.explode(F.expr("sequence(pos - reach, pos + reach)")).alias("at")
+        *keys, "batch", "cap", "max_shift", "reach", "pos", F.explode(F.expr("sequence(pos - reach, pos + reach)")).alias("at")
     )
-    around = reached.groupBy(*keys, "island", F.col("at").alias("pos"), "cap", "max_shift", "reach").agg(
+    around = reached.groupBy(*keys, "batch", F.col("at").alias("pos"), "cap", "max_shift", "reach").agg(
         F.bool_or(F.col("at") == F.col("pos")).alias("own")
     )
     counts = slots.select(
@@ -114,11 +118,11 @@ def plan_moves(slots: DataFrame, window_min: int, keys: Sequence[str] = ()) -> D
     rows = around.join(counts, [*keys, "pos"], "left").withColumn(
         "movements", F.coalesce(F.col("movements"), F.lit(0).cast("bigint"))
     )
-    # a task holds one island's slot rows (calendar-bounded), never movements
+    # a group holds some islands' slot rows (calendar-bounded), never movements
     key_types = [f"`{k}` {t}" for k, t in rows.select(*keys).dtypes]
     fields = ["pos bigint", "rank_from bigint", "rank_to bigint", "target bigint", "shift_min bigint", "move_cost double"]
     schema = ", ".join(key_types + fields)
-    filled = rows.groupBy(*keys, "island").applyInPandas(lambda pdf: _fill_island(pdf, keys, window_min), schema)
+    filled = rows.groupBy(*keys, "batch").applyInPandas(lambda pdf: _fill_batch(pdf, keys, window_min), schema)
     at = lambda c: from_micros(F.col(c) * F.lit(window_min * MINUTE))
     return filled.select(
         *keys, at("pos").alias("slot_start"), "rank_from", "rank_to", at("target").alias("target_slot"), "shift_min", "move_cost"

@@ -31,9 +31,17 @@ def detect_columns(names: Sequence[str]) -> dict[str, str]:
     return mapping
 
 
+_CELL_END = "\x1f"  # joins cells; header words cannot contain it
+_HEADER_CELL = rf"(?<={_CELL_END})\s*(?:{'|'.join(HEADER_WORDS)})\s*(?={_CELL_END})"
+
+
 def looks_like_header(cells: Column, min_hits: int = 2) -> Column:
-    """A row of cells is a header when at least ``min_hits`` of them are header words."""
-    return F.size(F.filter(cells, lambda c: F.coalesce(normalise_token(c).isin(HEADER_WORDS), F.lit(False)))) >= min_hits
+    """A row of cells is a header when at least ``min_hits`` of them are header words.
+
+    The row is joined and searched as one text, which stays in generated code.
+    """
+    joined = F.concat(F.lit(_CELL_END), F.concat_ws(_CELL_END, cells), F.lit(_CELL_END))
+    return F.regexp_count(F.translate(F.lower(joined), " _", ""), F.lit(_HEADER_CELL)) >= min_hits
 
 
 def unique_header_names(headers: DataFrame, keys: Sequence[str], cells: str) -> DataFrame:

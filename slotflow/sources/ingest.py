@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slotflow.functions.ordered import fill_forward
 from slotflow.functions.text import clean_token, flight_id
-from slotflow.functions.times import minutes_between, parse_day, resolve_time
+from slotflow.functions.times import minutes_between, parse_day, resolve_times
 from slotflow.schema import MOVEMENT_SCHEMA
 from slotflow.sources.columns import detect_columns
 from slotflow.sources.sinks import write_movements
@@ -45,9 +45,7 @@ def normalise_times(raw: DataFrame, cols: dict[str, str] | None = None) -> DataF
         staged = fill_forward(staged, ["__file", "__sheet"], "__day", "__part", "row_id", "date", then_back=True)
     else:
         staged = staged.withColumn("date", F.col("__day"))
-    return staged.withColumns({c: resolve_time(F.col(c), F.col("date")) for c in _TIMES}).drop(
-        "__part", "__file", "__sheet", "__day"
-    )
+    return resolve_times(staged, _TIMES, "date").drop("__part", "__file", "__sheet", "__day")
 
 
 def compute_basic_features(df: DataFrame) -> DataFrame:

@@ -125,9 +125,8 @@ _BLOCK = [*_SHEET, "header_idx"]
 _CHUNK_BITS = 16
 
 
-def _filled(cells: Column) -> Column:
-    """Cells with blanks as NULL."""
-    return F.transform(cells, lambda c: F.when(F.trim(c) != "", c))
+def _has_text(cells: Column) -> Column:
+    return F.trim(F.concat_ws("", cells)) != ""
 
 
 def locate_blocks(cells: DataFrame) -> DataFrame:
@@ -138,7 +137,6 @@ def locate_blocks(cells: DataFrame) -> DataFrame:
     """
     flagged = cells.withColumns(
         {
-            "cells": _filled(F.col("cells")),
             "is_header": looks_like_header(F.col("cells")),
             "__chunk": F.shiftright(F.col("row_idx"), _CHUNK_BITS),
         }
@@ -155,10 +153,10 @@ def block_layout(rows: DataFrame) -> DataFrame:
     Columns without any value are ignored. A block needs a row, and three columns
     with values if its header was detected.
     """
-    body = rows.filter((F.col("row_idx") > F.col("header_idx")) & F.exists("cells", lambda c: c.isNotNull()))
+    body = rows.filter((F.col("row_idx") > F.col("header_idx")) & _has_text(F.col("cells")))
     live = (
         body.select(*_BLOCK, F.posexplode("cells").alias("pos", "cell"))
-        .filter(F.col("cell").isNotNull())
+        .filter(F.trim("cell") != "")
         .groupBy(*_BLOCK, "pos")
         .agg(F.lit(1).alias("x"))
         .groupBy(*_BLOCK)
@@ -176,11 +174,12 @@ def read_blocks(cells: DataFrame) -> DataFrame:
     per block; the rows themselves are neither exploded nor pivoted.
     """
     rows = locate_blocks(cells)
-    body = rows.filter((F.col("row_idx") > F.col("header_idx")) & F.exists("cells", lambda c: c.isNotNull()))
+    body = rows.filter((F.col("row_idx") > F.col("header_idx")) & _has_text(F.col("cells")))
     sheets = cells.select(*_SHEET).distinct()
     sheet_no = sheets.withColumn("__no", F.row_number().over(Window.orderBy(*_SHEET)) - 1)
     layout = block_layout(rows)
-    picked = [F.get(F.col("cells"), F.col(f"__l.{c}").cast("int")).alias(c) for c in SYNONYMS]
+    cell = lambda c: F.get(F.col("cells"), F.col(f"__l.{c}"))
+    picked = [F.when(F.trim(cell(c)) != "", cell(c)).alias(c) for c in SYNONYMS]
     return (
         body.join(layout.select(*_BLOCK, F.struct(*SYNONYMS).alias("__l")), _BLOCK)
         .join(sheet_no, _SHEET)
