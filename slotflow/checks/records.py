@@ -28,13 +28,10 @@ def clean_tokens(spark, sf):
 
 
 def parse_times(spark, sf):
-    raw = raw_movements(spark, sf).withColumn("parts", times.time_parts(F.col("STD")))
-    return raw.select(
-        "row_id",
-        (times.clock_time(F.col("parts")) / 1_000_000).cast("bigint").alias("clock_s"),
-        times.full_time(F.col("parts")).alias("full_time"),
-        times.parse_day(F.col("Date")).alias("day"),
+    raw = raw_movements(spark, sf).select(
+        "row_id", times.parse_day(F.col("Date")).alias("day"), F.lit("1970-01-01").cast("date").alias("zero"), F.col("STD").alias("std")
     )
+    return times.resolve_times(raw, ["std"], "zero").drop("zero")
 
 
 _CLOCK_FORMATS = "['%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y-%m-%d %I:%M:%S %p', '%Y-%m-%d %I:%M %p']"
@@ -51,8 +48,8 @@ def _time_sql(c):
 
 PARSE_SQL = with_sql(
     f"""
-SELECT row_id, CAST(epoch({_clock_sql('STD')}) AS BIGINT) AS clock_s, try_strptime("STD", {_FULL_FORMATS}) AS full_time,
-       CAST(try_strptime("Date", '%d/%m/%Y') AS DATE) AS day FROM raw""",
+SELECT row_id, CAST(try_strptime("Date", '%d/%m/%Y') AS DATE) AS day,
+       coalesce(try_strptime("STD", {_FULL_FORMATS}), TIMESTAMP '1970-01-01' + {_clock_sql('STD')}) AS std FROM raw""",
     RAW_SQL,
 )
 

@@ -57,80 +57,70 @@ def clock_on(ts: Column | str, day: Column) -> Column:
 # ---- text to time -----------------------------------------------------------------
 
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
-# one pass over the text: Y-M-D, D-M-Y or D-Mon-Y, then an optional clock
-_LAYOUT = (
-    r"(?i)^\s*(?:(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})|(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})"
-    rf"|(\d{{1,2}})[-/ ]({_MONTHS.replace(' ', '|')})[a-z]*[-/ ,]+(\d{{4}}|\d{{2}}))?"
-    r"(?:(?:^|(?<=\d)[T\s]+)\s*(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?)\d*)?\s*([AP]M)?)?Z?\s*$"
-)
-_PARTS = ["y1", "m1", "d1", "d2", "m2", "y2", "d3", "mon", "y3", "hour", "minute", "second", "half"]
-_MARK = "#" + ",".join(f"${i + 1}" for i in range(len(_PARTS)))
+_CLOCK_ONLY = r"^\s*\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*([AaPp][Mm])?\s*$"
+_HALF = r"([AaPp][Mm])\s*$"
+_YEAR_FIRST = r"^\s*(\d{4})[/.](\d{1,2})[/.](\d{1,2})(?!\d)"
+_DAY_FIRST = r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?!\d)"
+_SHORT_YEAR = r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.]([0-6]\d)(?!\d)"
+_SHORT_YEAR_1900 = r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.]([7-9]\d)(?!\d)"
+_NAMED_MONTH = rf"(?i)^\s*(\d{{1,2}})[-/ ]({_MONTHS.replace(' ', '|')})[a-z]*[-/ ,]+(\d{{4}})(.*)$"
 
 
-def time_parts(text: Column) -> Column:
-    """The pieces of a date or time text, in a fixed order; NULL when the layout is unknown."""
-    marked = F.regexp_replace(text, _LAYOUT, _MARK)
-    return F.when(F.startswith(marked, F.lit("#")), F.split(F.substring(marked, 2, 1 << 20), ",", -1))
+def is_clock_only(text: Column) -> Column:
+    return text.rlike(_CLOCK_ONLY)
 
 
-def _piece(parts: Column, name: str) -> Column:
-    return F.get(parts, F.lit(_PARTS.index(name)))
+def half_of_day(text: Column) -> Column:
+    """'am', 'pm' or ''."""
+    return F.lower(F.regexp_extract(text, _HALF, 1))
 
 
-def _number(parts: Column, name: str) -> Column:
-    return _piece(parts, name).try_cast("int")
+def _named_month(text: Column) -> Column:
+    """D-Mon-Y rewritten as Y-M-D."""
+    part = lambda i: F.regexp_extract(text, _NAMED_MONTH, i)
+    number = F.call_function("div", F.instr(F.lit(_MONTHS), F.lower(part(2))) - 1, F.lit(4)) + 1
+    return F.when(part(3) != "", F.concat(part(3), F.lit("-"), number.cast("string"), F.lit("-"), part(1), part(4)))
 
 
-def day_of(parts: Column) -> Column:
-    """Calendar day: Y-M-D as written, otherwise day first; impossible days give NULL."""
-    year = F.coalesce(*[_number(parts, c) for c in ("y1", "y2", "y3")])
-    mon = F.lower(_piece(parts, "mon"))
-    named = F.when(mon != "", F.call_function("div", F.instr(F.lit(_MONTHS), mon) - 1, F.lit(4)) + 1)
-    month = F.coalesce(_number(parts, "m1"), _number(parts, "m2"), named)
-    day = F.coalesce(*[_number(parts, c) for c in ("d1", "d2", "d3")])
-    full = F.when(year < 70, year + 2000).when(year < 100, year + 1900).otherwise(year)
-    return F.format_string("%04d-%02d-%02d", full, month, day).try_cast("date")
-
-
-def has_day(parts: Column) -> Column:
-    return (_piece(parts, "y1") != "") | (_piece(parts, "y2") != "") | (_piece(parts, "y3") != "")
-
-
-def clock_of(parts: Column) -> Column:
-    """Microseconds of day (24 h or 12 h), NULL without a valid clock."""
-    hour, minute = _number(parts, "hour"), _number(parts, "minute")
-    second = F.coalesce(_piece(parts, "second").try_cast("decimal(8,6)"), F.lit(0))
-    half = F.lower(_piece(parts, "half"))
-    on_12 = half != ""
-    valid = (minute < 60) & (second < 60) & F.when(on_12, hour.between(1, 12)).otherwise(hour < 24)
-    hour24 = F.when(on_12, hour % 12 + F.when(half == "pm", 12).otherwise(0)).otherwise(hour)
-    whole = (hour24 * 60 + minute).cast("bigint") * F.lit(MINUTE)
-    return F.when(valid, whole + (second * 1_000_000).cast("bigint"))
-
-
-def full_time(parts: Column) -> Column:
-    """Date-time of a text with a day (midnight without a clock)."""
-    of_day = F.when(_piece(parts, "hour") == "", F.lit(0).cast("bigint")).otherwise(clock_of(parts))
-    return F.when(has_day(parts), from_micros(micros(day_of(parts).cast("timestamp_ntz")) + of_day))
-
-
-def clock_time(parts: Column) -> Column:
-    """Microseconds of day of a text that is a clock only."""
-    return F.when(~has_day(parts), clock_of(parts))
+def iso_text(text: Column) -> Column:
+    """Day and clock in year-month-day order, without AM/PM; a clock alone stands on 1970-01-01."""
+    bare = F.regexp_replace(text, r"\s*" + _HALF, "")
+    numeric = F.regexp_replace(F.regexp_replace(bare, _DAY_FIRST, "$3-$2-$1"), _YEAR_FIRST, "$1-$2-$3")
+    short = F.regexp_replace(F.regexp_replace(bare, _SHORT_YEAR, "20$3-$2-$1"), _SHORT_YEAR_1900, "19$3-$2-$1")
+    return F.trim(
+        F.when(is_clock_only(text), F.concat(F.lit("1970-01-01 "), F.trim(bare)))
+        .when(bare.rlike("[A-Za-z]{3}"), _named_month(bare))
+        .when(bare.rlike(r"^\s*\d{1,2}[-/.]\d{1,2}[-/.]\d{2}(?!\d)"), short)
+        .otherwise(numeric)
+    )
 
 
 def parse_day(text: Column) -> Column:
-    return F.when(has_day(time_parts(text)), day_of(time_parts(text)))
+    """Calendar day of a text: Y-M-D as written, otherwise day first; junk gives NULL."""
+    return F.when(~is_clock_only(text), iso_text(text).try_cast("timestamp_ntz").cast("date"))
 
 
-def resolved(parts: Column, day: Column) -> Column:
-    """A full date-time as written, or the clock placed on ``day``."""
-    return F.coalesce(full_time(parts), from_micros(micros(day.cast("timestamp_ntz")) + clock_time(parts)))
+def _on_24h(ts: Column, half: Column) -> Column:
+    """A 12 h reading on the 24 h clock; an hour outside 1-12 is no time."""
+    late = F.when(half == "pm", F.when(F.hour(ts) == 12, 0).otherwise(12)).otherwise(
+        F.when(F.hour(ts) == 12, -12).otherwise(0)
+    )
+    return F.when(half == "", ts).when(F.hour(ts).between(1, 12), add_minutes(ts, late * 60))
 
 
 def resolve_times(df: DataFrame, columns: Sequence[str], day: str) -> DataFrame:
-    """Replace text columns by timestamps; each text is taken apart once."""
-    split = df.withColumns({f"__{c}": time_parts(F.col(c)) for c in columns})
-    return split.withColumns({c: resolved(F.col(f"__{c}"), F.col(day)) for c in columns}).drop(
-        *[f"__{c}" for c in columns]
-    )
+    """Replace text columns by timestamps: a full date-time as written, a clock on ``day``."""
+    read = {}
+    for c in columns:
+        read[f"__t_{c}"] = iso_text(F.col(c)).try_cast("timestamp_ntz")
+        read[f"__h_{c}"] = half_of_day(F.col(c))
+        read[f"__c_{c}"] = is_clock_only(F.col(c))
+    out = df.withColumns(read)
+    turned = out.withColumns({f"__t_{c}": _on_24h(F.col(f"__t_{c}"), F.col(f"__h_{c}")) for c in columns})
+    placed = {}
+    for c in columns:
+        t = F.col(f"__t_{c}")
+        placed[c] = F.when(~F.col(f"__c_{c}"), t).otherwise(
+            from_micros(micros(F.col(day).cast("timestamp_ntz")) + micros(t))
+        )
+    return turned.withColumns(placed).drop(*read)
