@@ -226,17 +226,18 @@ def band_sums(
     bin_of = lambda t: floor_div(t, width)
     t = F.col(at)
 
-    def mark(kind: int, when: Column) -> Column:
-        held = [(F.col(n) if kind == 0 else F.lit(None)).cast("double").alias(n) for n in names]
-        return F.struct(F.lit(kind).alias("kind"), bin_of(when).alias("bin"), when.alias("pos"), *held)
-
-    marks = F.array(
-        mark(0, t),
-        mark(1, t + F.lit(low)),
-        # an aligned band is one whole bin: the mark above already covers it
-        F.when(bin_of(t + F.lit(low)) != bin_of(t + F.lit(high)), mark(2, t + F.lit(high))),
+    blank = [F.lit(None).cast("double")] * len(names)
+    first, last = t + F.lit(low), t + F.lit(high)
+    marks = F.stack(
+        F.lit(3),
+        *[F.lit(0), bin_of(t), t, *[F.col(n).cast("double") for n in names]],
+        *[F.lit(1), bin_of(first), first, *blank],
+        *[F.lit(2), bin_of(last), last, *blank],
+    )
+    swept = cells.select(*by, at, marks.alias("kind", "bin", "pos", *names)).filter(
+        # an aligned band is one whole bin: its first mark already covers it
+        (F.col("kind") < 2) | (F.col("bin") != bin_of(first))
     )
-    swept = cells.select(*by, t, F.explode(F.array_compact(marks)).alias("m")).select(*by, at, "m.*")
     lane = Window.partitionBy(*by, "bin")
     head = lane.orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     tail = lane.orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
