@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slotflow.functions.ordered import band_sums
 from slotflow.functions.times import HOUR, micros, slot_start
-from slotflow.operators.scope import with_group_stats
+from slotflow.operators.scope import in_groups, join_null_safe, with_group_stats
 from slotflow.operators.slots import slot_counts
 
 LATE_MIN = 5  # a movement counts as delayed above this
@@ -22,7 +22,7 @@ def too_few(delay: str) -> Column:
 
 def fill_sparse_delays(df: DataFrame, delay: str, by: Sequence[str] = ()) -> DataFrame:
     """``delay_used``: unknown delays count as 0, but only where known ones are too few."""
-    flagged = with_group_stats(df, by, {"__sparse": too_few(delay)})
+    flagged = with_group_stats(df, by, {"__sparse": too_few(delay)}, wide=True)
     filled = F.when(F.col("__sparse"), F.coalesce(F.col(delay), F.lit(0.0))).otherwise(F.col(delay))
     return flagged.withColumn("delay_used", filled).drop("__sparse")
 
@@ -36,14 +36,14 @@ def ensure_delay_metric(
     crowded slot is never gathered in one task.
     """
     cap = F.lit(capacity) if isinstance(capacity, int) else capacity
-    flagged = with_group_stats(df, by, {"used_fallback": too_few("dep_delay_min")})
+    flagged = with_group_stats(df, by, {"used_fallback": too_few("dep_delay_min")}, wide=True)
     flagged = flagged.withColumn("__slot", slot_start("sched_dep", window_min))
     over = slot_counts(df, "sched_dep", window_min, by).withColumnsRenamed(
         {"slot_start": "__slot", "movements": "__n"}
     )
     synthetic = F.coalesce(F.greatest(F.col("__n") - cap, F.lit(0)) * 3.0, F.lit(0.0))
     return (
-        flagged.join(over, [*by, "__slot"], "left")
+        join_null_safe(flagged, over, [*by, "__slot"], "left")
         .withColumn(
             "dep_delay_min", F.when(F.col("used_fallback"), synthetic).otherwise(F.col("dep_delay_min"))
         )
@@ -86,7 +86,7 @@ def delay_propagation_analysis(
     per instant over a sliding band, so cost grows with the rows, not with the pairs.
     """
     delay = F.coalesce(F.col("dep_delay_min"), F.lit(0.0))
-    timed = df.filter(F.col("sched_dep").isNotNull()).select(
+    timed = in_groups(df, by).filter(F.col("sched_dep").isNotNull()).select(
         *by,
         "row_id",
         "flight_id",

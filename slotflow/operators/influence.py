@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from slotflow.functions.ordered import band_sums, next_rows, running_number
 from slotflow.functions.scoring import rotation_weight
 from slotflow.functions.times import HOUR, micros, slot_start
-from slotflow.operators.scope import primary_time, scope_airport
+from slotflow.operators.scope import in_groups, primary_time, scope_airport
 from slotflow.session import cut_lineage
 
 # Fixed values of the dependency model.
@@ -54,7 +54,7 @@ def dependency_edges(df: DataFrame, slot_min: int = 5, by: Sequence[str] = ()) -
     to six hours later) are dense and stay implicit: see :func:`crew_links`.
     ``crew_linked`` marks edges whose pair is also a crew link, which replaces them.
     """
-    base = df.select(
+    base = in_groups(df, by).select(
         *by, "row_id", "carrier", "tail_number", "gate", "sched_dep", "sched_arr", primary_time().alias("__when")
     )
     take = ["row_id", "carrier", "sched_dep"]
@@ -126,7 +126,7 @@ def crew_links(df: DataFrame, incoming: bool = True, by: Sequence[str] = ()) ->
     Partners are movements of the same carrier that depart two to six hours earlier
     (``incoming``) or later.
     """
-    points = df.select(*by, "row_id", "carrier", micros("sched_dep").alias("__t"))
+    points = in_groups(df, by).select(*by, "row_id", "carrier", micros("sched_dep").alias("__t"))
     sums = _crew_sums(points, by, incoming, F.lit(1))
     return points.join(sums, [*by, "carrier", "__t"]).select(
         *by, "row_id", F.col("__n").cast("bigint").alias("links"), F.col("__w").alias("weight_sum")
@@ -192,7 +192,7 @@ def movement_influence(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Influence per movement (row), before the roll-up by flight id."""
-    scoped = scope_airport(df, airport, "any")
+    scoped = in_groups(scope_airport(df, airport, "any"), by)
     reach = propagate(scoped, steps, decay_factor, direction, by)
     b = F.col("direct_impact")
     return (

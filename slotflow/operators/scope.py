@@ -4,27 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime, timedelta
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotflow.functions.times import add_minutes, clock_on
 from slotflow.schema import SITE_COLUMNS
+from slotflow.session import broadcast_if_small
 
 TIME_COLUMNS = ("sched_dep", "act_dep", "sched_arr", "act_arr")
 
 
-def with_group_stats(df: DataFrame, by: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join in which NULL keys meet each other, so that rows without a key are kept."""
+    other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return left.join(other, match, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def in_groups(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Only rows that have all group keys: a movement without an airport is in no airport's schedule."""
+    return df.dropna(subset=list(by)) if by else df
+
+
+def with_group_stats(
+    df: DataFrame, by: Sequence[str], stats: Mapping[str, Column], wide: bool = False
+) -> DataFrame:
     """Append aggregates of each ``by`` group (of the whole frame when empty) to its rows.
 
     The whole-frame form is a scalar subquery; the grouped form an equi join with one
-    row per group. Either way the statistics come from one partial aggregation.
+    row per group. Either way the statistics come from one partial aggregation. With
+    ``wide`` the frame holds movements: the group rows are computed first and broadcast
+    if few, so that movements of a large group are not shuffled to one task.
     """
     named = [c.alias(n) for n, c in stats.items()]
     if not by:
         one = df.agg(F.struct(*named).alias("s")).scalar()
         return df.withColumn("__s", one).select("*", *[F.col(f"__s.{n}").alias(n) for n in stats]).drop("__s")
-    return df.join(df.groupBy(*by).agg(*named), list(by))
+    groups = df.groupBy(*by).agg(*named)
+    return join_null_safe(df, broadcast_if_small(groups) if wide else groups, by)
 
 
 def presence(df: DataFrame) -> dict[str, bool]:
@@ -132,6 +152,7 @@ def next_hours(
             "__next": F.min(F.when(ahead, t)),
             "__first": F.min(t),
         },
+        wide=True,
     )
     begin = F.when(F.col("__busy"), start.cast("timestamp_ntz")).otherwise(F.coalesce("__next", "__first"))
     return (

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from slotflow.functions.scoring import PEAK_HOURS, move_priority, relief_score
 from slotflow.functions.times import MINUTE, add_minutes, floor_div, from_micros, micros, slot_start
-from slotflow.operators.scope import schedule_time, scope_airport, with_group_stats
+from slotflow.operators.scope import in_groups, schedule_time, scope_airport, with_group_stats
 from slotflow.operators.slots import slot_counts
 
 # Fixed values of the move cost and of the multi-objective score.
@@ -164,14 +164,13 @@ def assign_moves(
     """Pick the movements that take the planned moves, easiest to move first.
 
     ``most_moves`` bounds the moves out of one slot (open neighbours times capacity).
+    Slots are trimmed to that many candidates before the shuffle, so a crowded slot
+    costs no more than any other; the planned moves then meet the trimmed slots.
     """
     slot = slot_start("sched_dep", window_min)
     priority = move_priority(F.col("dep_delay_min"), F.col("carrier"), F.col("sched_dep"), F.col("tail_number"))
-    crowded = moves.select(*by, F.col("slot_start").alias("__slot")).distinct()
-    flights = (
-        df.filter(F.col("sched_dep").isNotNull())
-        .select(*by, "row_id", "flight_id", "sched_dep", priority.alias("priority_score"), slot.alias("__slot"))
-        .join(crowded, [*by, "__slot"], "left_semi")
+    flights = df.filter(F.col("sched_dep").isNotNull()).select(
+        *by, "row_id", "flight_id", "sched_dep", priority.alias("priority_score"), slot.alias("__slot")
     )
     ranked = lowest_in_group(
         flights, [*by, "__slot"], [F.col("priority_score"), F.col("row_id")], most_moves, "slot_rank"
@@ -223,7 +222,7 @@ def greedy_slot_tuner_enhanced(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Suggested shifts that bring overloaded slots down to capacity where neighbours have room."""
-    scoped = schedule_time(scope_airport(df, airport, "origin_first"))
+    scoped = in_groups(schedule_time(scope_airport(df, airport, "origin_first")), by)
     slots = slot_counts(scoped, "sched_dep", window_min, by).withColumns(
         {"cap": F.lit(per_window_capacity).cast("bigint"), "max_shift": F.lit(max_shift_min).cast("bigint")}
     )

@@ -19,7 +19,7 @@ from slotflow.functions.times import slot_start
 from slotflow.operators.delays import ensure_delay_metric
 from slotflow.operators.influence import influence_table
 from slotflow.operators.labels import show_labels
-from slotflow.operators.scope import next_hours, with_group_stats
+from slotflow.operators.scope import in_groups, next_hours, with_group_stats
 from slotflow.operators.slots import add_load_index, best_time_to_operate, slot_counts
 from slotflow.operators.tuner import assign_moves, demo_capacity, most_moves_per_slot, plan_moves, slots_after
 from slotflow.session import cut_lineage
@@ -90,6 +90,7 @@ def tuning_report(
     for the tuning itself; load indices keep the stated capacity.
     """
     keys = ["scenario", *by]
+    df = in_groups(df, by)
     profile = cut_lineage(slot_profile(df, window_min, by))
     slots = _with_scenarios(profile, scenarios)
     if demo:

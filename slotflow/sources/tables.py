@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from slotflow.functions.ordered import fill_forward
 from slotflow.functions.text import SYNONYMS
 from slotflow.schema import conform
+from slotflow.session import broadcast_if_small
 from slotflow.sources.columns import column_position, looks_like_header, make_unique
 
 SEPARATORS = [",", ";", "|", "\t"]
@@ -106,7 +107,7 @@ def _number_rows(df: DataFrame) -> DataFrame:
     row_id = F.shiftleft(F.col("__no").cast("bigint"), _FILE_SPAN) + F.col("file_part") + F.col("__rn") - 1
     return (
         df.withColumn("__rn", F.row_number().over(in_part))
-        .join(numbered, "__file")
+        .join(broadcast_if_small(numbered), "__file")
         .withColumns({"row_id": row_id, "source_file": F.col("__file")})
         .drop("__file", "__pos", "__rn", "__no")
     )
@@ -177,12 +178,11 @@ def read_blocks(cells: DataFrame) -> DataFrame:
     body = rows.filter((F.col("row_idx") > F.col("header_idx")) & _has_text(F.col("cells")))
     sheets = cells.select(*_SHEET).distinct()
     sheet_no = sheets.withColumn("__no", F.row_number().over(Window.orderBy(*_SHEET)) - 1)
-    layout = block_layout(rows)
+    layout = block_layout(rows).join(sheet_no, _SHEET)
     cell = lambda c: F.get(F.col("cells"), F.col(f"__l.{c}"))
     picked = [F.when(F.trim(cell(c)) != "", cell(c)).alias(c) for c in SYNONYMS]
     return (
-        body.join(layout.select(*_BLOCK, F.struct(*SYNONYMS).alias("__l")), _BLOCK)
-        .join(sheet_no, _SHEET)
+        body.join(layout.select(*_BLOCK, "__no", F.struct(*SYNONYMS).alias("__l")), _BLOCK)
         .select(
             (F.shiftleft(F.col("__no").cast("bigint"), 32) + F.col("row_idx")).alias("row_id"),
             *_SHEET,
