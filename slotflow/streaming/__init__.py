@@ -1,0 +1 @@
+"""The slot metrics on unbounded input."""
