@@ -13,6 +13,7 @@ from slotflow.schema import conform
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # naive timestamps mean what they say
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -99,9 +99,10 @@ def scope_airport(df: DataFrame, airport: str | None, mode: str = "any", on_empt
     return df.filter(keep)
 
 
-def filter_dates(df: DataFrame, start: date | str, end: date | str) -> DataFrame:
-    """Rows with ``date`` in the inclusive range; reversed ends are swapped."""
-    low, high = sorted(date.fromisoformat(d) if isinstance(d, str) else d for d in (start, end))
+def filter_dates(df: DataFrame, start: date | str, end: date | str | None = None) -> DataFrame:
+    """Rows with ``date`` in the inclusive range; reversed ends are swapped, one date means that day."""
+    ends = (start, start if end is None else end)
+    low, high = sorted(date.fromisoformat(d) if isinstance(d, str) else d for d in ends)
     return df.filter(F.col("date").between(F.lit(low), F.lit(high)))
 
 

@@ -21,8 +21,15 @@ from slotflow.operators.influence import influence_table
 from slotflow.operators.labels import show_labels
 from slotflow.operators.scope import in_groups, next_hours, with_group_stats
 from slotflow.operators.slots import add_load_index, best_time_to_operate, slot_counts
-from slotflow.operators.tuner import assign_moves, demo_capacity, most_moves_per_slot, plan_moves, slots_after
+from slotflow.operators.tuner import (
+    assign_moves,
+    build_tuned_schedule,
+    most_moves_per_slot,
+    plan_moves,
+    slots_after,
+)
 from slotflow.session import cut_lineage
+from slotflow.sources.sinks import export_csv
 
 OCCUPANCY_MIN = 1.5
 
@@ -216,6 +223,15 @@ def ops_brief(df: DataFrame, airport: str | None, scenario: Scenario, by: Sequen
     )
 
 
+def export_ops_brief(df: DataFrame, path: str, airport: str | None, scenario: Scenario, by: Sequence[str] = ()) -> str:
+    return export_csv(ops_brief(df, airport, scenario, by), path)
+
+
+def export_tuned_schedule(df: DataFrame, suggestions: DataFrame, path: str) -> str:
+    """The schedule before and after tuning as CSV, with labels in place of flight ids."""
+    return export_csv(show_labels(build_tuned_schedule(df, suggestions), df).drop("row_id"), path)
+
+
 def best_window(df: DataFrame, kind: str, by: Sequence[str] = ()) -> DataFrame:
     """The 30-min window with the lowest mean delay: (by, best_{kind}, best_{kind}_delay)."""
     table = best_time_to_operate(df, kind=kind, by=by).filter(F.col("mean_delay_min").isNotNull())

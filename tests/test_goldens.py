@@ -458,6 +458,17 @@ def test_reports_of_a_small_peak(spark):
     assert [(r.scenario, r.moved) for r in table] == [("small", 2), ("big", 0)]
 
 
+def test_exports(spark, tmp_path):
+    df = departures(spark, ["12:00"] * 5, origin="BOM", carrier="AI", flight_number="7", dep_delay_min=10.0)
+    moves = tuner.greedy_slot_tuner(df, per_window_capacity=3)
+    path = reports.export_tuned_schedule(df, moves, str(tmp_path / "tuned"))
+    rows = spark.read.option("header", True).csv(path).collect()
+    assert sorted(r.scheduled_departure_after[-5:] for r in rows) == ["11:55"] * 2 + ["12:00"] * 3
+    assert {r.flight_id for r in rows} == {"AI7 BOM · 02-Mar 12:00"}
+    brief = reports.export_ops_brief(df, str(tmp_path / "brief"), "BOM", reports.Scenario("A", 3))
+    assert spark.read.option("header", True).csv(brief).first().flights_moved == "2"
+
+
 def test_reports_of_nothing(spark):
     df = departures(spark, [])
     assert [r.rule_id for r in reports.recommendations(df).collect()] == [0]
