@@ -202,7 +202,8 @@ best AS (SELECT src, dst, arg_max(weight, rank) AS weight, arg_max(kind, rank) A
 SELECT src, dst, round(weight, 6) AS weight, kind FROM best WHERE kind <> 'crew'""")
 
 
-def _influence_sql(by, steps, base, direction="incoming"):
+def influence_cte(by, steps, base, direction="incoming"):
+    """CTEs up to node(..., b, r): the base delay and the summed path weight of each movement."""
     out_, in_ = ("src", "dst") if direction == "incoming" else ("dst", "src")
     rounds, reach, decay = [], [], 1.0
     for k in range(1, steps + 1):
@@ -214,13 +215,17 @@ def _influence_sql(by, steps, base, direction="incoming"):
         )
         rounds.append(f"s{k} AS ({source})")
         reach.append(f"SELECT row_id, s * {decay!r} AS r FROM s{k}")
-    cols = "origin, " if by else ""
-    return with_sql(f""",{_raw_edges_cte(by)},
+    return f""",{_raw_edges_cte(by)},
 every AS (SELECT * FROM explicit UNION ALL SELECT * FROM crew),
 links AS (SELECT src, dst, arg_max(weight, rank) AS weight FROM every GROUP BY src, dst),
 {", ".join(rounds)},
 reach AS (SELECT row_id, sum(r) AS r FROM ({" UNION ALL ".join(reach)}) GROUP BY row_id),
-node AS (SELECT m.*, greatest(coalesce({base}, 0), 0) AS b, coalesce(r, 0) AS r FROM movements m LEFT JOIN reach USING (row_id))
+node AS (SELECT m.*, greatest(coalesce({base}, 0), 0) AS b, coalesce(r, 0) AS r FROM movements m LEFT JOIN reach USING (row_id))"""
+
+
+def _influence_sql(by, steps, base, direction="incoming"):
+    cols = "origin, " if by else ""
+    return with_sql(f"""{influence_cte(by, steps, base, direction)}
 SELECT {cols}flight_id, {present("sum(b * (1 + r))", 4)} AS influence_delta_total_delay, {present("sum(b)", 4)} AS direct_impact,
        {present("sum(b * r)", 4)} AS cascading_impact, {present("avg(b * r / greatest(b, 0.1))", 4)} AS influence_ratio
 FROM node GROUP BY {cols}flight_id""")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotflow.checks.adapter import MOVEMENTS_SQL, SPARSE_SQL, movements, movements_sparse, present, table, with_sql
+from slotflow.checks.flow import influence_cte
+from slotflow.checks.records import label_sql
 from slotflow.checks.slots import BY, CAP, bucket, rounded
 from slotflow.functions.scoring import move_priority, relief_score, rotation_weight
 from slotflow.operators import tuner
@@ -316,6 +318,22 @@ def recommendations(spark, sf):
     return reports.recommendations(movements(spark, sf), CAP)
 
 
+RECOMMENDATIONS_SQL = with_sql(
+    f"""{influence_cte(False, 3, 'dep_delay_min')},
+heavy AS (SELECT flight_id, sum(b * (1 + r)) AS total FROM node GROUP BY flight_id ORDER BY total DESC, flight_id LIMIT 3),
+names AS (SELECT flight_id, arg_min({label_sql('flight_number')}, row_id) AS label FROM movements GROUP BY flight_id),
+half AS (SELECT {bucket('sched_dep', 30)} AS slot, {present('avg(dep_delay_min)', 2)} AS d FROM movements GROUP BY 1),
+n AS (SELECT {bucket('sched_dep', 5)} AS slot, count(*) AS n FROM movements GROUP BY 1)
+SELECT 1 AS rule_id, 'Peak load index above 1.2: allow shifts of 20-30 min or leave a buffer around the peak slots.' AS message
+FROM n HAVING max(n) * 1.5 / {CAP} > 1.2
+UNION ALL
+SELECT 2, 'Plan more departures near ' || strftime(arg_min(slot, (d, slot)), '%H:%M') || ', where the mean departure delay is lowest.'
+FROM half WHERE d IS NOT NULL
+UNION ALL
+SELECT 3, 'Watch the turnarounds of high-impact flights: ' || string_agg(label, ', ' ORDER BY total DESC) || '.' FROM heavy JOIN names USING (flight_id)"""
+)
+
+
 # ---- questions ----------------------------------------------------------------------
 
 
@@ -441,7 +459,7 @@ SELECT origin, round(max(n) * 1.5 / {CAP}, 4) AS peak_rli, strftime(any_value(t)
     "tuner_kpis_sparse": (tuner_kpis_sparse, KPIS_SPARSE_SQL),
     "ops_brief": (ops_brief, BRIEF_SQL),
     "insights": (insights, INSIGHTS_SQL),
-    "recommendations": (recommendations, None),
+    "recommendations": (recommendations, RECOMMENDATIONS_SQL),
     "questions": (questions, f"WITH {_classified('conversations')}\nSELECT conv_id, turn, intent, kind, airport, capacity FROM classified"),
     "questions_with_help": (
         questions_with_help,

@@ -183,7 +183,7 @@ def movement_labels(spark, sf):
 _MONTHS = "['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec']"
 
 
-def _label_sql(number):
+def label_sql(number):
     return (
         f"trim(coalesce(CASE WHEN {number} IS NULL THEN '' ELSE carrier || {number} END, '') || ' ' || origin || '→' || destination)"
         f" || ' · ' || strftime(sched_dep, '%d') || '-' || {_MONTHS}[month(sched_dep)] || strftime(sched_dep, ' %H:%M')"
@@ -297,17 +297,17 @@ FROM raw""",
         with_sql(
             f""",
 gaps AS (SELECT *, last_value(CASE WHEN gate IS NOT NULL THEN flight_number END IGNORE NULLS) OVER (ORDER BY row_id) AS fno FROM movements)
-SELECT row_id, {_label_sql('fno')} AS label FROM gaps"""
+SELECT row_id, {label_sql('fno')} AS label FROM gaps"""
         ),
     ),
     "flight_labels": (
         flight_labels,
-        with_sql(f"SELECT flight_id, arg_min({_label_sql('flight_number')}, row_id) AS label FROM movements GROUP BY flight_id"),
+        with_sql(f"SELECT flight_id, arg_min({label_sql('flight_number')}, row_id) AS label FROM movements GROUP BY flight_id"),
     ),
     "labelled_delays": (
         labelled_delays,
         with_sql(
-            f"SELECT arg_min({_label_sql('flight_number')}, row_id) AS flight_id, round(max(dep_delay_min), 4) + 0.0 AS worst_delay "
+            f"SELECT arg_min({label_sql('flight_number')}, row_id) AS flight_id, round(max(dep_delay_min), 4) + 0.0 AS worst_delay "
             "FROM movements GROUP BY movements.flight_id"
         ),
     ),

@@ -221,7 +221,7 @@ wide AS (
          {present('max(b2) * 100.0::DOUBLE / sum(movements)', 1)} AS "share_top_2h_block_%",
          {present('max(b3) * 100.0::DOUBLE / sum(movements)', 1)} AS "share_top_3h_block_%"
   FROM rolled GROUP BY origin)
-UNPIVOT wide ON COLUMNS(* EXCLUDE origin) INTO NAME metric VALUE value""")
+SELECT origin, metric, value FROM (UNPIVOT wide ON COLUMNS(* EXCLUDE origin) INTO NAME metric VALUE value)""")
 
 CHECKS = {
     "slot_counts": (slot_counts, SLOT_COUNTS_SQL),

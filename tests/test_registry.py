@@ -11,7 +11,7 @@ import __spark_entry__ as entry_points
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"tuner_timeline", "recommendations"}
+ROWS_ONLY = {"tuner_timeline"}  # against a one-by-one model in test_scale
 SAMPLE = [
     "runway_load_index_enhanced",
     "best_arrival_enhanced",
@@ -30,6 +30,12 @@ def test_every_query_has_a_twin():
     assert set(queries) - set(twins) == ROWS_ONLY and set(twins) <= set(queries)
 
 
+def test_twins_are_plain_selects():
+    con = connect(SF)
+    for name, sql in entry_points.oracle_sql().items():
+        assert con.sql(f"SELECT * FROM ({sql}) AS q LIMIT 0").columns, name
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).limit(1).count() == 1
 
