@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from slotflow.checks.adapter import (
@@ -18,6 +20,7 @@ from slotflow.checks.slots import rounded
 from slotflow.functions import text, times
 from slotflow.functions.text import HEADER_WORDS, SYNONYMS
 from slotflow.operators import labels, sites
+from slotflow.session import shared_folder
 from slotflow.sources import columns, ingest, sinks, tables
 
 TIME_COLS = ["sched_dep", "act_dep", "sched_arr", "act_arr"]
@@ -166,11 +169,8 @@ def union_sheets(spark, sf):
 
 
 def written_movements(spark, sf):
-    """Written partitioned by date to the shared checkpoint folder and read back."""
-    import uuid
-
-    folder = spark.sparkContext.getCheckpointDir() or sf
-    path = sinks.write_movements(movements(spark, sf), f"{folder}/movements-{uuid.uuid4().hex}")
+    """Written partitioned by date to the shared folder and read back."""
+    path = sinks.write_movements(movements(spark, sf), f"{shared_folder(spark)}/movements-{uuid.uuid4().hex}")
     back = tables.read_movements(spark, path)
     return back.select("row_id", "flight_id", "date", "origin", "sched_dep", "act_arr")
 

@@ -20,9 +20,21 @@ def too_few(delay: str) -> Column:
     return F.count(delay) < F.greatest(F.lit(5.0), F.count(F.lit(1)) * 0.1)
 
 
+def _flag_sparse(df: DataFrame, delay: str, by: Sequence[str], out: str) -> tuple[DataFrame, bool]:
+    """Add the flag; also tells whether it can be true at all.
+
+    Without groups the answer is one value, asked up front: the usual case of enough
+    delays then needs no fallback plan.
+    """
+    if by:
+        return with_group_stats(df, by, {out: too_few(delay)}, wide=True), True
+    sparse = df.agg(too_few(delay)).first()[0]
+    return df.withColumn(out, F.lit(sparse)), sparse
+
+
 def fill_sparse_delays(df: DataFrame, delay: str, by: Sequence[str] = ()) -> DataFrame:
     """``delay_used``: unknown delays count as 0, but only where known ones are too few."""
-    flagged = with_group_stats(df, by, {"__sparse": too_few(delay)}, wide=True)
+    flagged, _ = _flag_sparse(df, delay, by, "__sparse")
     filled = F.when(F.col("__sparse"), F.coalesce(F.col(delay), F.lit(0.0))).otherwise(F.col(delay))
     return flagged.withColumn("delay_used", filled).drop("__sparse")
 
@@ -36,14 +48,17 @@ def ensure_delay_metric(
     crowded slot is never gathered in one task.
     """
     cap = F.lit(capacity) if isinstance(capacity, int) else capacity
-    flagged = with_group_stats(df, by, {"used_fallback": too_few("dep_delay_min")}, wide=True)
-    flagged = flagged.withColumn("__slot", slot_start("sched_dep", window_min))
+    flagged, possible = _flag_sparse(df, "dep_delay_min", by, "used_fallback")
+    if not possible:
+        return flagged
     over = slot_counts(df, "sched_dep", window_min, by).withColumnsRenamed(
         {"slot_start": "__slot", "movements": "__n"}
     )
     synthetic = F.coalesce(F.greatest(F.col("__n") - cap, F.lit(0)) * 3.0, F.lit(0.0))
     return (
-        join_null_safe(flagged, over, [*by, "__slot"], "left")
+        join_null_safe(
+            flagged.withColumn("__slot", slot_start("sched_dep", window_min)), over, [*by, "__slot"], "left"
+        )
         .withColumn(
             "dep_delay_min", F.when(F.col("used_fallback"), synthetic).otherwise(F.col("dep_delay_min"))
         )

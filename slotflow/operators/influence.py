@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from slotflow.functions.ordered import band_sums, next_rows, running_number
 from slotflow.functions.scoring import rotation_weight
 from slotflow.functions.times import HOUR, micros, slot_start
-from slotflow.operators.scope import in_groups, primary_time, scope_airport
+from slotflow.operators.scope import has_any, in_groups, primary_time, scope_airport
 from slotflow.session import cut_lineage
 
 # Fixed values of the dependency model.
@@ -173,12 +173,8 @@ def propagate(
 
 def _base_delay(df: DataFrame, base_delay_col: str) -> Column:
     """The chosen delay, or the departure delay where the chosen one holds nothing."""
-    spare = F.col("dep_delay_min")
-    if base_delay_col not in df.columns:
-        chosen = spare
-    else:
-        known = df.agg((F.count(base_delay_col) > 0).alias("s")).scalar()
-        chosen = F.when(known, F.col(base_delay_col)).otherwise(spare)
+    usable = base_delay_col in df.columns and has_any(df, F.col(base_delay_col).isNotNull())
+    chosen = F.col(base_delay_col if usable else "dep_delay_min")
     return F.greatest(F.coalesce(chosen.try_cast("double"), F.lit(0.0)), F.lit(0.0))
 
 

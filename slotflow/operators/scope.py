@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime, timedelta
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +53,14 @@ def presence(df: DataFrame) -> dict[str, bool]:
     return row.asDict()
 
 
+def has_any(df: DataFrame, condition: Column) -> bool:
+    """Does any row satisfy the condition? The scan stops at the first one found.
+
+    Asked up front, the answer keeps the plan free of unused fallback columns.
+    """
+    return not df.filter(condition).isEmpty()
+
+
 def _names(airport: str, column: str) -> Column:
     return F.coalesce(F.contains(F.upper(F.col(column)), F.lit(airport.upper())), F.lit(False))
 
@@ -69,31 +77,25 @@ def scope_airport(df: DataFrame, airport: str | None, mode: str = "any", on_empt
     if not airport:
         return df
 
-    def any_row(condition: Column) -> Column:
-        return F.coalesce(F.bool_or(condition), F.lit(False))
-
-    def flags(**conditions: Column) -> Column:
-        return df.agg(F.struct(*[any_row(c).alias(n) for n, c in conditions.items()]).alias("s")).scalar()
-
     home = _names(airport, "airport")
     if mode in ("arrival", "departure"):
         column = "destination" if mode == "arrival" else "origin"
-        use = flags(direct=F.col(column).isNotNull(), site=F.col("airport").isNotNull())
-        keep = (
-            F.when(use["direct"], _names(airport, column)).when(use["site"], home).otherwise(F.lit(True))
-        )
+        if has_any(df, F.col(column).isNotNull()):
+            keep = _names(airport, column)
+        elif has_any(df, F.col("airport").isNotNull()):
+            keep = home
+        else:
+            return df
     elif mode == "origin_first":
         origin = _names(airport, "origin")
-        use = flags(direct=origin, site=home)
-        return df.filter(F.when(use["direct"], origin).when(use["site"], home).otherwise(F.lit(True)))
+        keep = next((c for c in (origin, home) if has_any(df, c)), None)
+        return df if keep is None else df.filter(keep)
     elif mode == "any":
-        keep = F.lit(False)
-        for column in SITE_COLUMNS:
-            keep = keep | _names(airport, column)
+        keep = reduce(or_, [_names(airport, column) for column in SITE_COLUMNS])
     else:
         raise ValueError(f"unknown scope mode {mode!r}")
     if on_empty == "all":
-        return df.filter(keep | ~flags(hit=keep)["hit"])
+        return df.filter(keep) if has_any(df, keep) else df
     if on_empty != "none":
         raise ValueError(f"on_empty must be 'none' or 'all', not {on_empty!r}")
     return df.filter(keep)
@@ -109,11 +111,8 @@ def filter_dates(df: DataFrame, start: date | str, end: date | str | None = None
 def ensure_date(df: DataFrame, as_of: date) -> DataFrame:
     """Guarantee ``date``: itself, else the day of the first time column with any value."""
     sources = ["date", "sched_dep", "sched_arr", "act_dep", "act_arr"]
-    found = df.agg(F.struct(*[(F.count(c) > 0).alias(c) for c in sources]).alias("s")).scalar()
-    pick = F.lit(as_of)
-    for c in reversed(sources):
-        pick = F.when(found[c], F.to_date(F.col(c))).otherwise(pick)
-    return df.withColumn("date", pick)
+    source = next((c for c in sources if has_any(df, F.col(c).isNotNull())), None)
+    return df.withColumn("date", F.lit(as_of) if source is None else F.to_date(F.col(source)))
 
 
 def ops_view(df: DataFrame, as_of: date) -> DataFrame:
@@ -127,11 +126,9 @@ def primary_time() -> Column:
 
 def schedule_time(df: DataFrame) -> DataFrame:
     """Departure schedule; only when it is entirely empty, actual departure or arrival schedule."""
-    any_dep = df.agg((F.count("sched_dep") > 0).alias("s")).scalar()
-    spare = F.coalesce(F.col("act_dep"), F.col("sched_arr"))
-    return df.withColumn("sched_dep", F.when(any_dep, F.col("sched_dep")).otherwise(spare)).filter(
-        F.col("sched_dep").isNotNull()
-    )
+    if not has_any(df, F.col("sched_dep").isNotNull()):
+        df = df.withColumn("sched_dep", F.coalesce("act_dep", "sched_arr"))
+    return df.filter(F.col("sched_dep").isNotNull())
 
 
 def next_hours(

@@ -28,18 +28,24 @@ def build_session(app: str = "slotflow", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results, as named by ``spark.checkpoint.dir``.
 
-    Only when neither that setting nor a checkpoint folder exists (unit tests) a
-    temporary one is made; a cluster must name a shared folder.
+    Only a local session without that setting (unit tests) gets a temporary folder;
+    a cluster must name one that all executors share.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if shared is None and not sc.master.startswith("local"):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="slotflow-ckpt-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="slotflow-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: the plan starts anew and survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
