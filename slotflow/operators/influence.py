@@ -136,38 +136,38 @@ def crew_links(df: DataFrame, incoming: bool = True, by: Sequence[str] = ()) ->
 def propagate(
     df: DataFrame, steps: int, decay: float, direction: str = "incoming", by: Sequence[str] = ()
 ) -> DataFrame:
-    """(row_id, reach): sum over k of decay^k times the k-step path weight of a movement.
+    """(row_id, reach) of movements on any path: sum over k of decay^k times the k-step path weight.
 
     Each movement carries its few explicit edges, so a step sends weight along them
-    without a join; crew links are two sliding sums per carrier. The step result is
-    written to the checkpoint folder: neither the plan nor a recomputation after a
-    lost executor grows with the steps.
+    without an edge join; crew links are two sliding sums per carrier. What stays the
+    same is written to the checkpoint folder once, and each step adds one narrow row
+    per movement: neither the plan nor a recomputation after a lost executor grows
+    with the steps.
     """
     if direction not in ("incoming", "outgoing"):
         raise ValueError(f"direction must be 'incoming' or 'outgoing', not {direction!r}")
     incoming = direction == "incoming"
-    carried = [*by, "row_id", "carrier", "__t", "links"]
-    state = (
-        df.select(*by, "row_id", "carrier", micros("sched_dep").alias("__t"))
-        .join(_links(dependency_edges(df, 5, by), incoming), "row_id", "left")
-        .select(*carried, F.lit(1.0).alias("s"), F.lit(0.0).alias("reach"))
+    crewed = [*by, "carrier", "__t"]
+    fixed = cut_lineage(
+        df.select("row_id", *by, "carrier", micros("sched_dep").alias("__t")).join(
+            _links(dependency_edges(df, 5, by), incoming), "row_id", "left"
+        )
     )
-    factor = decay
+    state, sending, factor = None, fixed.withColumn("s", F.lit(1.0)), decay
     for _ in range(steps):
-        state = cut_lineage(state)
-        sending = state.filter(F.col("s") != 0)
         direct = sending.select("s", F.explode("links").alias("e")).select(
-            F.col("e.to").alias("row_id"), (F.col("e.weight") * F.col("s")).alias("gain")
-        )
-        crewed = [*by, "carrier", "__t"]
-        sums = _crew_sums(sending.select(*crewed, "s"), by, incoming, F.col("s"))
-        crew = state.select("row_id", *crewed).join(sums, crewed).select("row_id", F.col("__w").alias("gain"))
-        gained = direct.unionByName(crew).groupBy("row_id").agg(F.sum("gain").alias("gain"))
-        gain = F.coalesce(F.col("gain"), F.lit(0.0))
-        state = state.join(gained, "row_id", "left").select(
-            *carried, gain.alias("s"), (F.col("reach") + gain * F.lit(factor)).alias("reach")
+            F.col("e.to").alias("row_id"), (F.col("e.weight") * F.col("s")).alias("s")
         )
+        sums = _crew_sums(sending.select(*crewed, "s"), by, incoming, F.col("s")).filter(F.col("__w") != 0)
+        crew = fixed.select("row_id", *crewed).join(sums, crewed).select("row_id", F.col("__w").alias("s"))
+        gained = direct.unionByName(crew).withColumn("reach", F.col("s") * F.lit(factor))
+        if state is not None:
+            gained = gained.unionByName(state.select("row_id", F.lit(0.0).alias("s"), "reach"))
+        state = cut_lineage(gained.groupBy("row_id").agg(F.sum("s").alias("s"), F.sum("reach").alias("reach")))
+        sending = fixed.join(state.filter(F.col("s") != 0).select("row_id", "s"), "row_id")
         factor *= decay
+    if state is None:
+        return fixed.select("row_id", F.lit(0.0).alias("reach"))
     return state.select("row_id", "reach")
 
 
@@ -190,18 +190,18 @@ def movement_influence(
     """Influence per movement (row), before the roll-up by flight id."""
     scoped = in_groups(scope_airport(df, airport, "any"), by)
     reach = propagate(scoped, steps, decay_factor, direction, by)
-    b = F.col("direct_impact")
+    b, r = F.col("direct_impact"), F.coalesce(F.col("reach"), F.lit(0.0))
     return (
         scoped.select(*by, "row_id", "flight_id", _base_delay(scoped, base_delay_col).alias("direct_impact"))
-        .join(reach, "row_id")
+        .join(reach, "row_id", "left")
         .select(
             *by,
             "row_id",
             "flight_id",
-            (b * (1 + F.col("reach"))).alias("influence_delta_total_delay"),
+            (b * (1 + r)).alias("influence_delta_total_delay"),
             "direct_impact",
-            (b * F.col("reach")).alias("cascading_impact"),
-            (b * F.col("reach") / F.greatest(b, F.lit(0.1))).alias("influence_ratio"),
+            (b * r).alias("cascading_impact"),
+            (b * r / F.greatest(b, F.lit(0.1))).alias("influence_ratio"),
         )
     )
 
