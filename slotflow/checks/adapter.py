@@ -110,6 +110,11 @@ _SPARK_FORMATS = ["HH:mm", "HH:mm:ss", "hh:mm a", "hh:mm:ss a", "dd/MM/yyyy HH:m
 _SQL_FORMATS = ["%H:%M", "%H:%M:%S", "%I:%M %p", "%I:%M:%S %p", "%d/%m/%Y %H:%M", "%Y-%m-%d %H:%M:%S"]
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Fixtures only: the given table is one small file, so texts would be made on one core."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def raw_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Movements written as untidy text: mixed time formats, sparse dates, null marks."""
     def time(column: str, offset: int) -> str:
@@ -118,7 +123,7 @@ def raw_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         return f"CASE WHEN row_id % 13 = {offset} THEN 'nan' ELSE CASE (row_id + {offset}) % 6 {cases} END END"
 
-    return movements(spark, sf_dir).selectExpr(
+    return _spread(movements(spark, sf_dir), "row_id").selectExpr(
         "row_id",
         "concat('schedule-', CAST(row_id % 3 AS STRING), '.csv') AS source_file",
         "CASE WHEN row_id % 4 = 0 THEN date_format(sched_dep, 'dd/MM/yyyy') END AS `Date`",
@@ -190,11 +195,12 @@ def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(r == 0, F.array(row(F.lit(0), texts(PLAIN_HEADERS)))).otherwise(F.array()),
         F.array(row(1 + r, plain_values)),
     )
-    return raw.select(
+    cells = raw.select(
         F.concat(F.lit("book-"), (sheet_no % 4).cast("string")).alias("source_file"),
         F.concat(F.lit("sheet-"), sheet_no.cast("string")).alias("sheet"),
         F.explode(F.when(plain, flat).otherwise(blocks)).alias("c"),
     ).select("source_file", "sheet", "c.row_idx", "c.cells")
+    return _spread(cells, "sheet", "row_idx")
 
 
 _LISTS = [", ".join(f'"{h}"' for h in order) for order in BLOCK_ORDERS]
