@@ -94,6 +94,11 @@ movements_airport_only AS (
   FROM movements)"""
 
 
+def strip_sql(expr: str) -> str:
+    """Without blanks, tabs, line ends and no-break spaces at the ends."""
+    return f"trim({expr}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))"
+
+
 def with_sql(body: str, views: str = MOVEMENTS_SQL) -> str:
     return f"WITH {views.strip()}{body}" if body.lstrip().startswith(",") else f"WITH {views.strip()}\n{body}"
 
@@ -110,6 +115,14 @@ _SPARK_FORMATS = ["HH:mm", "HH:mm:ss", "hh:mm a", "hh:mm:ss a", "dd/MM/yyyy HH:m
 _SQL_FORMATS = ["%H:%M", "%H:%M:%S", "%I:%M %p", "%I:%M:%S %p", "%d/%m/%Y %H:%M", "%Y-%m-%d %H:%M:%S"]
 
 
+# cells that are no time: a null mark, a clock without colon, a day number, a year, a word
+_NO_TIMES = """WHEN row_id % 13 = {offset} THEN 'nan' WHEN row_id % 31 = 4 THEN '1230' WHEN row_id % 31 = 9 THEN '45353'
+ WHEN row_id % 31 = 14 THEN '2024' WHEN row_id % 31 = 19 THEN 'soon'"""
+# the carrier with white space of several kinds, or a null mark
+_AIRLINE = """CASE row_id % 13 WHEN 5 THEN ' nan' WHEN 6 THEN chr(160) || lower(carrier) || chr(9) WHEN 7 THEN lower(carrier) || chr(13) || chr(10)
+ WHEN 8 THEN 'nan' || chr(9) ELSE lower(carrier) END"""
+
+
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
     """Fixtures only: the given table is one small file, so texts would be made on one core."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
@@ -121,13 +134,13 @@ def raw_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
         cases = " ".join(
             f"WHEN {i} THEN date_format({column}, '{p}')" for i, p in enumerate(_SPARK_FORMATS)
         )
-        return f"CASE WHEN row_id % 13 = {offset} THEN 'nan' ELSE CASE (row_id + {offset}) % 6 {cases} END END"
+        return f"CASE {_NO_TIMES.format(offset=offset)} ELSE CASE (row_id + {offset}) % 6 {cases} END END"
 
     return _spread(movements(spark, sf_dir), "row_id").selectExpr(
         "row_id",
         "concat('schedule-', CAST(row_id % 3 AS STRING), '.csv') AS source_file",
         "CASE WHEN row_id % 4 = 0 THEN date_format(sched_dep, 'dd/MM/yyyy') END AS `Date`",
-        "CASE WHEN row_id % 13 = 5 THEN ' nan' ELSE lower(carrier) END AS `Airline`",
+        f"{_AIRLINE} AS `Airline`",
         "CASE row_id % 3 WHEN 0 THEN flight_number || '.0' WHEN 1 THEN carrier || ' ' || flight_number ELSE flight_number END"
         " AS `Flight No`",
         "origin AS `From`",
@@ -143,14 +156,14 @@ def raw_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _raw_time_sql(column: str, offset: int) -> str:
     cases = " ".join(f"WHEN {i} THEN strftime({column}, '{p}')" for i, p in enumerate(_SQL_FORMATS))
-    return f"CASE WHEN row_id % 13 = {offset} THEN 'nan' ELSE CASE (row_id + {offset}) % 6 {cases} END END"
+    return f"CASE {_NO_TIMES.format(offset=offset)} ELSE CASE (row_id + {offset}) % 6 {cases} END END"
 
 
 RAW_SQL = f"""{MOVEMENTS_SQL},
 raw AS (
   SELECT row_id, 'schedule-' || (row_id % 3) || '.csv' AS source_file,
          CASE WHEN row_id % 4 = 0 THEN strftime(sched_dep, '%d/%m/%Y') END AS "Date",
-         CASE WHEN row_id % 13 = 5 THEN ' nan' ELSE lower(carrier) END AS "Airline",
+         {_AIRLINE} AS "Airline",
          CASE row_id % 3 WHEN 0 THEN flight_number || '.0' WHEN 1 THEN carrier || ' ' || flight_number ELSE flight_number END AS "Flight No",
          origin AS "From", destination AS "To", tail_number AS "Tail", gate AS "Gate",
          {_raw_time_sql('sched_dep', 0)} AS "STD", {_raw_time_sql('act_dep', 1)} AS "ATD",
@@ -167,6 +180,14 @@ BLOCK_ORDERS = [
 PLAIN_HEADERS = ["Flight Date", "Airline", "Fl.No", "Src", "Dest", "Tail Number", "Stand No", "Sched Dep", "Actual Dep", "Sched Arr", "Actual Arr"]
 
 
+_PADDED = {"STD": "STD\n", "From": "\tFrom ", "Airline": "\u00a0Airline"}  # as a workbook may hold them
+
+
+def _written(order: list[str]) -> list[str]:
+    """Header cells of a block: padded where the block begins with its last column."""
+    return [_PADDED.get(h, h) for h in order] if order == BLOCK_ORDERS[1] else order
+
+
 def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheets as rows of cells, with title rows, repeated headers and permuted columns."""
     raw = raw_movements(spark, sf_dir)
@@ -188,7 +209,7 @@ def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain_values = F.array(*[F.col(f"`{h}`") for h in RAW_HEADERS])
     blocks = F.concat(
         F.when(r == 0, F.array(row(F.lit(0), texts(["Schedule", None, "draft"])))).otherwise(F.array()),
-        F.when(r % 20 == 0, F.array(row(1 + block * 21, by_block(texts)))).otherwise(F.array()),
+        F.when(r % 20 == 0, F.array(row(1 + block * 21, by_block(lambda order: texts(_written(order)))))).otherwise(F.array()),
         F.array(row(2 + block * 21 + r % 20, values)),
     )
     flat = F.concat(
@@ -197,14 +218,15 @@ def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     cells = raw.select(
         F.concat(F.lit("book-"), (sheet_no % 4).cast("string")).alias("source_file"),
-        F.concat(F.lit("sheet-"), sheet_no.cast("string")).alias("sheet"),
+        F.when(sheet_no != 3, F.concat(F.lit("sheet-"), sheet_no.cast("string"))).alias("sheet"),
         F.explode(F.when(plain, flat).otherwise(blocks)).alias("c"),
     ).select("source_file", "sheet", "c.row_idx", "c.cells")
     return _spread(cells, "sheet", "row_idx")
 
 
 _LISTS = [", ".join(f'"{h}"' for h in order) for order in BLOCK_ORDERS]
-_HEADS = ["[" + ", ".join(f"'{h}'" for h in order) + "]" for order in [*BLOCK_ORDERS, PLAIN_HEADERS]]
+_HEADS = ["[" + ", ".join(f"'{h}'" for h in order) + "]" for order in [*map(_written, BLOCK_ORDERS), PLAIN_HEADERS]]
+SHEET_SQL = "CASE WHEN {no} <> 3 THEN 'sheet-' || ({no}) END"
 CELLS_SQL = f"""{RAW_SQL},
 placed AS (SELECT *, row_id // 60 AS sheet_no, row_id % 60 AS r, (row_id % 60) // 20 AS block, (row_id // 60) % 5 = 4 AS plain FROM raw),
 parts AS (
@@ -216,4 +238,4 @@ parts AS (
   UNION ALL SELECT sheet_no, 0, {_HEADS[3]} FROM placed WHERE r = 0 AND plain
   UNION ALL SELECT sheet_no, 1 + r, [{_LISTS[0]}] FROM placed WHERE plain),
 cell_rows AS (
-  SELECT 'book-' || (sheet_no % 4) AS source_file, 'sheet-' || sheet_no AS sheet, CAST(row_idx AS BIGINT) AS row_idx, cells FROM parts)"""
+  SELECT 'book-' || (sheet_no % 4) AS source_file, {SHEET_SQL.format(no='sheet_no')} AS sheet, CAST(row_idx AS BIGINT) AS row_idx, cells FROM parts)"""

@@ -13,7 +13,9 @@ from slotflow.checks.adapter import (
     movements,
     movements_airport_only,
     AIRPORT_ONLY_SQL,
+    SHEET_SQL,
     raw_movements,
+    strip_sql,
     with_sql,
 )
 from slotflow.checks.slots import rounded
@@ -58,7 +60,7 @@ SELECT row_id, CAST(try_strptime("Date", '%d/%m/%Y') AS DATE) AS day,
 
 
 def _normalised_cte(source, file):
-    null = lambda c: f"CASE WHEN trim(\"{c}\") IN ('', 'nan') THEN NULL ELSE trim(\"{c}\") END"
+    null = lambda c: f"nullif(nullif({strip_sql(chr(34) + c + chr(34))}, ''), 'nan')"
     return f""",
 days AS (
   SELECT *, coalesce(last_value(CAST(try_strptime("Date", '%d/%m/%Y') AS DATE) IGNORE NULLS) OVER up,
@@ -103,7 +105,7 @@ def header_names(spark, sf):
 
 
 _HINTS = "[" + ", ".join(f"'{w}'" for w in HEADER_WORDS) + "]"
-_IS_HEADER = f"len(list_filter(cells, lambda c: list_contains({_HINTS}, translate(lower(trim(c)), ' _', '')))) >= 2"
+_IS_HEADER = f"len(list_filter(cells, lambda c: list_contains({_HINTS}, translate(lower({strip_sql('c')}), ' _', '')))) >= 2"
 
 
 def block_rows(spark, sf):
@@ -127,15 +129,15 @@ def _layout_sql():
     for name, words in SYNONYMS.items():
         listed = "[" + ", ".join(f"'{w}'" for w in words) + "]"
         picks.append(
-            f"CAST(min(pos) FILTER (list_contains({listed}, translate(lower(trim(name)), ' _', ''))) - 1 AS INTEGER) AS {name}"
+            f"CAST(min(pos) FILTER (list_contains({listed}, translate(lower({strip_sql('name')}), ' _', ''))) - 1 AS INTEGER) AS {name}"
         )
     return with_sql(
         f"""{_BLOCKS},
 body AS (SELECT source_file, sheet, header_idx, unnest(cells) AS cell, generate_subscripts(cells, 1) AS pos FROM located WHERE row_idx > header_idx),
 live AS (SELECT DISTINCT source_file, sheet, header_idx, pos FROM body WHERE cell IS NOT NULL),
 heads AS (SELECT source_file, sheet, header_idx, unnest(cells) AS name, generate_subscripts(cells, 1) AS pos FROM located WHERE row_idx = header_idx)
-SELECT source_file, sheet, header_idx, {', '.join(picks)}
-FROM heads JOIN live USING (source_file, sheet, header_idx, pos) GROUP BY source_file, sheet, header_idx""",
+SELECT source_file, heads.sheet, header_idx, {', '.join(picks)}
+FROM heads JOIN live l USING (source_file, header_idx, pos) WHERE heads.sheet IS NOT DISTINCT FROM l.sheet GROUP BY source_file, heads.sheet, header_idx""",
         CELLS_SQL,
     )
 
@@ -148,8 +150,8 @@ def read_blocks(spark, sf):
 
 
 READ_BLOCKS_SQL = with_sql(
-    """
-SELECT 'book-' || ((row_id // 60) % 4) AS source_file, 'sheet-' || (row_id // 60) AS sheet, "From" AS origin, "To" AS destination,
+    f"""
+SELECT 'book-' || ((row_id // 60) % 4) AS source_file, {SHEET_SQL.format(no='row_id // 60')} AS sheet, "From" AS origin, "To" AS destination,
        "STD" AS sched_dep, "ATD" AS act_dep, "STA" AS sched_arr, "ATA" AS act_arr, "Airline" AS carrier, "Flight No" AS flight_number,
        "Tail" AS tail_number, "Date" AS date
 FROM raw""",
@@ -226,7 +228,10 @@ CHECKS = {
         clean_tokens,
         with_sql(
             "SELECT row_id, "
-            + ", ".join(f"CASE WHEN trim(\"{c}\") NOT IN ('', '<NA>', 'NaT', 'nan') THEN trim(\"{c}\") END AS {c.lower()}" for c in ("Airline", "ATD", "Gate"))
+            + ", ".join(
+                f"CASE WHEN {strip_sql(chr(34) + c + chr(34))} NOT IN ('', '<NA>', 'NaT', 'nan') THEN {strip_sql(chr(34) + c + chr(34))} END AS {c.lower()}"
+                for c in ("Airline", "ATD", "Gate")
+            )
             + " FROM raw",
             RAW_SQL,
         ),
@@ -268,7 +273,7 @@ SELECT source_file, sheet, row_idx, CAST(pos AS INTEGER) AS pos, CASE WHEN nth =
     "blocks_to_movements": (
         blocks_to_movements,
         with_sql(
-            _normalised_cte("raw", "row_id // 60") + "\nSELECT 'sheet-' || (row_id // 60) AS sheet, flight_id, date, "
+            _normalised_cte("raw", "row_id // 60") + f"\nSELECT {SHEET_SQL.format(no='row_id // 60')} AS sheet, flight_id, date, "
             "sched_dep, act_dep, sched_arr, act_arr FROM normal",
             RAW_SQL,
         ),
@@ -286,9 +291,9 @@ SELECT source_file, sheet, row_idx, CAST(pos AS INTEGER) AS pos, CASE WHEN nth =
         cleaned_labels,
         with_sql(
             """
-SELECT row_id, CASE WHEN trim("Airline") = 'nan' THEN '' ELSE trim("Airline") END AS airline, coalesce("Gate", '') AS gate,
+SELECT row_id, coalesce(nullif(AIRLINE, 'nan'), '') AS airline, coalesce("Gate", '') AS gate,
        upper(replace(regexp_replace("Flight No", '^(\\d+)\\.0$', '\\1'), ' ', '')) AS flight_number
-FROM raw""",
+FROM raw""".replace("AIRLINE", strip_sql('"Airline"')),
             RAW_SQL,
         ),
     ),

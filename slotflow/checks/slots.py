@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from slotflow.checks.adapter import (
@@ -13,7 +16,6 @@ from slotflow.checks.adapter import (
     with_sql,
 )
 from slotflow.functions.scoring import present as present_column
-from slotflow.functions.quantiles import series_coefficients, t_table
 from slotflow.operators import slots
 
 BY = ["origin"]
@@ -85,7 +87,8 @@ stats AS (
          CASE WHEN count(*) >= 3 THEN covar_samp(daily, x) END AS cov,
          CASE WHEN count(*) >= 3 THEN stddev_samp(x) * stddev_samp(daily) END AS sds
   FROM numbered GROUP BY origin, slot_start),
-top AS (SELECT * FROM stats QUALIFY row_number() OVER (PARTITION BY origin ORDER BY movements DESC, slot_start) <= 20),
+top AS (SELECT * REPLACE ({present('avg_per_day', 2)} AS avg_per_day, {present('std_dev', 2)} AS std_dev, {present('median_per_day', 2)} AS median_per_day)
+        FROM stats QUALIFY row_number() OVER (PARTITION BY origin ORDER BY stats.movements DESC, slot_start) <= 20),
 margins AS (SELECT *, 1.96 * std_dev / sqrt(days_observed) AS m FROM top)
 SELECT origin, slot_start, round(avg_per_day, 4) AS avg_per_day, round(std_dev, 4) AS std_dev, days_observed,
        round(median_per_day, 4) AS median_per_day, movements, round(m, 4) AS margin_of_error,
@@ -176,10 +179,35 @@ def _best_time(kind, source, enhanced=True, by=BY):
     return run
 
 
+def _t_share(t: float, dof: int) -> float:
+    """P(|T| < t) from the finite trigonometric sums for odd and even degrees of freedom."""
+    angle = math.atan(t / math.sqrt(dof))
+    c, s = math.cos(angle), math.sin(angle)
+    term = total = c if dof % 2 else 1.0
+    for k in range(3 if dof % 2 else 2, dof, 2):
+        term *= c * c * (k - 1) / k
+        total += term
+    if dof % 2 == 0:
+        return s * total
+    return 2 / math.pi * (angle + (s * total if dof > 1 else 0.0))
+
+
+@lru_cache(maxsize=4)
+def t_values(confidence: float, up_to: int = 400) -> tuple[float, ...]:
+    """Two-sided critical values by bisection, independent of the engine's."""
+    found = []
+    for dof in range(1, up_to + 1):
+        low, high = 0.0, 1e4
+        for _ in range(120):
+            mid = (low + high) / 2
+            low, high = (mid, high) if _t_share(mid, dof) < confidence else (low, mid)
+        found.append((low + high) / 2)
+    return tuple(found)
+
+
 def _best_time_sql(kind, source, views, enhanced=True, minutes=30):
     time, delay = ("sched_arr", "arr_delay_min") if kind == "arrival" else ("sched_dep", "dep_delay_min")
-    table = "[" + ", ".join(repr(v) for v in t_table(0.95)) + "]"
-    series = " + ".join(f"{c!r} / pow(n - 1, {p})" for p, c in enumerate(series_coefficients(0.95)))
+    table = "[" + ", ".join(repr(v) for v in t_values(0.95)) + "]"
     axis = dense_sql(source, minutes, time=time)
     score = "CASE WHEN n >= 2 THEN 100 * (0.6 / (1 + std / greatest(mean, 0.1)) + 0.4 * ln(n) / ln(top)) END"
     cols = (
@@ -199,7 +227,7 @@ stats AS (SELECT origin, slot_start, avg(d) AS mean, CASE WHEN count(d) > 1 THEN
 full_axis AS (SELECT a.origin, a.slot_start, s.mean, s.std, coalesce(s.n, 0) AS n, s.med,
                 max(s.n) OVER (PARTITION BY a.origin) AS top, {present('s.mean', 2)} AS mean_delay_min
          FROM dense a LEFT JOIN stats s ON a.origin = s.origin AND a.slot_start = s.slot_start),
-margins AS (SELECT *, CASE WHEN n > {len(t_table(0.95)) + 1} THEN {series} WHEN n > 1 THEN {table}[n - 1] END
+margins AS (SELECT *, CASE WHEN n > 1 THEN {table}[n - 1] END
                       * std / sqrt(n) AS m FROM full_axis)
 SELECT {cols} FROM margins""",
         views,

@@ -10,6 +10,8 @@ across bin borders. The result is exactly that of the plain window.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,13 @@ def row_bin(row_id: Column | str = "row_id", bits: int = ROW_BIN_BITS) -> Column
     return F.shiftright(row_id, bits)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join in which NULL keys meet each other, so that rows without a key are kept."""
+    other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return left.join(other, match, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def next_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -72,7 +81,7 @@ def next_rows(
     )
     tail = F.coalesce("__after", F.slice(out, 1, 0))
     return (
-        rows.join(after, [*keys, *bins], "left")
+        join_null_safe(rows, after, [*keys, *bins], "left")
         .withColumn(out, F.slice(F.concat(out, tail), 1, n))
         .drop("__after", *bins)
     )
@@ -101,13 +110,13 @@ def fill_forward(
         .alias("__lead"),
     )
     sources = [F.last(col, True).over(in_chunk), F.col("__carry")] + ([F.col("__lead")] if then_back else [])
-    return df.join(carried, [*keys, chunk], "left").withColumn(out, F.coalesce(*sources)).drop("__carry", "__lead")
+    return join_null_safe(df, carried, [*keys, chunk], "left").withColumn(out, F.coalesce(*sources)).drop("__carry", "__lead")
 
 
 def running_number(
     df: DataFrame, keys: Sequence[str], order: str = "row_id", out: str = "occurrence", bits: int = ROW_BIN_BITS
 ) -> DataFrame:
-    """0-based number of each row within ``keys`` along ``order`` (a row id)."""
+    """0-based number of each row within ``keys`` along ``order`` (a row id); NULL is a key like any other."""
     binned = df.withColumn("__rb", row_bin(order, bits))
     in_bin = Window.partitionBy(*keys, "__rb").orderBy(order)
     before = Window.partitionBy(*keys).orderBy("__rb").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,8 +126,7 @@ def running_number(
         .select(*keys, "__rb", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     )
     return (
-        binned.withColumn("__rn", F.row_number().over(in_bin))
-        .join(offsets, [*keys, "__rb"])
+        join_null_safe(binned.withColumn("__rn", F.row_number().over(in_bin)), offsets, [*keys, "__rb"])
         .withColumn(out, (F.col("__rn") - 1 + F.col("__offset")).cast("bigint"))
         .drop("__rn", "__rb", "__offset")
     )

@@ -40,32 +40,45 @@ MISSING_MARKS = ["", "<NA>", "NaT", "nan"]
 NULL_WORDS = ["none", "null", "nil", "na", "n/a", "n.a", "na.", "n.a.", "n-a", "—", "-"]
 
 
+#: White space at the ends of a cell: ASCII, no-break and the Unicode spaces and line ends.
+SPACE = "".join(chr(i) for i in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
+def strip(c: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.trim(c, F.lit(SPACE))
+
+
 def normalise_token(c: Column) -> Column:
-    """Trimmed, lower case, without spaces and underscores."""
-    return F.translate(F.lower(F.trim(c)), " _", "")
+    """Stripped, lower case, without spaces and underscores."""
+    return F.translate(F.lower(strip(c)), " _", "")
 
 
 def normalise_word(word: str) -> str:
     """Driver-side twin of :func:`normalise_token` for header lists."""
-    return word.strip().lower().replace(" ", "").replace("_", "")
+    return word.strip(SPACE).lower().translate({ord(" "): None, ord("_"): None})
 
 
 def clean_token(c: Column) -> Column:
-    """Trimmed text, NULL for the markers of a missing cell."""
-    t = F.trim(c)
+    """Stripped text, NULL for the markers of a missing cell."""
+    t = strip(c)
     return F.when(~t.isin(MISSING_MARKS), t)
 
 
 def blank_null_words(c: Column) -> Column:
-    """Trimmed text; NULL and whole-value null words become ''."""
-    t = F.trim(c)
+    """Stripped text; NULL and whole-value null words become ''."""
+    t = strip(c)
     missing = t.isNull() | t.isin("<NA>", "nan", "NaN") | F.lower(t).isin(NULL_WORDS)
     return F.when(missing, "").otherwise(t)
 
 
+# Fixed value: a whole number that a spreadsheet wrote with a decimal.
+WHOLE_NUMBER = r"^(\d+)\.0$"
+
+
 def strip_number(c: Column) -> Column:
     """'123.0' to '123', no spaces, upper case."""
-    return F.upper(F.replace(F.regexp_replace(c, r"^(\d+)\.0$", "$1"), F.lit(" "), F.lit("")))
+    return F.upper(F.replace(F.regexp_replace(c, WHOLE_NUMBER, "$1"), F.lit(" "), F.lit("")))
 
 
 def clean_flight_number(c: Column) -> Column:

@@ -86,7 +86,7 @@ def estimate_total_dep_delay(
     load = slot_counts(times, time_col, window_min, by)
     cost = F.coalesce(F.col("mean_delay"), F.lit(0.0)) * F.col("movements")
     return (
-        load.join(slot_mean_delay(df, window_min, by), [*by, "slot_start"], "left")
+        join_null_safe(load, slot_mean_delay(df, window_min, by), [*by, "slot_start"], "left")
         .groupBy(*by)
         .agg(F.coalesce(F.sum(cost), F.lit(0.0)).alias("total_dep_delay"))
     )

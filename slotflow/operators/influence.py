@@ -124,12 +124,15 @@ def crew_links(df: DataFrame, incoming: bool = True, by: Sequence[str] = ()) ->
     """Per movement: number of crew partners and their total weight.
 
     Partners are movements of the same carrier that depart two to six hours earlier
-    (``incoming``) or later.
+    (``incoming``) or later. A movement without carrier or departure has none.
     """
     points = in_groups(df, by).select(*by, "row_id", "carrier", micros("sched_dep").alias("__t"))
     sums = _crew_sums(points, by, incoming, F.lit(1))
-    return points.join(sums, [*by, "carrier", "__t"]).select(
-        *by, "row_id", F.col("__n").cast("bigint").alias("links"), F.col("__w").alias("weight_sum")
+    return points.join(sums, [*by, "carrier", "__t"], "left").select(
+        *by,
+        "row_id",
+        F.coalesce(F.col("__n"), F.lit(0.0)).cast("bigint").alias("links"),
+        F.coalesce(F.col("__w"), F.lit(0.0)).alias("weight_sum"),
     )
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime, timedelta
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotflow.functions.ordered import join_null_safe
 from slotflow.functions.times import add_minutes, clock_on
 from slotflow.schema import SITE_COLUMNS
 from slotflow.session import broadcast_if_small
@@ -17,13 +18,6 @@ from slotflow.session import broadcast_if_small
 TIME_COLUMNS = ("sched_dep", "act_dep", "sched_arr", "act_arr")
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi join in which NULL keys meet each other, so that rows without a key are kept."""
-    other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
-    return left.join(other, match, how).drop(*[f"__r_{k}" for k in keys])
-
-
 def in_groups(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Only rows that have all group keys: a movement without an airport is in no airport's schedule."""
     return df.dropna(subset=list(by)) if by else df

@@ -81,7 +81,10 @@ def busiest_slots_enhanced(
         )
     )
     base = [*group, "avg_per_day", "std_dev", "days_observed", "median_per_day", "movements"]
-    stats = top_slots(stats, top_n, by)
+    # Shown with two digits; what follows is computed from the shown values.
+    stats = top_slots(stats, top_n, by).withColumns(
+        {c: scoring.present(F.col(c), 2) for c in ("avg_per_day", "std_dev", "median_per_day")}
+    )
     if not include_stats:
         return stats.select(*base)
     margin = F.lit(1.96) * F.col("std_dev") / F.sqrt(F.col("days_observed"))

@@ -7,32 +7,27 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotflow.functions.text import HEADER_WORDS, SYNONYMS, normalise_token, normalise_word
+from slotflow.functions.text import HEADER_WORDS, SPACE, SYNONYMS, normalise_token, normalise_word
 
 
 def make_unique(names: Iterable[str | None]) -> list[str]:
-    """Header names with .1, .2, ... on repeats; a missing name is ''."""
-    seen: dict[str, int] = {}
-    out = []
-    for name in names:
-        base = "" if name is None else str(name)
-        seen[base] = seen.get(base, -1) + 1
-        out.append(base if seen[base] == 0 else f"{base}.{seen[base]}")
-    return out
+    """Header names as :func:`unique_header_names` gives them: the nth repeat ends in .n, a missing name is ''."""
+    cells = ["" if n is None else str(n) for n in names]
+    places = {cell: [i for i, other in enumerate(cells) if other == cell] for cell in set(cells)}
+    repeats = [places[cell].index(i) for i, cell in enumerate(cells)]
+    return [f"{cell}.{n}" if n else cell for cell, n in zip(cells, repeats)]
 
 
 def detect_columns(names: Sequence[str]) -> dict[str, str]:
     """Canonical column -> first header that is one of its spellings."""
-    mapping = {}
-    for canonical, spellings in SYNONYMS.items():
-        hit = next((n for n in names if normalise_word(n) in spellings), None)
-        if hit is not None:
-            mapping[canonical] = hit
-    return mapping
+    first = {normalise_word(name): name for name in reversed(names)}
+    ranked = {c: min((names.index(first[w]) for w in words if w in first), default=-1) for c, words in SYNONYMS.items()}
+    return {c: names[at] for c, at in ranked.items() if at >= 0}
 
 
 _CELL_END = "\x1f"  # joins cells; header words cannot contain it
-_HEADER_CELL = rf"(?<={_CELL_END})\s*(?:{'|'.join(HEADER_WORDS)})\s*(?={_CELL_END})"
+_PAD = f"[{SPACE.replace(_CELL_END, '')}]*"
+_HEADER_CELL = rf"(?<={_CELL_END}){_PAD}(?:{'|'.join(HEADER_WORDS)}){_PAD}(?={_CELL_END})"
 
 
 def looks_like_header(cells: Column, min_hits: int = 2) -> Column:

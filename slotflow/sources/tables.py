@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotflow.functions.ordered import fill_forward
-from slotflow.functions.text import SYNONYMS
+from slotflow.functions.ordered import fill_forward, join_null_safe
+from slotflow.functions.text import SYNONYMS, strip
 from slotflow.schema import conform
 from slotflow.session import broadcast_if_small
 from slotflow.sources.columns import column_position, looks_like_header, make_unique
@@ -127,7 +127,7 @@ _CHUNK_BITS = 16
 
 
 def _has_text(cells: Column) -> Column:
-    return F.trim(F.concat_ws("", cells)) != ""
+    return strip(F.concat_ws("", cells)) != ""
 
 
 def locate_blocks(cells: DataFrame) -> DataFrame:
@@ -157,14 +157,14 @@ def block_layout(rows: DataFrame) -> DataFrame:
     body = rows.filter((F.col("row_idx") > F.col("header_idx")) & _has_text(F.col("cells")))
     live = (
         body.select(*_BLOCK, F.posexplode("cells").alias("pos", "cell"))
-        .filter(F.trim("cell") != "")
+        .filter(strip(F.col("cell")) != "")
         .groupBy(*_BLOCK, "pos")
         .agg(F.lit(1).alias("x"))
         .groupBy(*_BLOCK)
         .agg(F.collect_set("pos").alias("live"))
     )
     headers = rows.filter(F.col("row_idx") == F.col("header_idx")).select(*_BLOCK, "detected", F.col("cells").alias("header"))
-    kept = headers.join(live, _BLOCK).filter(~F.col("detected") | (F.size("live") >= 3))
+    kept = join_null_safe(headers, live, _BLOCK).filter(~F.col("detected") | (F.size("live") >= 3))
     return kept.select(*_BLOCK, *[column_position(F.col("header"), F.col("live"), c).alias(c) for c in SYNONYMS])
 
 
@@ -178,11 +178,11 @@ def read_blocks(cells: DataFrame) -> DataFrame:
     body = rows.filter((F.col("row_idx") > F.col("header_idx")) & _has_text(F.col("cells")))
     sheets = cells.select(*_SHEET).distinct()
     sheet_no = sheets.withColumn("__no", F.row_number().over(Window.orderBy(*_SHEET)) - 1)
-    layout = block_layout(rows).join(sheet_no, _SHEET)
+    layout = join_null_safe(block_layout(rows), sheet_no, _SHEET)
     cell = lambda c: F.get(F.col("cells"), F.col(f"__l.{c}"))
-    picked = [F.when(F.trim(cell(c)) != "", cell(c)).alias(c) for c in SYNONYMS]
+    picked = [F.when(strip(cell(c)) != "", cell(c)).alias(c) for c in SYNONYMS]
     return (
-        body.join(layout.select(*_BLOCK, "__no", F.struct(*SYNONYMS).alias("__l")), _BLOCK)
+        join_null_safe(body, layout.select(*_BLOCK, "__no", F.struct(*SYNONYMS).alias("__l")), _BLOCK)
         .select(
             (F.shiftleft(F.col("__no").cast("bigint"), 32) + F.col("row_idx")).alias("row_id"),
             *_SHEET,
