@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from slotflow.checks.adapter import (
     CELLS_SQL,
+    RAW_HEADERS,
     RAW_SQL,
     cell_rows,
     movements,
@@ -177,6 +178,36 @@ def written_movements(spark, sf):
     return back.select("row_id", "flight_id", "date", "origin", "sched_dep", "act_arr")
 
 
+def parquet_without_ids(spark, sf):
+    """Parquet as another tool may have written it: no row id, two files."""
+    path = f"{shared_folder(spark)}/plain-{uuid.uuid4().hex}"
+    movements(spark, sf).drop("row_id").repartition(2, "origin").write.parquet(path)
+    back = tables.read_movements(spark, path)
+    per_id = back.groupBy("row_id").count().agg(F.max("count").alias("most")).select(F.col("most").cast("string").alias("flight_id"))
+    return back.select("flight_id", "origin", "sched_dep").unionByName(per_id, allowMissingColumns=True)
+
+
+def csv_files(spark, sf):
+    """A folder with two column orders, two separators, two charsets and quoted line breaks."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    raw = raw_movements(spark, sf).withColumn("Gate", F.expr(_GATES))
+    for kind, (sep, charset) in enumerate([(",", "UTF-8"), (";", "UTF-8"), ("|", "ISO-8859-1")]):
+        names = [f"`{h}`" for h in (RAW_HEADERS if kind != 1 else RAW_HEADERS[::-1])]
+        part = raw.filter(F.col("row_id") % 3 == kind).select(*names)
+        writer = part.coalesce(2).write.option("header", True).option("sep", sep).option("encoding", charset).option("quoteAll", True)
+        writer.option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/kind-{kind}")
+    return tables.read_csv_files(spark, f"{path}/*").select(*BLOCK_COLS, "gate")
+
+
+_GATES = "CASE row_id % 3 WHEN 0 THEN gate || chr(10) || 'L' WHEN 2 THEN gate || chr(233) ELSE gate END"
+
+
+def one_sheet(spark, sf):
+    """One sheet, its first row as the header: the title row of a block sheet gives nothing."""
+    out = ingest.read_and_normalize(cell_rows(spark, sf), sheet="sheet-4", simple=True)
+    return out.select("sheet", "flight_id", "date", *TIME_COLS)
+
+
 def movement_labels(spark, sf):
     gaps = movements(spark, sf).withColumn("flight_number", F.when(F.col("gate").isNotNull(), F.col("flight_number")))
     return labels.movement_labels(gaps).select("row_id", "label")
@@ -278,6 +309,28 @@ SELECT source_file, sheet, row_idx, CAST(pos AS INTEGER) AS pos, CASE WHEN nth =
             RAW_SQL,
         ),
     ),
+    "parquet_without_ids": (
+        parquet_without_ids,
+        with_sql("SELECT flight_id, origin, sched_dep FROM movements UNION ALL SELECT '1', NULL, NULL"),
+    ),
+    "csv_files": (
+        csv_files,
+        with_sql(
+            f"""
+SELECT "From" AS origin, "To" AS destination, "STD" AS sched_dep, "ATD" AS act_dep, "STA" AS sched_arr, "ATA" AS act_arr,
+       "Airline" AS carrier, "Flight No" AS flight_number, "Tail" AS tail_number, "Date" AS date, {_GATES.replace("gate", '"Gate"')} AS gate
+FROM raw""",
+            RAW_SQL,
+        ),
+    ),
+    "one_sheet": (
+        one_sheet,
+        with_sql(
+            _normalised_cte("raw", "row_id // 60") + "\nSELECT 'sheet-4' AS sheet, flight_id, date, sched_dep, act_dep, sched_arr, act_arr "
+            "FROM normal WHERE row_id // 60 = 4",
+            RAW_SQL,
+        ),
+    ),
     "union_sheets": (
         union_sheets,
         with_sql(

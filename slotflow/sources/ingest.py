@@ -11,7 +11,7 @@ from slotflow.functions.times import minutes_between, parse_day, resolve_times
 from slotflow.schema import MOVEMENT_SCHEMA
 from slotflow.sources.columns import detect_columns
 from slotflow.sources.sinks import write_movements
-from slotflow.sources.tables import read_blocks, read_csv_robust, read_movements
+from slotflow.sources.tables import read_blocks, read_csv_files, read_movements
 
 _PLAIN = ("origin", "destination", "carrier", "flight_number", "tail_number", "runway", "gate", "airport")
 _TIMES = ("sched_dep", "act_dep", "sched_arr", "act_arr")
@@ -63,22 +63,32 @@ def to_movements(raw: DataFrame, cols: dict[str, str] | None = None) -> DataFram
     return compute_basic_features(normalise_times(raw, cols)).select(*MOVEMENT_SCHEMA.names)
 
 
-def read_and_normalize(cells: DataFrame) -> DataFrame:
-    """Cell table with multi-block sheets to movements in one go."""
-    return to_movements(read_blocks(cells))
+def read_and_normalize(cells: DataFrame, sheet: str | None = None, simple: bool = False) -> DataFrame:
+    """Cell table to movements in one go: all sheets or one, by blocks or with row 0 as the header.
+
+    Where no block has a row, row 0 of each sheet is taken as the header after all.
+    """
+    chosen = cells if sheet is None else cells.filter(F.col("sheet") == sheet)
+    rows = read_blocks(chosen, simple)
+    if not simple and rows.isEmpty():
+        rows = read_blocks(chosen, simple=True)
+    return to_movements(rows)
 
 
-def ingest(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+def ingest(
+    spark: SparkSession, path: str, fmt: str | None = None, sheet: str | None = None, simple: bool = False
+) -> DataFrame:
     """Movements from a file or folder.
 
-    ``csv``: dialect is sniffed; ``cells``: parquet of (source_file, sheet, row_idx,
-    cells); ``parquet``: already canonical. The format defaults to the extension.
+    ``csv``: every file in its own dialect; ``cells``: parquet of (source_file, sheet, row_idx,
+    cells), of which ``sheet`` picks one sheet and ``simple`` takes row 0 as the only header;
+    ``parquet``: canonical columns. The format defaults to the extension.
     """
     kind = (fmt or path.rstrip("/").rsplit(".", 1)[-1]).lower()
     if kind == "csv":
-        out = to_movements(read_csv_robust(spark, path))
+        out = to_movements(read_csv_files(spark, path))
     elif kind == "cells":
-        out = read_and_normalize(spark.read.parquet(path))
+        out = read_and_normalize(spark.read.parquet(path), sheet, simple)
     elif kind == "parquet":
         out = read_movements(spark, path)
     else:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from slotflow.functions.ordered import fill_forward, join_null_safe
 from slotflow.functions.text import SYNONYMS, strip
 from slotflow.schema import conform
-from slotflow.session import broadcast_if_small
+from slotflow.session import cut_lineage
 from slotflow.sources.columns import column_position, looks_like_header, make_unique
 
 SEPARATORS = [",", ";", "|", "\t"]
@@ -20,8 +20,41 @@ _FILE_SPAN = 40  # row ids leave 2**40 positions per file
 
 
 def read_movements(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical movements from parquet; columns not used later are pruned from the scan."""
-    return conform(spark.read.parquet(path))
+    """Canonical movements from parquet; columns not used later are pruned from the scan.
+
+    Files without ``row_id`` get one from the source: file by name, then row in the file.
+    """
+    rows = spark.read.parquet(path)
+    if "row_id" in rows.columns:
+        return conform(rows)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = number_rows(spark.read.parquet(path).select(F.col("_metadata.file_path").alias("__file")).distinct(), ["__file"], "__no")
+    joined = placed.join(files, "__file")
+    return conform(joined.withColumn("row_id", _row_id(F.col("__no"), F.col("__row"), _FILE_SPAN)).drop("__file", "__row", "__no"))
+
+
+def _row_id(major: Column, minor: Column, bits: int) -> Column:
+    """Both numbers in one long, in order; fails where one of them has too many digits."""
+    fits = (minor >= 0) & (minor < F.lit(1 << bits)) & (major < F.lit(1 << (63 - bits)))
+    return F.when(fits, F.shiftleft(major.cast("bigint"), bits) + minor).otherwise(
+        F.raise_error(F.lit("more rows or sources than row ids can express")).cast("bigint")
+    )
+
+
+def number_rows(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Consecutive numbers from 0 along ``order``, by ranges: no task sees all rows.
+
+    Rows are dealt to ranges and kept so; only the sizes of the ranges reach the driver.
+    """
+    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = {r["__range"]: r["count"] for r in dealt.groupBy("__range").count().collect()}
+    before, starts = 0, []
+    for number in sorted(sizes):
+        starts += [F.lit(number), F.lit(before)]
+        before += sizes[number]
+    start = F.create_map(*starts)[F.col("__range")] if starts else F.lit(0)
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn(out, (start + inside - 1).cast("bigint")).drop("__range")
 
 
 # ---- CSV ----------------------------------------------------------------------------
@@ -102,21 +135,86 @@ def _number_rows(df: DataFrame) -> DataFrame:
     ascending within a file. A group of the window is one read block.
     """
     in_part = Window.partitionBy("__file", "file_part").orderBy("__pos")
-    files = df.select("__file").distinct()
-    numbered = files.withColumn("__no", F.row_number().over(Window.orderBy("__file")) - 1)
-    row_id = F.shiftleft(F.col("__no").cast("bigint"), _FILE_SPAN) + F.col("file_part") + F.col("__rn") - 1
+    numbered = number_rows(df.select("__file").distinct(), ["__file"], "__no")
+    row_id = _row_id(F.col("__no"), F.col("file_part") + F.col("__rn") - 1, _FILE_SPAN)
     return (
         df.withColumn("__rn", F.row_number().over(in_part))
-        .join(broadcast_if_small(numbered), "__file")
+        .join(numbered, "__file")
         .withColumns({"row_id": row_id, "source_file": F.col("__file")})
         .drop("__file", "__pos", "__rn", "__no")
     )
 
 
 def read_csv_robust(spark: SparkSession, path: str) -> DataFrame:
-    """CSV of unknown separator and encoding."""
+    """CSV files that share one separator, charset and header, none of them known."""
     sep, encoding, _ = sniff_csv(spark, path)
-    return read_csv(spark, path, sep, encoding)
+    open_quote = spark.read.text(path).filter(F.regexp_count("value", F.lit('"')) % 2 == 1)
+    return read_csv(spark, path, sep, encoding, multi_line=not open_quote.isEmpty())
+
+
+def csv_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sep, broken, multi_line, width) of every file, from one distributed pass.
+
+    The separator is the one that splits the file's first line most often, quoted parts left
+    out; ``broken`` files are not valid UTF-8; ``multi_line`` ones have a quote open at the
+    end of a line; ``width`` is the number of header cells.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at"),
+    )
+    files = lines.groupBy("file").agg(
+        F.min_by("value", "at").alias("head"),
+        F.bool_or(~F.is_valid_utf8("value")).alias("broken"),
+        F.bool_or(F.regexp_count("value", F.lit('"')) % 2 == 1).alias("multi_line"),
+    )
+    bare = F.regexp_replace("head", '"[^"]*"', "")
+    splits = F.array(*[F.struct((F.length(bare) - F.length(F.replace(bare, F.lit(s)))).alias("n"), F.lit(-i).alias("rank"), F.lit(s).alias("sep")) for i, s in enumerate(SEPARATORS)])
+    best = F.array_max(splits)
+    return files.select("file", best["sep"].alias("sep"), "broken", "multi_line", (best["n"] + 1).alias("width"))
+
+
+def read_csv_files(spark: SparkSession, path: str) -> DataFrame:
+    """Canonical text columns of CSV files, each read as it is: separator, charset, header, line breaks.
+
+    Files of one kind (at most sixteen kinds) are read together by position; each file's own
+    header then says where its canonical columns are. Adds ``row_id``, ``source_file`` and
+    ``file_part`` in file order; files without rows and columns without a known header give
+    nothing.
+    """
+    profiles = cut_lineage(csv_profiles(spark, path))
+    width = profiles.agg(F.max("width")).first()[0] or 1
+    names = [f"_c{i}" for i in range(width)]
+    kinds = profiles.select("sep", "broken", "multi_line").distinct().collect()
+    schema = ", ".join(f"{n} string" for n in names)
+    empty = spark.createDataFrame([], "cells array<string>, __file string, file_part long, __pos long")
+    parts = [empty]
+    for sep, broken, multi_line in sorted(map(tuple, kinds)):
+        reader = spark.read.schema(schema).option("sep", sep).option("multiLine", multi_line).option("escape", '"')
+        raw = reader.option("encoding", _spark_charset("cp1252" if broken else "utf-8")).csv(path)
+        cells = F.array(*names)
+        if broken:
+            wrong, right = _cp1252_map()
+            cells = F.transform(cells, lambda c: F.translate(c, wrong, right))
+        own = profiles.filter((F.col("sep") == sep) & (F.col("broken") == broken) & (F.col("multi_line") == multi_line))
+        rows = raw.select(
+            cells.alias("cells"),
+            F.col("_metadata.file_path").alias("__file"),
+            F.col("_metadata.file_block_start").alias("file_part"),
+            F.monotonically_increasing_id().alias("__pos"),
+        )
+        parts.append(rows.join(own.select(F.col("file").alias("__file")), "__file", "left_semi").select(*empty.columns))
+    rows = _number_rows(union_sheets(parts))
+    head = F.min_by("cells", "row_id")
+    layout = rows.groupBy("source_file").agg(F.transform(head, lambda c: F.replace(c, F.lit("\ufeff"), F.lit(""))).alias("header"), F.min("row_id").alias("__first"))
+    every = F.sequence(F.lit(0), F.size("header") - 1)
+    places = F.struct(*[column_position(F.col("header"), every, c).alias(c) for c in SYNONYMS])
+    return (
+        rows.join(layout.select("source_file", "__first", places.alias("__l")), "source_file")
+        .filter((F.col("row_id") > F.col("__first")) & _has_text(F.col("cells")))
+        .select("row_id", "source_file", "file_part", *[F.get(F.col("cells"), F.col(f"__l.{c}")).alias(c) for c in SYNONYMS])
+    )
 
 
 # ---- cell tables --------------------------------------------------------------------
@@ -168,23 +266,27 @@ def block_layout(rows: DataFrame) -> DataFrame:
     return kept.select(*_BLOCK, *[column_position(F.col("header"), F.col("live"), c).alias(c) for c in SYNONYMS])
 
 
-def read_blocks(cells: DataFrame) -> DataFrame:
+def one_block(cells: DataFrame) -> DataFrame:
+    """Every sheet as one block whose header is row 0, with the columns of :func:`locate_blocks`."""
+    return cells.withColumns({"is_header": F.col("row_idx") == 0, "header_idx": F.lit(0).cast("bigint"), "detected": F.lit(False)})
+
+
+def read_blocks(cells: DataFrame, simple: bool = False) -> DataFrame:
     """Rows of all blocks of all sheets with canonical text columns.
 
-    ``cells`` has (source_file, sheet, row_idx, cells). The layout table has one row
-    per block; the rows themselves are neither exploded nor pivoted.
+    ``cells`` has (source_file, sheet, row_idx, cells); ``simple`` takes row 0 of a sheet as
+    its only header. The layout table has one row per block; rows are read through it.
     """
-    rows = locate_blocks(cells)
+    rows = one_block(cells) if simple else locate_blocks(cells)
     body = rows.filter((F.col("row_idx") > F.col("header_idx")) & _has_text(F.col("cells")))
-    sheets = cells.select(*_SHEET).distinct()
-    sheet_no = sheets.withColumn("__no", F.row_number().over(Window.orderBy(*_SHEET)) - 1)
+    sheet_no = number_rows(cells.select(*_SHEET).distinct(), _SHEET, "__no")
     layout = join_null_safe(block_layout(rows), sheet_no, _SHEET)
     cell = lambda c: F.get(F.col("cells"), F.col(f"__l.{c}"))
     picked = [F.when(strip(cell(c)) != "", cell(c)).alias(c) for c in SYNONYMS]
     return (
         join_null_safe(body, layout.select(*_BLOCK, "__no", F.struct(*SYNONYMS).alias("__l")), _BLOCK)
         .select(
-            (F.shiftleft(F.col("__no").cast("bigint"), 32) + F.col("row_idx")).alias("row_id"),
+            _row_id(F.col("__no"), F.col("row_idx"), 32).alias("row_id"),
             *_SHEET,
             F.shiftright(F.col("row_idx"), _CHUNK_BITS).alias("file_part"),
             *picked,
