@@ -62,8 +62,8 @@ def load_summary(spark, sf):
 
 
 def column_presence(spark, sf):
-    df = movements(spark, sf)
-    return df.agg(*[(F.count(c) > 0).alias(c) for c in df.columns if c not in ("runway", "sheet", "source_file")])
+    found = scope.presence(movements(spark, sf))
+    return spark.range(1).select(*[F.lit(found[c]).alias(c) for c in PRESENCE_COLS])
 
 
 PRESENCE_COLS = (
@@ -248,6 +248,17 @@ def influence_outgoing(spark, sf):
     return rounded(out, *IMPACTS)
 
 
+def influence_of_airport(spark, sf):
+    """All movements that touch one airport, as the source of a single table."""
+    out = influence.influence_table(movements(spark, sf), "dep_delay_min", airport="bom")
+    return rounded(out, *IMPACTS)
+
+
+def at_airport_sql(condition: str) -> str:
+    """The view ``movements`` narrowed to one airport."""
+    return MOVEMENTS_SQL.replace("movements AS (", "every_movement AS (", 1) + f",\nmovements AS (SELECT * FROM every_movement WHERE {condition})"
+
+
 CHECKS = {
     "scope_departures": (_scope("departure", "bom"), with_sql(f"SELECT {SITE_COLS} FROM movements WHERE origin LIKE '%BOM%'")),
     "scope_arrivals": (_scope("arrival", "DEL"), with_sql(f"SELECT {SITE_COLS} FROM movements WHERE destination LIKE '%DEL%'")),
@@ -342,5 +353,9 @@ LEFT JOIN mean ON mean.origin = m.origin AND mean.slot = {bucket("m.sched_dep +
     "crew_links_outgoing": (_crew(False), _crew_sql(False)),
     "influence_per_airport": (influence_per_airport, _influence_sql(True, 4, "arr_delay_min")),
     "influence_all": (influence_all, _influence_sql(False, 3, "dep_delay_min")),
+    "influence_of_airport": (
+        influence_of_airport,
+        _influence_sql(False, 3, "dep_delay_min").replace(MOVEMENTS_SQL.strip(), at_airport_sql("'BOM' IN (origin, destination)").strip(), 1),
+    ),
     "influence_outgoing": (influence_outgoing, _influence_sql(True, 3, "dep_delay_min", "outgoing")),
 }

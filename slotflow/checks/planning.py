@@ -6,6 +6,7 @@ the one-day view (every movement re-anchored to 2024-02-01).
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from slotflow.operators.scope import ops_view
 from slotflow.operators.slots import slot_counts
 from slotflow.plans import reports, routing
 from slotflow.plans.reports import Scenario
+from slotflow.session import shared_folder
 
 DAY = date(2024, 2, 1)
 NOW = datetime(2024, 1, 15, 9, 30, 20)
@@ -122,6 +124,20 @@ TUNER_SQL = _recursive(
 )
 
 
+def tuner_of_airport(spark, sf):
+    out = tuner.greedy_slot_tuner(movements_day(spark, sf), airport="bom", per_window_capacity=DAY_CAP)
+    return rounded(out, "priority_score", "move_cost")
+
+
+TUNER_AT_SQL = _recursive(
+    _replay(ONE, by=False)
+    + "\nSELECT "
+    + SUGGESTION_COLS.removeprefix("origin, ").format(p=present("priority_score", 4), c=present("move_cost", 4))
+    + " FROM sugg",
+    _day_sql(source="movements WHERE origin = 'BOM'"),
+)
+
+
 def tuner_timeline(spark, sf):
     return tuner.greedy_slot_tuner(movements(spark, sf), per_window_capacity=CAP + 1)
 
@@ -158,6 +174,15 @@ def tuned_schedule(spark, sf):
     return out.select("row_id", "flight_id", "carrier", "origin", "scheduled_departure_before", "scheduled_departure_after")
 
 
+def tuned_schedule_csv(spark, sf):
+    """The exported schedule, read back."""
+    day = movements_day(spark, sf)
+    moves = tuner.greedy_slot_tuner(day, per_window_capacity=DAY_CAP, by=BY)
+    path = reports.export_tuned_schedule(day, moves, f"{shared_folder(spark)}/tuned-{uuid.uuid4().hex}")
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    return back.select("flight_id", "carrier", "origin", "scheduled_departure_before", "scheduled_departure_after")
+
+
 def tuned_by_flight_id(spark, sf):
     """Suggestions keyed by flight id: all rows of an id take the last new time."""
     day = movements_day(spark, sf)
@@ -294,6 +319,15 @@ SELECT origin AS airport, capacity::BIGINT AS capacity, weather AS weather_facto
 )
 
 
+def ops_brief_csv(spark, sf):
+    """The exported brief, read back."""
+    path = f"{shared_folder(spark)}/brief-{uuid.uuid4().hex}"
+    reports.export_ops_brief(movements_day(spark, sf), path, None, KPI_SCENARIO, by=BY)
+    kinds = ops_brief(spark, sf).schema
+    back = spark.read.option("header", True).schema(kinds).csv(path)
+    return rounded(back, "peak_rli_before", "peak_rli_after", "peak_drop", "est_delay_saved_min")
+
+
 def insights(spark, sf):
     out = reports.summarize_insights(movements_day(spark, sf), Scenario("A", DAY_CAP, 1.0, 15), by=BY)
     return rounded(out, "peak_rli", "saved")
@@ -400,7 +434,19 @@ SELECT row_id, CASE WHEN act_arr IS NULL THEN 0.3 WHEN sched_dep < act_arr + INT
                     WHEN sched_dep < act_arr + INTERVAL 90 MINUTE THEN 0.7 ELSE 0.4 END::DOUBLE AS weight FROM movements"""),
     ),
     "tuner_day": (tuner_day, TUNER_SQL),
+    "tuner_of_airport": (tuner_of_airport, TUNER_AT_SQL),
     "tuner_timeline": (tuner_timeline, None),
+    "tuned_schedule_csv": (
+        tuned_schedule_csv,
+        _recursive(
+            _replay(ONE)
+            + f""",
+names AS (SELECT flight_id, arg_min({label_sql('flight_number')}, row_id) AS label FROM day GROUP BY flight_id)
+SELECT label AS flight_id, carrier, d.origin, strftime(sched_dep, '%Y-%m-%d %H:%M') AS scheduled_departure_before,
+       strftime(coalesce(new_time, sched_dep), '%Y-%m-%d %H:%M') AS scheduled_departure_after
+FROM day d JOIN names USING (flight_id) LEFT JOIN sugg s ON s.row_id = d.row_id"""
+        ),
+    ),
     "multi_objective": (multi_objective, MULTI_SQL),
     "tuned_times": (
         tuned_times,
@@ -458,6 +504,7 @@ SELECT origin, round(max(n) * 1.5 / {CAP}, 4) AS peak_rli, strftime(any_value(t)
     "tuner_kpis": (tuner_kpis, KPIS_SQL),
     "tuner_kpis_sparse": (tuner_kpis_sparse, KPIS_SPARSE_SQL),
     "ops_brief": (ops_brief, BRIEF_SQL),
+    "ops_brief_csv": (ops_brief_csv, BRIEF_SQL),
     "insights": (insights, INSIGHTS_SQL),
     "recommendations": (recommendations, RECOMMENDATIONS_SQL),
     "questions": (questions, f"WITH {_classified('conversations')}\nSELECT conv_id, turn, intent, kind, airport, capacity FROM classified"),

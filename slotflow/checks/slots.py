@@ -234,6 +234,10 @@ SELECT {cols} FROM margins""",
     )
 
 
+def best_at_airport(spark, sf):
+    return slots.best_time_to_operate(movements(spark, sf), at_airport="del", kind="departure")
+
+
 def consolidation(spark, sf):
     return slots.consolidation(movements(spark, sf), by=BY)
 
@@ -251,7 +255,14 @@ wide AS (
   FROM rolled GROUP BY origin)
 SELECT origin, metric, value FROM (UNPIVOT wide ON COLUMNS(* EXCLUDE origin) INTO NAME metric VALUE value)""")
 
+BEST_AT_SQL = (
+    "SELECT slot_start, mean_delay_min, n FROM ("
+    + _best_time_sql("departure", "movements", MOVEMENTS_SQL, enhanced=False)
+    + ") WHERE origin = 'DEL'"
+)
+
 CHECKS = {
+    "best_at_airport": (best_at_airport, BEST_AT_SQL),
     "slot_counts": (slot_counts, SLOT_COUNTS_SQL),
     "busiest_slots": (busiest_slots, BUSIEST_SQL),
     "busiest_slots_per_airport": (busiest_slots_per_airport, BUSIEST_BY_SQL),

@@ -19,6 +19,7 @@ from slotflow.functions.scoring import PEAK_HOURS, move_priority, relief_score
 from slotflow.functions.times import MINUTE, add_minutes, floor_div, from_micros, micros, slot_start
 from slotflow.operators.scope import in_groups, schedule_time, scope_airport, with_group_stats
 from slotflow.operators.slots import slot_counts
+from slotflow.session import cut_lineage
 
 # Fixed values of the move cost and of the multi-objective score.
 TARGET_COST, PEAK_COST = 0.3, 1.5
@@ -281,7 +282,7 @@ def multi_objective_tuner(
     by: Sequence[str] = (),
 ) -> DataFrame:
     moves = greedy_slot_tuner_enhanced(df, airport, window_min, max_shift_min, per_window_capacity, by)
-    return score_moves(moves, objectives, by)
+    return score_moves(cut_lineage(moves), objectives, by)  # the scores read the moves twice
 
 
 # ---- applying suggestions -----------------------------------------------------------
