@@ -62,7 +62,7 @@ def top_k(vectors: DataFrame, is_query: Column, how: Search = Search()) -> DataF
     blocks, groups, width = max(1, math.ceil(rows.n / how.candidates)), max(1, math.ceil((rows.q or 0) / how.queries)), max(1, rows.width or 1)
     sample = held.orderBy(F.xxhash64("id"), "id").limit(how.sample).select("v").collect()
     turn = rotation(_matrix([r.v for r in sample], width))
-    queries = held.where(is_query).select("id", "v", F.pmod(F.xxhash64("id", F.lit("q")), F.lit(groups)).alias("g"))
+    queries = held.where(is_query).select("id", "v", F.pmod(F.xxhash64("id", F.lit("q")), F.lit(groups)).cast("int").alias("g"))
 
     every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g")
     seeds = held.orderBy(F.desc("norm"), "id").limit(how.seeds).select("id", "v", every_group)
@@ -104,7 +104,8 @@ def _searched(queries: DataFrame, candidates: DataFrame, by: list[str], turn: np
             found = best(q_ids, _vectors(left["v"], width), left["floor"].to_numpy(), c_ids, _vectors(right["c_v"], width), turn, how)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
 
-    # Both sides come from one table: own names keep them apart.
+    # Both sides come from one table: own names keep them apart. Keys have one type, so that
+    # equal ones are dealt alike.
     other = candidates.select(*(F.col(c).alias(f"c_{c}") for c in ("id", "v", *by)))
     return queries.groupBy(*by).cogroup(other.groupBy(*(f"c_{c}" for c in by))).applyInArrow(search, _FOUND)
 
