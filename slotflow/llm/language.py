@@ -110,14 +110,12 @@ def fit(
     rows = only(docs, key=key, lang=lang, text=text).where(
         learnable(F.col("key")) & F.col("lang").isNotNull() & (F.length("text") <= longest) & F.col("text").rlike("\\p{L}")
     )
-    order = Window.partitionBy("lang").orderBy("hash", "key")
-    picked = (
-        rows.select("lang", "key", F.xxhash64("key").alias("hash"))
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= per_language)
-        .select("lang", "key")
-        .distinct()
-    )
+    keys = rows.select("lang", "key", F.xxhash64("key").alias("hash")).withColumn("salt", F.pmod("hash", F.lit(64)))
+    # Few of each salt first: no task sees all candidates of a frequent language.
+    for group in (["lang", "salt"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("hash", "key"))
+        keys = keys.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
+    picked = keys.select("lang", "key").distinct()
     # At most per_language keys of each language.
     found = rows.join(F.broadcast(picked), ["lang", "key"], "left_semi").select("lang", "key", "text").collect()
     samples: dict[str, list[bytes]] = {}
