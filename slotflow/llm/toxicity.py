@@ -224,9 +224,9 @@ def fit(
     key: str = "doc_id",
     label: str = "toxic",
     toxic_rows: int = 4_000,
-    clean_rows: int = 6_000,
+    clean_rows: int = 12_000,
     longest: int = 50_000,
-    least_uses: int = 8,
+    least_uses: int = 4,
     most_terms: int = 2_000,
     threshold: float = 0.3,
 ) -> ToxicityModel:
@@ -234,10 +234,11 @@ def fit(
 
     They are those with the smallest key hashes; texts over ``longest`` characters are not
     learned from, and equal texts count once. A key with several labels is toxic if one of
-    them is. A term is a word used in at least ``least_uses`` different contexts (neighbour
-    pairs, so that copies of one text do not make its words terms) in toxic texts, and at
-    least twenty times as often per context as in clean ones. No labels of either kind: a
-    model without terms, which scores every text low.
+    them is. A text counts once for each of its words, by the neighbours of the word's first
+    use; equal neighbours count once, so that copies of one text do not make its words terms.
+    A term is a word with at least ``least_uses`` such uses in toxic texts, and at least twenty
+    times as large a share of them as in clean ones. No labels of either kind: a model without
+    terms, which scores every text low.
     """
     marks = (
         only(labels, key=key, toxic=label)
@@ -263,9 +264,12 @@ def fit(
         for batch in batches:
             uses: set[tuple[str, int, int]] = set()
             for value, toxic in zip(batch.column(0), batch.column(1)):
-                words = ["", *tokens(value.as_py()), ""]
-                mark = toxic.as_py()
-                uses.update((w, crc32(f"{a} {z}".encode()), mark) for a, w, z in zip(words, words[1:], words[2:]))
+                words = tokens(value.as_py())
+                mark, count = toxic.as_py(), len(words)
+                first = {w: i for i, w in zip(range(count - 1, -1, -1), reversed(words))}
+                for word, i in first.items():
+                    before, after = words[i - 1] if i else "", words[i + 1] if i + 1 < count else ""
+                    uses.add((word, crc32(f"{before} {after}".encode()), mark))
             columns = list(zip(*uses)) if uses else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], ["word", "context", "toxic"])
 

@@ -91,19 +91,21 @@ def test_automaton_forgets_states():
         assert lexicon.nearest("zzz") is None
 
 
-def test_held_out_toxicity(tables):
-    docs, labels = tables
-    model = toxicity.fit(docs, labels, least_uses=4)
+def test_held_out_toxicity(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
     judged = docs.join(labels, "doc_id").where(held_out(F.col("doc_id"))).select("toxic", toxicity.score(F.col("text"), model).alias("r"))
     rows = judged.select("toxic", "r.*").collect()
     found = [r.predicted for r in rows if r.toxic == 1]
-    assert sum(found) / len(found) > 0.6 and not any(r.predicted for r in rows if r.toxic == 0)
+    assert len(found) > 50 and sum(found) / len(found) > 0.9
+    clean = [r.predicted for r in rows if r.toxic == 0]
+    assert sum(clean) / len(clean) < 0.01
 
 
 def test_quotation_and_spelling_weigh_less():
     model = toxicity.ToxicityModel({"scoundrel": 5.0}, frozenset({"scoundrels"}), (-3.0, 2.0, 1.0, 0.2, 1.0, 0.1))
     scorer = toxicity.ToxicityScorer(model)
-    outright, misspelt = scorer("you are a scoundrel today"), scorer("you are a scuondrel today")
+    outright, misspelt = scorer("you are a scoundrel today"), scorer("you are a scoundral today")
     quoted, reported = scorer('he wore "you scoundrel" today'), scorer("they called him a scoundrel")
     clean = scorer("a fine day for all scoundrels")
     assert outright[0] > misspelt[0] > quoted[0] >= reported[0] > clean[0]
@@ -112,7 +114,7 @@ def test_quotation_and_spelling_weigh_less():
 
 def test_toxicity_of_odd_rows(spark, tables):
     docs, labels = tables
-    model = toxicity.fit(docs, labels.unionByName(labels), least_uses=4)
+    model = toxicity.fit(docs, labels.unionByName(labels))
     rows = spark.createDataFrame([(None,), ("",), ("clean words " * 100_000,), ("moron " * 50_000,)], "text string")
     got = rows.withColumn("score", F.lit("clash")).select(toxicity.score(F.col("text"), model).alias("r")).select("r.*").collect()
     assert [r.predicted for r in got] == [0, 0, 0, 1] and all(0 <= r.score <= 1 for r in got)
