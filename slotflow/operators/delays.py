@@ -27,7 +27,7 @@ def _flag_sparse(df: DataFrame, delay: str, by: Sequence[str], out: str) -> tupl
     delays then needs no fallback plan.
     """
     if by:
-        return with_group_stats(df, by, {out: too_few(delay)}, wide=True), True
+        return with_group_stats(df, by, {out: too_few(delay)}), True
     sparse = df.agg(too_few(delay)).first()[0]
     return df.withColumn(out, F.lit(sparse)), sparse
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from slotflow.functions.ordered import join_null_safe
 from slotflow.functions.times import add_minutes, clock_on
 from slotflow.schema import SITE_COLUMNS
-from slotflow.session import broadcast_if_small
 
 TIME_COLUMNS = ("sched_dep", "act_dep", "sched_arr", "act_arr")
 
@@ -23,28 +22,24 @@ def in_groups(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(by)) if by else df
 
 
-def with_group_stats(
-    df: DataFrame, by: Sequence[str], stats: Mapping[str, Column], wide: bool = False
-) -> DataFrame:
+def with_group_stats(df: DataFrame, by: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
     """Append aggregates of each ``by`` group (of the whole frame when empty) to its rows.
 
     The whole-frame form is a scalar subquery; the grouped form an equi join with one
-    row per group. Either way the statistics come from one partial aggregation. With
-    ``wide`` the frame holds movements: the group rows are computed first and broadcast
-    if few, so that movements of a large group are not shuffled to one task.
+    row per group, which adaptive execution broadcasts if its size allows, and whose skewed
+    groups it splits. Either way the statistics come from one partial aggregation.
     """
     named = [c.alias(n) for n, c in stats.items()]
     if not by:
         one = df.agg(F.struct(*named).alias("s")).scalar()
         return df.withColumn("__s", one).select("*", *[F.col(f"__s.{n}").alias(n) for n in stats]).drop("__s")
     groups = df.groupBy(*by).agg(*named)
-    return join_null_safe(df, broadcast_if_small(groups) if wide else groups, by)
+    return join_null_safe(df, groups, by)
 
 
-def presence(df: DataFrame) -> dict[str, bool]:
-    """Which columns hold any value: one aggregate over the frame, one row back."""
-    row = df.agg(*[(F.count(F.col(c)) > 0).alias(c) for c in df.columns]).first()
-    return row.asDict()
+def presence(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, bool]:
+    """Which columns (all by default) hold any value: one aggregate over the frame, one row back."""
+    return df.agg(*[(F.count(F.col(c)) > 0).alias(c) for c in columns or df.columns]).first().asDict()
 
 
 def has_any(df: DataFrame, condition: Column) -> bool:
@@ -74,9 +69,10 @@ def scope_airport(df: DataFrame, airport: str | None, mode: str = "any", on_empt
     home = _names(airport, "airport")
     if mode in ("arrival", "departure"):
         column = "destination" if mode == "arrival" else "origin"
-        if has_any(df, F.col(column).isNotNull()):
+        held = presence(df, [column, "airport"])
+        if held[column]:
             keep = _names(airport, column)
-        elif has_any(df, F.col("airport").isNotNull()):
+        elif held["airport"]:
             keep = home
         else:
             return df
@@ -105,7 +101,8 @@ def filter_dates(df: DataFrame, start: date | str, end: date | str | None = None
 def ensure_date(df: DataFrame, as_of: date) -> DataFrame:
     """Guarantee ``date``: itself, else the day of the first time column with any value."""
     sources = ["date", "sched_dep", "sched_arr", "act_dep", "act_arr"]
-    source = next((c for c in sources if has_any(df, F.col(c).isNotNull())), None)
+    held = presence(df, sources)
+    source = next((c for c in sources if held[c]), None)
     return df.withColumn("date", F.lit(as_of) if source is None else F.to_date(F.col(source)))
 
 
@@ -144,7 +141,6 @@ def next_hours(
             "__next": F.min(F.when(ahead, t)),
             "__first": F.min(t),
         },
-        wide=True,
     )
     begin = F.when(F.col("__busy"), start.cast("timestamp_ntz")).otherwise(F.coalesce("__next", "__first"))
     return (

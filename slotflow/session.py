@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "slotflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,16 +46,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the plan starts anew and survives lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-BROADCAST_ROWS = 100_000  # narrow lookup rows that every executor can hold
-
-
-def broadcast_if_small(lookup: DataFrame) -> DataFrame:
-    """The lookup, computed once, with a broadcast hint only if its counted size allows it.
-
-    A large lookup is returned without a hint: the join then shuffles, and adaptive
-    execution splits skewed keys.
-    """
-    held = cut_lineage(lookup)
-    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
