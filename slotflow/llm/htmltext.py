@@ -62,9 +62,10 @@ class Block:
 def _kind(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool]:
     """Whether an element holds what surrounds main text, and whether it holds main text."""
     names = {w for m in _NAMING.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())} if attributes else set()
-    around = (tag in _AROUND_TAGS and not (tag == "header" and inside_main)) or bool(names & _AROUND_NAMES)
     if tag in ("body", "html"):
         return False, False
+    # What an article or main element is called says something of the page, not of its text.
+    around = (tag in _AROUND_TAGS and not (tag == "header" and inside_main)) or (tag not in _MAIN_TAGS and bool(names & _AROUND_NAMES))
     return around or bool(attributes and _HIDDEN.search(attributes)), tag in _MAIN_TAGS or bool(names & _MAIN_NAMES)
 
 

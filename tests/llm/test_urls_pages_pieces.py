@@ -86,6 +86,8 @@ PAGES = [
     ("</div></p><article><p>stray ends</p></span></b></article>", "stray ends"),
     ("<article><p>never closed <!-- comment", "never closed"),
     ("<article><p>a</p><script>unclosed <p>b</p>", "a"),
+    ('<body class="nav-open"><article class="post comments-open tags"><header><h1>Head</h1></header><p>Body</p></article></body>', "Head\nBody"),
+    ('<header><h1>Site</h1></header><aside>More</aside><div class="side-bar sidebar"><p>Side</p></div><article><p>Only this</p></article>', "Only this"),
     ("", ""),
     (None, ""),
     ("<html><head><title>only</title></head><body></body></html>", ""),
