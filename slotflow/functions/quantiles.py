@@ -1,84 +1,54 @@
-"""Student-t critical values as a plain column expression (no lookup join)."""
+"""Student-t critical values as one column expression for every number of degrees of freedom."""
 
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXACT_UP_TO = 200  # degrees of freedom tabulated exactly; the series is used beyond
+_NODES = 16  # of the Gauss-Legendre rule: the integrand is smooth on the range that matters
+_ROUNDS = 8  # of Newton's method
+_SHIFT = 40  # of the gamma functions' argument, where their ratio's expansion is exact to the last digits
+#: Gamma(y + 1/2) / Gamma(y) = sqrt(y) * (sum of c[k] / y**k)
+_RATIO = (1.0, -1 / 8, 1 / 128, 5 / 1024, -21 / 32768, -399 / 262144, 869 / 4194304)
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1.0), tiny)
-    h = d
-    for m in range(1, 400):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for coef in (even, odd):
-            d = 1.0 + coef * d
-            c = 1.0 + coef / c
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-16:
-            break
-    return h
-
-
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    if x <= 0.0 or x >= 1.0:
-        return float(x >= 1.0)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
-
-
-@lru_cache(maxsize=64)
-def t_table(confidence: float, up_to: int = EXACT_UP_TO) -> tuple[float, ...]:
-    """Two-sided critical values for 1..up_to degrees of freedom."""
-    tail = 1.0 - confidence
-
-    def solve(dof: int) -> float:
-        lo, hi = 0.0, 1.0
-        while _incomplete_beta(dof / 2.0, 0.5, dof / (dof + hi * hi)) > tail:
-            hi *= 2.0
-        for _ in range(200):
-            mid = (lo + hi) / 2.0
-            if _incomplete_beta(dof / 2.0, 0.5, dof / (dof + mid * mid)) > tail:
-                lo = mid
-            else:
-                hi = mid
-        return (lo + hi) / 2.0
-
-    return tuple(solve(k) for k in range(1, up_to + 1))
-
-
-def series_coefficients(confidence: float) -> list[float]:
-    """Coefficients of the expansion of the t quantile in powers of 1/dof."""
-    z = NormalDist().inv_cdf(0.5 + confidence / 2.0)
-    return [
-        z,
-        (z**3 + z) / 4.0,
-        (5 * z**5 + 16 * z**3 + 3 * z) / 96.0,
-        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384.0,
-        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160.0,
-    ]
+def _gamma_ratio(x: Column) -> Column:
+    """Gamma(x + 1/2) / Gamma(x) for x >= 1/2."""
+    y = x + F.lit(float(_SHIFT))
+    far = F.lit(0.0)
+    for k, c in enumerate(_RATIO):
+        far = far + F.lit(c) / F.pow(y, F.lit(float(k)))
+    steps = F.sequence(F.lit(0), F.lit(_SHIFT - 1))
+    return F.aggregate(steps, F.sqrt(y) * far, lambda r, i: r * (x + i) / (x + i + F.lit(0.5)))
 
 
 def t_critical(dof: Column, confidence: float) -> Column:
-    """Critical value for ``dof`` (NULL below 1)."""
-    table = F.array(*[F.lit(v) for v in t_table(confidence)])
-    far = F.lit(0.0)
-    for power, coef in enumerate(series_coefficients(confidence)):
-        far = far + F.lit(coef) / F.pow(dof.cast("double"), F.lit(float(power)))
-    index = F.when(dof.between(1, EXACT_UP_TO), dof.cast("int"))
-    return F.when(dof > EXACT_UP_TO, far).when(dof >= 1, F.try_element_at(table, index))
+    """Two-sided critical value for ``dof`` (NULL below 1).
+
+    With t = sqrt(dof) tan(a), the share within t is a constant times the integral of
+    cos ** (dof - 1) from 0 to a. It rises ever more slowly with a, so Newton's method climbs
+    to the wanted share from the normal quantile, which is always below.
+    """
+    nu = dof.cast("double")
+    x, w = np.polynomial.legendre.leggauss(_NODES)
+    rule = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("w")) for a, b in zip((x + 1) / 2, w / 2)])
+
+    def power(angle: Column) -> Column:
+        return F.exp((nu - 1) / 2 * F.log1p(-F.pow(F.sin(angle), F.lit(2.0))))
+
+    def climbed(front: Column) -> Column:
+        def climb(angle: Column, _: Column) -> Column:
+            share = front * angle * F.aggregate(rule, F.lit(0.0), lambda s, n: s + n["w"] * power(angle * n["x"]))
+            return angle + (F.lit(confidence) - share) / (front * power(angle))
+
+        start = F.atan(F.lit(NormalDist().inv_cdf(0.5 + confidence / 2)) / F.sqrt(nu))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), start, climb)
+
+    # As an element, the front factor is computed once and not in every round.
+    front = F.lit(2 / math.sqrt(math.pi)) * _gamma_ratio(nu / 2)
+    angle = F.get(F.transform(F.array(front), climbed), F.lit(0))
+    return F.when(dof >= 1, F.sqrt(nu) * F.tan(angle))
