@@ -79,82 +79,155 @@ class Vocabulary:
 class Lattices:
     """Filtered lattices of the words met so far, as arrays over all their places.
 
-    ``bounds`` has, for every edge, its end place's number plus the share of all paths to that
-    place that come by this edge or one before it; a search for place + draw finds the edge.
+    A place is where pieces end. Its edges, by ascending start, lie together from
+    ``first[place]`` on; ``bounds`` has the share of all paths to the place that come by an
+    edge or one before it. The first edge whose bound is above a draw is the one drawn.
     """
 
-    MOST_WORDS = 250_000
+    MOST_WORDS = 150_000
+    LONGEST = 64  # longer words are filtered one by one
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        self.weights = np.exp(vocabulary.logs).tolist()
+        self._make_trie()
         self.forget()
 
     def forget(self) -> None:
         self.ends: dict[str, int] = {}
-        self.bounds, self.before, self.piece = np.array([]), np.array([], dtype=np.int64), np.array([], dtype=np.int32)
-        self.places = 0
+        self.first, self.before = np.array([], dtype=np.int64), np.array([], dtype=np.int64)
+        self.bounds, self.piece = np.array([]), np.array([], dtype=np.int32)
+
+    def _make_trie(self) -> None:
+        """The pieces' trie as sorted keys (node, letter) with their child nodes."""
+        children: dict[tuple[int, str], int] = {}
+        ids = [-1]
+        for text, i in self.vocabulary.ids.items():
+            node = 0
+            for letter in text:
+                node = children.setdefault((node, letter), len(ids))
+                if node == len(ids):
+                    ids.append(-1)
+            ids[node] = i
+        keys = np.array([(node << 21) | ord(letter) for node, letter in children], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], np.array(list(children.values()), dtype=np.int64)[order]
+        self.ids = np.array(ids, dtype=np.int32)
+
+    def _next(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Child nodes, -1 where there is none."""
+        key = (node << 21) | letter
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.child[at], -1)
 
     def learn(self, words: list[str]) -> None:
+        known = self.vocabulary.ids
+        quick = [w for w in words if len(w) <= self.LONGEST and all(map(known.__contains__, w))]
+        if quick:
+            self._filter_together(quick)
+        for word in set(words).difference(quick):
+            self._filter_one(word)
+
+    def _add(self, words: list[str], ends: np.ndarray, first, bounds, before, piece) -> None:
+        base, edges = len(self.first), len(self.bounds)
+        self.ends.update(zip(words, (ends + base).tolist()))
+        self.first = np.concatenate([self.first, np.asarray(first, dtype=np.int64) + edges])
+        self.bounds = np.concatenate([self.bounds, bounds])
+        before = np.asarray(before, dtype=np.int64)
+        self.before = np.concatenate([self.before, np.where(before < 0, -1, before + base)])
+        self.piece = np.concatenate([self.piece, np.asarray(piece, dtype=np.int32)])
+
+    def _filter_together(self, words: list[str]) -> None:
+        """Lattices of words whose letters are all in the vocabulary; a place is a letter's end."""
+        size = np.array([len(w) for w in words])
+        last = np.cumsum(size)
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        begin, stop = np.repeat(last - size, size), np.repeat(last, size)
+        starts, stops, found = [], [], []
+        at, node = np.arange(len(letters)), np.zeros(len(letters), dtype=np.int64)
+        for depth in range(self.vocabulary.longest):
+            inside = at + depth < stop[at]
+            at, node = at[inside], node[inside]
+            node = self._next(node, letters[at + depth])
+            at, node = at[node >= 0], node[node >= 0]
+            if not len(at):
+                break
+            whole = self.ids[node] >= 0
+            starts.append(at[whole])
+            stops.append(at[whole] + depth)
+            found.append(self.ids[node[whole]])
+        start, end, piece = np.concatenate(starts), np.concatenate(stops), np.concatenate(found)
+        order = np.lexsort((start, end))
+        start, end, piece = start[order], end[order], piece[order]
+        first = np.searchsorted(end, np.arange(len(letters)))
+        log = self.vocabulary.logs[piece]
+        # Logarithms of the paths' weights, letter by letter of all words at once.
+        total = np.zeros(len(letters))
+        place = end - begin[end]
+        turn = np.argsort(place, kind="stable")
+        groups = np.searchsorted(place[turn], np.arange(int(size.max()) + 1))
+        for i in range(len(groups) - 1):
+            edge = turn[groups[i] : groups[i + 1]]
+            came = np.where(start[edge] > begin[end[edge]], total[start[edge] - 1], 0.0) + log[edge]
+            here = np.flatnonzero(np.diff(end[edge], prepend=-1))
+            total[end[edge[here]]] = np.logaddexp.reduceat(came, here)
+        inner = start > begin[end]
+        share = np.exp(np.where(inner, total[start - 1], 0.0) + log - total[end])
+        run = np.cumsum(share)
+        bounds = run - np.where(first > 0, run[first - 1], 0.0)[end]
+        bounds[np.append(first[1:], len(end)) - 1] = 1.0
+        self._add(words, last - 1, first, bounds, np.where(inner, start - 1, -1), piece)
+
+    def _filter_one(self, word: str) -> None:
+        """The same for one word of any length and letters: a letter outside the vocabulary is a chain of its bytes."""
+        ids, logs, longest = self.vocabulary.ids, self.vocabulary.logs, self.vocabulary.longest
+        first: list[int] = []
         bounds: list[float] = []
         before: list[int] = []
         piece: list[int] = []
-        for word in words:
-            self.ends[word] = self._filter(word, bounds, before, piece)
-        self.bounds = np.concatenate([self.bounds, bounds])
-        self.before = np.concatenate([self.before, np.array(before, dtype=np.int64)])
-        self.piece = np.concatenate([self.piece, np.array(piece, dtype=np.int32)])
-
-    def _filter(self, word: str, bounds: list[float], before: list[int], piece: list[int]) -> int:
-        """Adds the edges of a word's lattice; the number of its last place. -1 is the first place."""
-        ids, weights, longest = self.vocabulary.ids, self.weights, self.vocabulary.longest
-        n = len(word)
-        total = [1.0] + [0.0] * n  # weight of all paths to a place, scaled
-        number = [-1] * (n + 1)
-        for j in range(1, n + 1):
-            edges = []
-            for i in range(max(0, j - longest), j):
-                found = ids.get(word[i:j])
-                if found is not None:
-                    edges.append((total[i] * weights[found], number[i], found))
-            if not edges:  # a character outside the vocabulary: its bytes, one after another
-                for value in word[j - 1].encode("utf-8", "surrogatepass"):
-                    found = self.vocabulary.byte_ids[value]
-                    at = number[j - 1] if not edges else self.places - 1
-                    edges = [(total[j - 1] * weights[found], at, found)]
-                    bounds.append(self.places + 1.0)
+        total, number = [0.0], [-1]  # by letter: logarithm of the weight of all paths, and place
+        for j in range(1, len(word) + 1):
+            edges = [(total[i] + logs[found], number[i], found) for i in range(max(0, j - longest), j) if (found := ids.get(word[i:j])) is not None]
+            if edges:
+                whole = float(np.logaddexp.reduce([e[0] for e in edges]))
+                first.append(len(bounds))
+                share = 0.0
+                for log, at, found in edges:
+                    share += math.exp(log - whole)
+                    bounds.append(share)
                     before.append(at)
                     piece.append(found)
-                    self.places += 1
-                number[j], total[j] = self.places - 1, edges[0][0]
+                bounds[-1] = 1.0
             else:
-                number[j], whole = self.places, 0.0
-                total[j] = sum(e[0] for e in edges)
-                for weight, at, found in edges:
-                    whole += weight
-                    bounds.append(self.places + whole / total[j])
+                whole, at = total[-1], number[-1]
+                for value in word[j - 1].encode("utf-8", "surrogatepass"):
+                    found = self.vocabulary.byte_ids[value]
+                    whole += logs[found]
+                    first.append(len(bounds))
+                    bounds.append(1.0)
                     before.append(at)
                     piece.append(found)
-                bounds[-1] = self.places + 1.0
-                self.places += 1
-            if total[j] < 1e-200:  # long words: only ratios count
-                largest = max(total[max(0, j - longest) : j + 1])
-                total = [t / largest for t in total]
-        return number[n]
+                    at = len(first) - 1
+            total.append(whole)
+            number.append(len(first) - 1)
+        self._add([word], np.array([len(first) - 1]), first, bounds, before, piece)
 
     def sample(self, words: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all words in order, and how many each word has; one seed for each word."""
         if len(self.ends) > self.MOST_WORDS:
             self.forget()
-        new = list(set(words).difference(self.ends))
+        new = set(words)
+        new.difference_update(self.ends)
         if new:
-            self.learn(new)
+            self.learn(list(new))
         node = np.fromiter(map(self.ends.__getitem__, words), dtype=np.int64, count=len(words))
         count = np.zeros(len(words), dtype=np.int64)
         live, steps = np.arange(len(words)), []
         while len(live):
-            draw = uniform(seeds[live], len(steps))
-            edge = np.searchsorted(self.bounds, node + draw, side="right")
+            draw, edge = uniform(seeds[live], len(steps)), self.first[node]
+            more = np.flatnonzero(self.bounds[edge] <= draw)
+            while len(more):
+                edge[more] += 1
+                more = more[self.bounds[edge[more]] <= draw[more]]
             steps.append((live, self.piece[edge]))
             count[live] += 1
             node = self.before[edge]
@@ -175,9 +248,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def uniform(seeds: np.ndarray, step: int) -> np.ndarray:
-    """Draws in [0, 1) that depend on seed and step only; kept below 1 when added to a place's number."""
-    bits = mixed(seeds + np.uint64((step + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(40)
-    return bits.astype(np.float64) / 2**24
+    """Draws in [0, 1) that depend on seed and step only."""
+    bits = mixed(seeds + np.uint64((step + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)
+    return bits.astype(np.float64) / 2**53
 
 
 def encode_texts(texts: list[str | None], keys: list[int], lattices: Lattices, seed: int) -> list[np.ndarray | None]:
@@ -227,7 +300,10 @@ def decode(ids: Column, how: Sampler) -> Column:
     def join_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = Vocabulary(how.path).bytes
         for batch in batches:
-            yield pa.array([None if i is None else decode_ids(i, table) for i in batch.to_pylist()], pa.string())
+            flat, ends = batch.flatten().to_numpy().tolist(), batch.offsets.to_numpy()
+            ends = ends - ends[0]
+            there = batch.is_valid().to_pylist()
+            yield pa.array([decode_ids(flat[a:b], table) if ok else None for a, b, ok in zip(ends, ends[1:], there)], pa.string())
 
     return join_pieces(ids)
 
