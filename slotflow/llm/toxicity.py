@@ -273,10 +273,11 @@ def fit(
             columns = list(zip(*uses)) if uses else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], ["word", "context", "toxic"])
 
+    held = [sample]
     try:
         uses = sample.mapInArrow(word_uses, "word string, context long, toxic int").distinct()
         counted = uses.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-        counted = counted.persist()
+        held.append(counted := counted.persist())
         total = counted.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
         if not total or not total.bad or not total.good:
             return ToxicityModel(threshold=threshold)
@@ -302,7 +303,8 @@ def fit(
 
         rows = sample.mapInArrow(measured, "values array<double>, toxic int").collect()
     finally:
-        sample.unpersist()
+        for frame in held:
+            frame.unpersist()
     x, y = np.array([r["values"] for r in rows]), np.array([r["toxic"] for r in rows], dtype=float)
     return ToxicityModel(terms, spared, regression(x, y), threshold)
 
