@@ -253,11 +253,12 @@ def block_layout(rows: DataFrame) -> DataFrame:
     with values if its header was detected.
     """
     body = rows.filter((F.col("row_idx") > F.col("header_idx")) & _has_text(F.col("cells")))
+    # Rows of a block fill few different sets of columns: those are told apart, not the cells.
+    filled = F.array_compact(F.transform("cells", lambda c, i: F.when(strip(c) != "", i)))
     live = (
-        body.select(*_BLOCK, F.posexplode("cells").alias("pos", "cell"))
-        .filter(strip(F.col("cell")) != "")
-        .groupBy(*_BLOCK, "pos")
-        .agg(F.lit(1).alias("x"))
+        body.select(*_BLOCK, filled.alias("at"))
+        .distinct()
+        .select(*_BLOCK, F.explode("at").alias("pos"))
         .groupBy(*_BLOCK)
         .agg(F.collect_set("pos").alias("live"))
     )
