@@ -164,28 +164,30 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     return bins, offsets, np.array(filled, dtype=np.int64)
 
 
+_ROUND = 1 << 48  # sequence ids of a round begin here and end far below the next
+
+
 def pack(cut: DataFrame, *, size: int = 2048, shard: int = 32_768) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``: sequences of at most ``size``, gapless from 0.
 
     Shards have about ``shard`` pieces, dealt by hash whatever the document. Each round keeps
-    the full sequences and packs the pieces of all others again in a quarter of the shards,
-    longest first; the last shard keeps all. So only pieces short of a full sequence move on.
+    the full sequences and packs the pieces of all others again, longest first. The last round
+    keeps all: it is the one with a single shard, or one whose pieces are over half of those
+    before, as pieces that do not fill sequences would never get fewer. So no shard grows.
     """
     left = cut_lineage(cut.withColumn("at", F.monotonically_increasing_id()))
-    done, first = [], 0
+    done, first, before = [], 0, None
     while True:
         rows = left.count()
         shards = max(1, math.ceil(rows / shard))
-        if done:
-            shards = min(shards, max(1, before // 4))
-        before = shards
-        packed = cut_lineage(_packed(left, shards, size, first, shards == 1))
-        if shards == 1:
+        last = shards == 1 or (before is not None and 2 * rows > before)
+        packed = cut_lineage(_packed(left, shards, size, first, last))
+        if last:
             done.append(packed)
             break
         done.append(packed.where("full"))
         left = packed.where("not full").drop("sequence_id", "offset", "full")
-        first += rows
+        first, before = first + _ROUND, rows
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -232,6 +232,13 @@ def test_packing_whole(spark, words, shard):
     assert len(by_sequence) <= 1.05 * (sum(r.length for r in rows) / 2048) + 2
 
 
+def test_pieces_that_fill_nothing(spark):
+    rows = [(i, 0, 0, 1500 if i % 2 else 1501, 7) for i in range(200)]
+    cut = spark.createDataFrame(rows, packing._PIECES)
+    got = packing.pack(cut, shard=20).collect()
+    assert len(got) == 200 == len({r.sequence_id for r in got}) and all(r.offset == 0 for r in got)
+
+
 def test_packing_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(packing.pieces(empty, PATH)).collect() == []
