@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 _SPACE = "▁"
+_ROWS = 256  # texts that a task handles at once
 
 
 @dataclass(frozen=True)
@@ -70,10 +71,14 @@ class Vocabulary:
         joined = [p for p in self.ids if len(p) > 1]
         if any(" " in p.lstrip(" ") for p in joined):
             raise ValueError("a piece joins a space to what stands before it")
-        inside = "".join(sorted({c for p in joined for c in p} - {" "}))
-        letters = "".join(map(re.escape, inside)) or ""
-        #: Parts between which no piece can reach: words with the spaces before them, spaces, other characters.
-        self.parts = re.compile(f" *[{letters}]+| +|[^{letters} ]", re.S)
+        inside = {c for p in joined for c in p} - {" "}
+        follow = {b for p in joined for a, b in zip(p, p[1:]) if a.isalpha()}  # what some piece joins to a letter
+        letters = "".join(map(re.escape, sorted(c for c in inside if c.isalpha() or c in follow)))
+        marks = "".join(map(re.escape, sorted(c for c in inside if not c.isalpha() and c not in follow)))
+        runs = [f" *[{marks}]+[{letters}]*"] * bool(marks) + [f" *[{letters}]+"] * bool(letters)
+        #: Parts between which no piece can reach: marks, then letters, with the spaces before them;
+        #: spaces alone; any other character.
+        self.parts = re.compile("|".join([*runs, " +", "."]), re.S)
 
 
 class Lattices:
@@ -85,6 +90,7 @@ class Lattices:
     """
 
     MOST_WORDS = 150_000
+    TOGETHER = 20_000  # words of one vectorised pass
     LONGEST = 64  # longer words are filtered one by one
 
     def __init__(self, vocabulary: Vocabulary) -> None:
@@ -122,8 +128,8 @@ class Lattices:
     def learn(self, words: list[str]) -> None:
         known = self.vocabulary.ids
         quick = [w for w in words if len(w) <= self.LONGEST and all(map(known.__contains__, w))]
-        if quick:
-            self._filter_together(quick)
+        for i in range(0, len(quick), self.TOGETHER):
+            self._filter_together(quick[i : i + self.TOGETHER])
         for word in set(words).difference(quick):
             self._filter_one(word)
 
@@ -282,13 +288,13 @@ def encode(text: Column, key: Column, how: Sampler) -> Column:
     def sample_pieces(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         lattices = Lattices(Vocabulary(how.path, how.alpha))
         for texts, keys in batches:
-            out: list = []
-            for at in range(0, len(texts), 512):
-                body = texts.slice(at, 512).to_pylist()
-                out += encode_texts(body, [k or 0 for k in keys.slice(at, 512).to_pylist()], lattices, how.seed)
-            flat = np.concatenate([o for o in out if o is not None] or [np.array([], dtype=np.int32)])
-            ends = np.concatenate([[0], np.cumsum([0 if o is None else len(o) for o in out])])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array([o is None for o in out], pa.bool_()))
+            if not len(texts):
+                yield pa.array([], pa.list_(pa.int32()))
+            for at in range(0, len(texts), _ROWS):  # small pieces of a batch bound the memory
+                out = encode_texts(texts.slice(at, _ROWS).to_pylist(), keys.slice(at, _ROWS).to_pylist(), lattices, how.seed)
+                flat = np.concatenate([o for o in out if o is not None] or [np.array([], dtype=np.int32)])
+                ends = np.concatenate([[0], np.cumsum([0 if o is None else len(o) for o in out])])
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array([o is None for o in out], pa.bool_()))
 
     return sample_pieces(text, F.coalesce(key.cast("long"), F.lit(0)))
 
@@ -300,10 +306,13 @@ def decode(ids: Column, how: Sampler) -> Column:
     def join_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = Vocabulary(how.path).bytes
         for batch in batches:
-            flat, ends = batch.flatten().to_numpy().tolist(), batch.offsets.to_numpy()
-            ends = ends - ends[0]
-            there = batch.is_valid().to_pylist()
-            yield pa.array([decode_ids(flat[a:b], table) if ok else None for a, b, ok in zip(ends, ends[1:], there)], pa.string())
+            if not len(batch):
+                yield pa.array([], pa.string())
+            for at in range(0, len(batch), _ROWS):
+                part = batch.slice(at, _ROWS)
+                flat, ends = part.flatten().to_numpy().tolist(), part.offsets.to_numpy()
+                ends, there = ends - ends[0], part.is_valid().to_pylist()
+                yield pa.array([decode_ids(flat[a:b], table) if ok else None for a, b, ok in zip(ends, ends[1:], there)], pa.string())
 
     return join_pieces(ids)
 
