@@ -44,9 +44,10 @@ def _row_id(major: Column, minor: Column, bits: int) -> Column:
 def number_rows(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     """Consecutive numbers from 0 along ``order``, by ranges: no task sees all rows.
 
-    Rows are dealt to ranges and kept so; only the sizes of the ranges reach the driver.
+    Rows are dealt to ranges and kept so; only the sizes of the ranges reach the driver. They
+    are written first, since dealing by ranges reads them twice.
     """
-    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    dealt = cut_lineage(cut_lineage(df).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
     sizes = {r["__range"]: r["count"] for r in dealt.groupBy("__range").count().collect()}
     before, starts = 0, []
     for number in sorted(sizes):
