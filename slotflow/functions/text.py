@@ -49,6 +49,11 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(SPACE))
 
 
+def is_filled(c: Column) -> Column:
+    """Whether a text holds more than white space; looks no further than the first such letter."""
+    return c.rlike(f"[^{SPACE}]")
+
+
 def normalise_token(c: Column) -> Column:
     """Stripped, lower case, without spaces and underscores."""
     return F.translate(F.lower(strip(c)), " _", "")

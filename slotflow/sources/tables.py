@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slotflow.functions.ordered import fill_forward, join_null_safe
-from slotflow.functions.text import SYNONYMS, strip
+from slotflow.functions.text import SYNONYMS, is_filled
 from slotflow.schema import conform
 from slotflow.session import cut_lineage
 from slotflow.sources.columns import column_position, looks_like_header, make_unique
@@ -226,7 +226,7 @@ _CHUNK_BITS = 16
 
 
 def _has_text(cells: Column) -> Column:
-    return strip(F.concat_ws("", cells)) != ""
+    return is_filled(F.concat_ws("", cells))
 
 
 def locate_blocks(cells: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def block_layout(rows: DataFrame) -> DataFrame:
     """
     body = rows.filter((F.col("row_idx") > F.col("header_idx")) & _has_text(F.col("cells")))
     # Rows of a block fill few different sets of columns: those are told apart, not the cells.
-    filled = F.array_compact(F.transform("cells", lambda c, i: F.when(strip(c) != "", i)))
+    filled = F.array_compact(F.transform("cells", lambda c, i: F.when(is_filled(c), i)))
     live = (
         body.select(*_BLOCK, filled.alias("at"))
         .distinct()
@@ -284,7 +284,7 @@ def read_blocks(cells: DataFrame, simple: bool = False) -> DataFrame:
     sheet_no = number_rows(cells.select(*_SHEET).distinct(), _SHEET, "__no")
     layout = join_null_safe(block_layout(rows), sheet_no, _SHEET)
     cell = lambda c: F.get(F.col("cells"), F.col(f"__l.{c}"))
-    picked = [F.when(strip(cell(c)) != "", cell(c)).alias(c) for c in SYNONYMS]
+    picked = [F.when(is_filled(cell(c)), cell(c)).alias(c) for c in SYNONYMS]
     return (
         join_null_safe(body, layout.select(*_BLOCK, "__no", F.struct(*SYNONYMS).alias("__l")), _BLOCK)
         .select(
