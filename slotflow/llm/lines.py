@@ -44,8 +44,9 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", rem
     later = (
         windows.join(first, ["w1", "w2"])
         .where(F.struct("k", "h", "begin") != F.col("first"))
+        # A set: copies of a row add nothing, and are combined before the shuffle.
         .groupBy("k", "h")
-        .agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+        .agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
         .select(F.col("k").alias(f"{k}2"), F.col("h").alias(f"{h}2"), F.col("spans").alias(cut))
     )
     # Spans are small beside texts: hashing them saves sorting the texts.

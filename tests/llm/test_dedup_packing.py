@@ -76,6 +76,17 @@ def test_lines_by_hand(spark):
     assert lines.dedup_lines(docs.limit(0)).collect() == []
 
 
+def test_spans_of_a_hot_row_are_held_once(spark, monkeypatch):
+    rows = [(1, "a\nb\nc\nd"), *[(7, "a\nb\nc\nd\ne")] * 400, *[(None, "x\na\nb\nc")] * 400]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {(r.doc_id, r.text, r.n) for r in lines.dedup_lines(docs, removed="n").collect()}
+    assert got == {(1, "a\nb\nc\nd", 0), (7, "e", 4), (None, "x", 3)}
+    assert lines.dedup_lines(docs).count() == len(rows)
+    # What is joined back to each copy: as many spans as the text has repeated windows.
+    monkeypatch.setattr(lines, "_without", lambda text, spans: F.struct(text.alias("text"), F.coalesce(F.size(spans), F.lit(0)).alias("lines")))
+    assert {(r.doc_id, r.n) for r in lines.dedup_lines(docs, removed="n").collect()} == {(1, 0), (7, 2), (None, 1)}
+
+
 def test_every_removed_line_stays_somewhere(spark):
     rng = random.Random(5)
     rows = [(i, "\n".join(rng.choice("abc") for _ in range(rng.randrange(1, 12)))) for i in range(200)]
