@@ -24,6 +24,8 @@ _WORD = re.compile(r"[a-z]+")
 
 _SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video title head textarea select option button datalist".split())
 _RAW = frozenset("script style textarea title noscript iframe".split())
+#: What may stand in a head; anything else begins the body.
+_HEAD = frozenset("base head html link meta noframes noscript script style template title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
@@ -151,10 +153,9 @@ def _skip(page: str, at: int, tag: str) -> int:
     if tag in _RAW:
         end = re.compile(f"</{tag}(?=[\\s/>])[^>]*(?:>|\\Z)|\\Z", re.I).search(page, at)
         return end.end()
+    if tag == "head":
+        return _skip_head(page, at)
     depth, either = 1, re.compile(f"<(/?){tag}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I)
-    if tag == "head":  # ends at the body, where its end tag is missing
-        end = re.compile(r"</head\s*>|(?=<body[\s>])|\Z", re.I).search(page, at)
-        return end.end()
     for found in either.finditer(page, at):
         depth += -1 if found[1] else 1
         if depth == 0:
@@ -162,6 +163,25 @@ def _skip(page: str, at: int, tag: str) -> int:
     return at  # never closed: only the tag goes
 
 
+def _skip_head(page: str, at: int) -> int:
+    """Behind the head's end tag; where it is missing, before the first tag or text that cannot stand in a head."""
+    while found := _TAG.search(page, at):
+        tag = (found[2] or "").lower()
+        if page[at : found.start()].strip():
+            return at
+        if found[1]:
+            if tag == "head":
+                return found.end()
+            if tag in ("body", "html", "br"):
+                return found.start()
+        elif tag and tag not in _HEAD:
+            return found.start()
+        at = found.end()
+        if tag in _HEAD - _VOID - {"head", "html"} and not found[1]:
+            at = _skip(page, at, tag)
+    return at
+
+
 def features(found: list[Block]) -> np.ndarray:
     """One row for each block, with the columns of ``FEATURES``."""
     if not found:

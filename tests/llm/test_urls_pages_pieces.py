@@ -101,6 +101,28 @@ def test_pages_by_hand(spark, tree):
         assert got[i] == want, page
 
 
+@pytest.mark.parametrize(
+    ("head", "want"),
+    [
+        ("<html><head><title>T</title>", "Kept text"),
+        ("<HEAD><META charset=utf-8><link rel=x><base href=y>\n<!-- <p>no</p> --><style>p{}</style><script>'<p>no</p>'</script>", "Kept text"),
+        ("<head><noscript><img src=x></noscript><template><p>no</p></template><noframes><p>no</p></noframes>", "Kept text"),
+        ("<head><title>T</title><body>", "Kept text"),
+        ("<head><title>T</title></title></head >", "Kept text"),
+        ("<head><title>T</title></body>", "Kept text"),
+        ("<head><title><p>T</title><meta name=a content='<article>'><script>'</head>'</script><title>U</title></head>", "Kept text"),
+        ("<head><title>T</title><header><h1>Site</h1></header>", "Kept text"),
+    ],
+)
+def test_heads_without_an_end(tree, head, want):
+    assert htmltext.extract(f"{head}<article><p>Kept text</p></article>", tree) == want
+
+
+def test_text_ends_a_head():
+    assert [b.text for b in htmltext.blocks("<head><title>T</title> \n Words <b>here</b><p>more")] == ["Words here", "more"]
+    assert htmltext.blocks("<head><title>T</title> \n ") == [] == htmltext.blocks("<head>")
+
+
 def test_long_and_hostile_pages(tree):
     body = "<p>" + "word " * 400_000 + "</p>"
     assert len(htmltext.extract(f"<article>{body}</article>", tree)) == 400_000 * 5 - 1
