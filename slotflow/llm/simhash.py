@@ -82,37 +82,40 @@ def near_duplicates(
     ``component_id`` is the smallest key reachable over links of at most ``bits`` differing
     bits, its own included. Rows without words have fingerprint 0 and are linked like any
     other. Equal fingerprints are one node, so copies are never paired. Rows with equal keys
-    are one document that links its fingerprints. A row without a key belongs to the component
-    of its fingerprint: NULL if no row with that fingerprint has a key.
+    are one document that links its fingerprints. A row without a key is linked like any other;
+    ``component_id`` is NULL where no row of a component has a key.
     """
-    prints, nodes, roots = _judged(only(docs, key=key, text=text), shingle, bits, longest_posting)
+    prints, roots = _judged(only(docs, key=key, text=text), shingle, bits, longest_posting)
     hexed = F.lower(F.lpad(F.hex("print"), 16, "0"))
     return prints.join(roots, "print", "left").select(F.col("key").alias(key), hexed.alias("fingerprint"), "component_id")
 
 
-def _judged(rows: DataFrame, shingle: int, bits: int, longest: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(key, print) of the rows, (print, node) with the smallest key, (print, component_id)."""
+def _judged(rows: DataFrame, shingle: int, bits: int, longest: int) -> tuple[DataFrame, DataFrame]:
+    """(key, print) of the rows; (print, root, component_id): the smallest fingerprint and key of its component."""
     if not 0 <= bits <= 4:
         raise ValueError("the index finds pairs that share four bytes: at most 4 differing bits")
     prints = cut_lineage(rows.select("key", fingerprint(F.col("text"), shingle).alias("print")))
+    nodes = cut_lineage(prints.groupBy("print").agg(F.min("key").alias("key")))
     keyed = prints.where(F.col("key").isNotNull())
-    nodes = cut_lineage(keyed.groupBy("print").agg(F.min("key").alias("node")))
     several = keyed.groupBy("key").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low != high")
-    own = keyed.join(several, "key", "left_semi").join(nodes, "print").select(F.col("key").alias("a"), F.col("node").alias("b"))
-    found = components(links(nodes, bits, longest).unionByName(own))
-    roots = nodes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
-    return prints, nodes, roots
+    own = keyed.join(several, "key").select(F.col("print").alias("a"), F.col("low").alias("b"))
+    found = components(links(nodes.select("print", F.col("print").alias("node")), bits, longest).unionByName(own))
+    members = nodes.join(found.withColumnRenamed("node", "print"), "print", "left").select("print", "key", F.coalesce("component", "print").alias("root"))
+    # Held, so that adaptive execution can split the join of a large component.
+    least = cut_lineage(members.groupBy("root").agg(F.min("key").alias("component_id")))
+    return prints, members.join(least, "root").select("print", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 4, bits: int = 4) -> DataFrame:
     """All columns of one row of each component: the one with its smallest key.
 
     Of several rows with that key one stays, the one with the smallest fingerprint. Rows
-    without a key go if a row with a key is in their component; else one of each fingerprint
-    stays.
+    without a key go if a row with a key is in their component; else one row stays, the one
+    with the smallest fingerprint.
     """
-    prints, _, roots = _judged(only(docs, key=key, text=text), shingle, bits, LONGEST_POSTING)
-    first = cut_lineage(prints.join(roots, "print", "left").where(F.col("key").eqNullSafe(F.col("component_id"))).groupBy("key").agg(F.count(F.lit(1)).alias("rows")))
+    prints, roots = _judged(only(docs, key=key, text=text), shingle, bits, LONGEST_POSTING)
+    chosen = F.col("key").eqNullSafe(F.col("component_id")) & (F.col("key").isNotNull() | (F.col("print") == F.col("root")))
+    first = cut_lineage(prints.join(roots, "print", "left").where(chosen).groupBy("key").agg(F.count(F.lit(1)).alias("rows")))
     at = fresh("__key", docs.columns)
     once = first.where(F.col("key").isNotNull() & (F.col("rows") == 1)).select(F.col("key").alias(at))
     kept = docs.join(once.hint("shuffle_hash"), docs[quoted(key)] == F.col(at), "left_semi")
@@ -120,12 +123,13 @@ def keep_first(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shin
     if rest.isEmpty():
         return kept
     # Repeated keys and rows without one: told apart by fingerprint and text.
-    code, place, root = (fresh(n, [*docs.columns, at]) for n in ("__print", "__place", "__root"))
+    code, place, least, root = (fresh(n, [*docs.columns, at]) for n in ("__print", "__place", "__least", "__root"))
     marked = docs.join(rest, docs[quoted(key)].eqNullSafe(F.col(at)), "left_semi").withColumn(code, fingerprint(docs[quoted(text)], shingle))
-    marked = marked.join(roots.select(F.col("print").alias(f"{code}2"), F.col("component_id").alias(root)), F.col(code) == F.col(f"{code}2"), "left")
+    marked = marked.join(roots.select(F.col("print").alias(f"{code}2"), F.col("component_id").alias(least), F.col("root").alias(root)), F.col(code) == F.col(f"{code}2"), "left")
     group = F.when(F.col(quoted(key)).isNull(), F.col(code)).otherwise(F.lit(0))
     order = Window.partitionBy(quoted(key), group).orderBy(code, F.xxhash64(quoted(text)))
-    again = marked.where(F.col(quoted(key)).eqNullSafe(F.col(root))).withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    chosen = F.col(quoted(key)).eqNullSafe(F.col(least)) & (F.col(quoted(key)).isNotNull() | (F.col(code) == F.col(root)))
+    again = marked.where(chosen).withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
     return kept.unionByName(again.select(*(F.col(quoted(c)) for c in docs.columns)))
 
 

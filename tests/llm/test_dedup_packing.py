@@ -162,6 +162,32 @@ def test_simhash_without_keys_or_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).collect() == [] and simhash.keep_first(docs.limit(0)).collect() == []
 
 
+def test_simhash_links_rows_without_keys(spark):
+    rng = random.Random(2)
+    rows = []
+    for group, keyless in enumerate((0.5, 0.9, 1.0)):
+        base = [f"g{group}w{i % 14}" for i in range(420)]
+        rows += [(None if rng.random() < keyless else 1000 * group + i + 1, " ".join(w if rng.random() > 0.004 else f"x{rng.randrange(9)}" for w in base)) for i in range(40)]
+    prints = [plain_simhash(t) for _, t in rows]
+    near = lambda some: [(i, j) for i, j in combinations(some, 2) if (prints[i] ^ prints[j]).bit_count() <= 4 or rows[i][0] is not None and rows[i][0] == rows[j][0]]
+    up = roots(range(len(rows)), near(range(len(rows))))
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        least[up[i]] = min(least.get(up[i], float("inf")), float("inf") if key is None else key)
+    keyed = [i for i, (key, _) in enumerate(rows) if key is not None]
+    alone = roots(keyed, near(keyed))
+    # Some components hold no key, some hold keyless rows, and some keyed rows meet through a keyless one only.
+    assert float("inf") in least.values() and len({alone[i] for i in keyed}) > len({up[i] for i in keyed})
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    want = sorted((key or -1, p, -1 if least[up[i]] == float("inf") else least[up[i]]) for i, ((key, _), p) in enumerate(zip(rows, prints)))
+    got = simhash.near_duplicates(docs).collect()
+    assert sorted((r.doc_id or -1, int(r.fingerprint, 16), -1 if r.component_id is None else r.component_id) for r in got) == want
+    kept = sorted((r.doc_id or -1, plain_simhash(r.text)) for r in simhash.keep_first(docs).collect())
+    first = {c: min((prints[i] for i in up if up[i] == c), key=signed) for c in least}
+    assert kept == sorted((-1, first[c]) if k == float("inf") else (k, next(prints[i] for i in keyed if rows[i][0] == k)) for c, k in least.items())
+
+
 @pytest.fixture(scope="module")
 def words():
     return packing.WordTokenizer(PATH), Tokenizer.from_file(PATH)
