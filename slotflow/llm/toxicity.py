@@ -25,7 +25,8 @@ from slotflow.llm.common import learnable, only
 
 RESULT = "score double, predicted int, n_terms int, n_quoted int"
 _TOKEN = re.compile(r"[^\W_]+")
-_QUOTES = re.compile(r"\"[^\"\n]{0,400}\"|“[^”\n]{0,400}”|«[^»\n]{0,400}»|„[^“”\n]{0,400}[“”]")
+_MARK = re.compile(r"[\"“”«»„\n]")
+_CLOSING = {'"': '"', "“": "”", "«": "»", "„": "“”"}
 _REPORTING = frozenset(
     "said says quote quoted quotes wrote called word term slur cited reported "
     "sagte schrieb zitat zitiert nannte wort dit écrit citation cité mot dijo escribió cita citado palabra".split()
@@ -36,6 +37,27 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans of quotations of any length within a line: from a mark to the next that closes it, leftmost first."""
+    marks = [(m.group(), m.start()) for m in _MARK.finditer(text)]
+    closed: list[int | None] = [None] * len(marks)
+    following: dict[str, int] = {}  # the next mark of each kind in the line
+    for i in range(len(marks) - 1, -1, -1):
+        mark = marks[i][0]
+        if mark == "\n":
+            following = {}
+            continue
+        closed[i] = min((following[c] for c in _CLOSING.get(mark, "") if c in following), default=None)
+        following[mark] = i
+    spans, i = [], 0
+    while i < len(marks):
+        end = closed[i]
+        if end is not None:
+            spans.append((marks[i][1], marks[end][1] + 1))
+        i = i + 1 if end is None else end + 1
+    return spans
+
+
 def allowed_edits(term: str) -> int:
     """Short terms have too many neighbours that are other words."""
     return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
@@ -151,6 +173,8 @@ class ToxicityScorer:
         unseen = distinct - self.misses
         if len(self.misses) > self.MOST_TOKENS:
             self.misses = set()
+        if len(self.hits) > self.MOST_TOKENS:
+            self.hits = {}
         found = False
         for word in unseen:
             hit = self.hits.get(word)
@@ -160,8 +184,6 @@ class ToxicityScorer:
                 self.misses.add(word)
             else:
                 found = True
-                if len(self.hits) > self.MOST_TOKENS:
-                    self.hits = {}
                 self.hits[word] = hit
         return found
 
@@ -171,7 +193,7 @@ class ToxicityScorer:
             return [0.0] * 5, 0, 0
         low = text.lower()
         words = [(m.group(), m.start()) for m in _TOKEN.finditer(low)]
-        spans = [m.span() for m in _QUOTES.finditer(low)]
+        spans = quotations(low)
         outright = fuzzy = quoted = best = 0.0
         n_quoted = last = span = 0
         places = [i for i, (w, _) in enumerate(words) if w in self.hits]

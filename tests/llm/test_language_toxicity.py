@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import re
 from itertools import product
 
 import pytest
@@ -112,6 +114,32 @@ def test_quotation_and_spelling_weigh_less():
     assert misspelt[2] == 1 and quoted[3] == 1 and reported[3] == 1 and clean[2] == 0
 
 
+def test_quotations_of_any_length():
+    scorer = toxicity.ToxicityScorer(toxicity.ToxicityModel({"scoundrel": 5.0}))
+    long = "plain " * 200
+    for a, b in ('""', "“”", "«»", "„“", "„”"):
+        assert scorer(f"{a}{long}scoundrel {long}{b} end")[2:] == (1, 1)
+        assert scorer(f"{a}{long}{b} {long}scoundrel {long}{a}{long}{b}")[2:] == (1, 0)
+        assert scorer(f"{a}{long}\nscoundrel {long}{b}")[2:] == (1, 0)
+    # As a search from mark to mark finds them, and in one pass.
+    plain = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]")
+    rng = random.Random(4)
+    for _ in range(2_000):
+        text = "".join(rng.choice('"“”«»„\nab') for _ in range(rng.randrange(30)))
+        assert toxicity.quotations(text) == [m.span() for m in plain.finditer(text)], text
+    assert toxicity.quotations("“«„" * 300_000) == [(2, 4)] + [(3 * i + 2, 3 * i + 4) for i in range(1, 299_999)]
+
+
+def test_hits_of_a_text_are_kept_to_its_end():
+    scorer = toxicity.ToxicityScorer(toxicity.ToxicityModel({"scoundrel": 5.0, "blackguard": 4.0, "ruffian": 3.0}))
+    text = "scoundrel and blackguard and ruffian"
+    want = scorer(text)
+    scorer.MOST_TOKENS = 1
+    assert want[2] == 3 and all(scorer(t) == want for t in (text, text, text))
+    scorer.hits = {}
+    assert scorer(text) == want
+
+
 def test_toxicity_of_odd_rows(spark, tables):
     docs, labels = tables
     model = toxicity.fit(docs, labels.unionByName(labels))
