@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotflow.llm import covertree, htmltext, language, lines, packing, pieces, simhash, topk, toxicity, urls
+from slotflow.llm import contamination, covertree, divergence, fptree, htmltext, language, lines, packing, pieces, simhash, topk, toxicity, urls
 from slotflow.llm.common import held_out
 from slotflow.llm.labelled_pages import LABELLED
 
@@ -87,6 +87,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs, removed="n_removed")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination.occurrences(docs, _table(spark, sf_dir, "benchmark"), length=10)
+    return found.select(
+        "doc_id",
+        "found.n_words",
+        "found.n_hit",
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("found.n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fptree.top_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,6 +121,9 @@ QUERIES = {
         op8_topk_inner_product,
         op9_html_text,
         op10_line_dedup,
+        op11_source_divergence,
+        op12_decontamination,
+        op13_lexical_search,
     )
 }
 
@@ -151,4 +175,11 @@ SELECT n.page_id, n.host, n.path, f.rule,
 FROM named n JOIN bounds b ON n.host = b.host LEFT JOIN fits f ON f.page_id = n.page_id AND f.nth = 1
 """
 
-SQL = {"op2_url_filter": _URL_SQL, "op8_topk_inner_product": topk.SQL, "op10_line_dedup": lines.SQL}
+SQL = {
+    "op2_url_filter": _URL_SQL,
+    "op8_topk_inner_product": topk.SQL,
+    "op10_line_dedup": lines.SQL,
+    "op11_source_divergence": divergence.SQL,
+    "op12_decontamination": contamination.SQL,
+    "op13_lexical_search": fptree.SQL,
+}
