@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotflow.functions.ordered import band_sums
+from slotflow.functions.ordered import band_sums, lowest_in_group
 from slotflow.functions.times import HOUR, micros, slot_start
 from slotflow.operators.scope import in_groups, join_null_safe, with_group_stats
 from slotflow.operators.slots import slot_counts
@@ -97,10 +97,10 @@ def delay_propagation_analysis(
 ) -> DataFrame:
     """For each late movement: how many movements follow within the window and how late they are.
 
-    The first ``limit`` in time order (all when None). Following movements are summed
+    The first ``limit`` of each group in time order (all when None). Following movements are summed
     per instant over a sliding band, so cost grows with the rows, not with the pairs.
     """
-    delay = F.coalesce(F.col("dep_delay_min"), F.lit(0.0))
+    delay, rows = F.coalesce(F.col("dep_delay_min"), F.lit(0.0)), df.count()
     timed = in_groups(df, by).filter(F.col("sched_dep").isNotNull()).select(
         *by,
         "row_id",
@@ -117,6 +117,7 @@ def delay_propagation_analysis(
         1,
         time_window_hours * HOUR,
         {"__n": F.lit(1), "__late": late, "__sum": F.col("initial_delay")},
+        rows=rows,
     ).filter(F.col("__n") > 0)
     out = (
         timed.filter(F.col("initial_delay") > LATE_MIN)
@@ -134,4 +135,7 @@ def delay_propagation_analysis(
             F.col("__n").cast("bigint").alias("total_future_flights"),
         )
     )
-    return out if limit is None else out.orderBy("time_window_start", "row_id").limit(limit)
+    order = ["time_window_start", "row_id"]
+    if limit is None:
+        return out
+    return lowest_in_group(out, by, order, limit, "__place", rows).drop("__place") if by else out.orderBy(*order).limit(limit)

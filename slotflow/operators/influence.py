@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotflow.functions.ordered import band_sums, next_rows, running_number
+from slotflow.functions.ordered import band_parts, band_sums, next_rows, running_number
 from slotflow.functions.scoring import rotation_weight
 from slotflow.functions.times import HOUR, micros, slot_start
 from slotflow.operators.scope import has_any, in_groups, primary_time, scope_airport
@@ -47,21 +47,23 @@ def _edges_to_next(rows: DataFrame, kind: str, weight: Column) -> DataFrame:
     )
 
 
-def dependency_edges(df: DataFrame, slot_min: int = 5, by: Sequence[str] = ()) -> DataFrame:
+def dependency_edges(df: DataFrame, slot_min: int = 5, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """Rotation, runway and gate edges: (src, dst, kind, weight, crew_linked).
 
     At most 1 + 3 + 1 edges leave a movement. Crew links (same carrier, departing two
     to six hours later) are dense and stay implicit: see :func:`crew_links`.
     ``crew_linked`` marks edges whose pair is also a crew link, which replaces them.
+    ``rows`` is the number of movements where the caller knows it.
     """
+    rows = df.count() if rows is None else rows
     base = in_groups(df, by).select(
         *by, "row_id", "carrier", "tail_number", "gate", "sched_dep", "sched_arr", primary_time().alias("__when")
     )
     take = ["row_id", "carrier", "sched_dep"]
-    rotation = next_rows(base.filter(F.col("tail_number").isNotNull()), [*by, "tail_number"], "sched_dep", take)
-    gate = next_rows(base.filter(F.col("gate").isNotNull()), [*by, "gate"], "sched_dep", take)
+    rotation = next_rows(base.filter(F.col("tail_number").isNotNull()), [*by, "tail_number"], "sched_dep", take, rows=rows)
+    gate = next_rows(base.filter(F.col("gate").isNotNull()), [*by, "gate"], "sched_dep", take, rows=rows)
     queued = base.filter(F.col("__when").isNotNull()).withColumn("__slot", slot_start("__when", slot_min))
-    runway = next_rows(queued, [*by, "__slot"], "sched_dep", take, n=QUEUE_DEPTH, bin_micros=None)
+    runway = next_rows(queued, [*by, "__slot"], "sched_dep", take, QUEUE_DEPTH, rows=rows)
     queue = F.lit(QUEUE_WEIGHT) * F.pow(F.lit(QUEUE_DECAY), F.col("pos").cast("double"))
     return (
         _edges_to_next(rotation, "rotation", rotation_weight(F.col("sched_arr"), F.col("nxt.sched_dep")))
@@ -103,21 +105,20 @@ def _links(edges: DataFrame, incoming: bool) -> DataFrame:
     )
 
 
-def _crew_sums(points: DataFrame, by: Sequence[str], incoming: bool, value: Column) -> DataFrame:
-    """(by, carrier, __t, __n, __w): sum of ``value`` and of weight x value over crew partners.
+def _crew_band(incoming: bool) -> tuple[int, int]:
+    """Where the partners of a movement depart: earlier ones when ``incoming``, else later ones."""
+    low, high = CREW_FROM_H * HOUR, CREW_TO_H * HOUR
+    return (-high, -low) if incoming else (low, high)
+
 
-    Partners are earlier movements when ``incoming``, else later ones. The weight falls
-    linearly with the gap, 0.4 at two hours to 0 at six, so the weighted sum needs only
-    the plain sum and the sum of gaps, never the partners themselves.
+def _crew_weight(incoming: bool) -> Column:
+    """Weighted sum over the partners, from their plain sum ``__n`` and the sum of their gaps ``__gap``.
+
+    The weight falls linearly with the gap, 0.4 at two hours to 0 at six, so that the
+    partners themselves are never needed.
     """
-    low, high = CREW_FROM_H * HOUR, CREW_TO_H * HOUR
-    reach, sign = ((-high, -low), 1.0) if incoming else ((low, high), -1.0)
     slope = CREW_WEIGHT / (CREW_TO_H - CREW_FROM_H)
-    sums = band_sums(
-        points.filter(F.col("carrier").isNotNull()), [*by, "carrier"], "__t", *reach, {"__n": value}, {"__gap": "__n"}, HOUR
-    )
-    weighted = F.lit(CREW_WEIGHT + slope * CREW_FROM_H) * F.col("__n") - F.lit(slope * sign) * F.col("__gap")
-    return sums.select(*by, "carrier", "__t", "__n", weighted.alias("__w"))
+    return F.lit(CREW_WEIGHT + slope * CREW_FROM_H) * F.col("__n") - F.lit(slope if incoming else -slope) * F.col("__gap")
 
 
 def crew_links(df: DataFrame, incoming: bool = True, by: Sequence[str] = ()) -> DataFrame:
@@ -127,12 +128,13 @@ def crew_links(df: DataFrame, incoming: bool = True, by: Sequence[str] = ()) ->
     (``incoming``) or later. A movement without carrier or departure has none.
     """
     points = in_groups(df, by).select(*by, "row_id", "carrier", micros("sched_dep").alias("__t"))
-    sums = _crew_sums(points, by, incoming, F.lit(1))
+    crewed = points.filter(F.col("carrier").isNotNull())
+    sums = band_sums(crewed, [*by, "carrier"], "__t", *_crew_band(incoming), {"__n": F.lit(1)}, {"__gap": "__n"}, HOUR, df.count())
     return points.join(sums, [*by, "carrier", "__t"], "left").select(
         *by,
         "row_id",
         F.coalesce(F.col("__n"), F.lit(0.0)).cast("bigint").alias("links"),
-        F.coalesce(F.col("__w"), F.lit(0.0)).alias("weight_sum"),
+        F.coalesce(_crew_weight(incoming), F.lit(0.0)).alias("weight_sum"),
     )
 
 
@@ -142,35 +144,40 @@ def propagate(
     """(row_id, reach) of movements on any path: sum over k of decay^k times the k-step path weight.
 
     Each movement carries its few explicit edges, so a step sends weight along them
-    without an edge join; crew links are two sliding sums per carrier. What stays the
-    same is written to the checkpoint folder once, and each step adds one narrow row
-    per movement: neither the plan nor a recomputation after a lost executor grows
+    without an edge join; crew links are sliding sums per carrier, which reach each movement
+    as at most two parts. So a step deals the movements twice: by carrier and time for the
+    sliding sums, and by row id for the sum of what a movement got. Its result is written to the
+    checkpoint folder: neither the plan nor a recomputation after a lost executor grows
     with the steps.
     """
     if direction not in ("incoming", "outgoing"):
         raise ValueError(f"direction must be 'incoming' or 'outgoing', not {direction!r}")
     incoming = direction == "incoming"
-    crewed = [*by, "carrier", "__t"]
-    fixed = cut_lineage(
-        df.select("row_id", *by, "carrier", micros("sched_dep").alias("__t")).join(
-            _links(dependency_edges(df, 5, by), incoming), "row_id", "left"
-        )
-    )
-    state, sending, factor = None, fixed.withColumn("s", F.lit(1.0)), decay
+    known = ["__t", *by, "carrier", "links"]
+    rows = df.count()
+    links = _links(dependency_edges(df, 5, by, rows), incoming)
+    fixed = df.select("row_id", *by, "carrier", micros("sched_dep").alias("__t")).join(links, "row_id", "left")
+    none = F.lit(None).cast("double")
+    state = cut_lineage(fixed.select("row_id", F.struct(*known).alias("fixed"), F.lit(1.0).alias("s"), F.lit(0.0).alias("reach")))
+    factor = decay
     for _ in range(steps):
-        direct = sending.select("s", F.explode("links").alias("e")).select(
+        sending = state.filter(F.col("s") != 0)
+        direct = sending.select("s", F.explode("fixed.links").alias("e")).select(
             F.col("e.to").alias("row_id"), (F.col("e.weight") * F.col("s")).alias("s")
         )
-        sums = _crew_sums(sending.select(*crewed, "s"), by, incoming, F.col("s")).filter(F.col("__w") != 0)
-        crew = fixed.select("row_id", *crewed).join(sums, crewed).select("row_id", F.col("__w").alias("s"))
-        gained = direct.unionByName(crew).withColumn("reach", F.col("s") * F.lit(factor))
-        if state is not None:
-            gained = gained.unionByName(state.select("row_id", F.lit(0.0).alias("s"), "reach"))
-        state = cut_lineage(gained.groupBy("row_id").agg(F.sum("s").alias("s"), F.sum("reach").alias("reach")))
-        sending = fixed.join(state.filter(F.col("s") != 0).select("row_id", "s"), "row_id")
+        points = state.select("row_id", "s", "fixed.*").filter(F.col("carrier").isNotNull())
+        crew = band_parts(
+            points, [*by, "carrier"], "__t", *_crew_band(incoming), {"__n": F.col("s")}, {"__gap": "__n"}, HOUR, ["row_id"], rows
+        ).select("row_id", _crew_weight(incoming).alias("s"))
+        gained = direct.unionByName(crew.filter("s != 0")).select("row_id", F.lit(None).cast(state.schema["fixed"].dataType).alias("fixed"), "s", none.alias("reach"))
+        kept = state.select("row_id", "fixed", none.alias("s"), "reach")
+        total = F.coalesce(F.sum("s"), F.lit(0.0))
+        state = cut_lineage(
+            kept.unionByName(gained)
+            .groupBy("row_id")
+            .agg(F.first("fixed", True).alias("fixed"), total.alias("s"), (F.sum("reach") + total * F.lit(factor)).alias("reach"))
+        )
         factor *= decay
-    if state is None:
-        return fixed.select("row_id", F.lit(0.0).alias("reach"))
     return state.select("row_id", "reach")
 
 

@@ -225,7 +225,7 @@ def best_time_to_operate_enhanced(
     counted = counted.withColumn(
         "delay", F.when(F.col("__sparse"), F.coalesce(F.col("delay"), F.lit(0.0))).otherwise(F.col("delay"))
     )
-    slots = value_stats(counted, [*by, "slot_start"], "delay", "rows")
+    slots = value_stats(counted, [*by, "slot_start"], "delay", "rows", rows=scoped.count())
     slots = gap_fill(slots, by, "slot_start", window_min, zeros=["n"], nulls=["mean", "std", "median"])
 
     n, mean, std = F.col("n"), F.col("mean"), F.col("std")

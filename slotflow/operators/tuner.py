@@ -12,9 +12,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotflow.functions.ordered import lowest_in_group
 from slotflow.functions.scoring import PEAK_HOURS, move_priority, relief_score
 from slotflow.functions.times import MINUTE, add_minutes, floor_div, from_micros, micros, slot_start
 from slotflow.operators.scope import in_groups, schedule_time, scope_airport, with_group_stats
@@ -31,8 +32,6 @@ OBJECTIVES = {
 TOP_MOVES = 50
 
 _BATCH = 1000  # overloaded slots per Python call, rounded up to whole islands
-_SALTS = 64
-_GROUP_LIMIT = 1000  # up to here Spark itself trims each group before the shuffle
 
 
 def _batches(slots: DataFrame, keys: Sequence[str], window_min: int) -> DataFrame:
@@ -141,40 +140,26 @@ def slots_after(slots: DataFrame, moves: DataFrame, keys: Sequence[str] = ()) ->
     return change.groupBy(*keys, "slot_start").agg(F.sum("movements").alias("movements"))
 
 
-def lowest_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, out: str) -> DataFrame:
-    """The ``limit`` lowest rows of each group with their rank.
-
-    Only ``limit`` rows of a group meet in one task: Spark trims groups before the
-    shuffle for small limits, larger ones are trimmed per salt first.
-    """
-    if limit > _GROUP_LIMIT:
-        salted = Window.partitionBy(*keys, F.pmod(F.xxhash64("row_id"), F.lit(_SALTS))).orderBy(*order)
-        df = df.withColumn(out, F.row_number().over(salted)).filter(F.col(out) <= limit).drop(out)
-    ranked = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter(F.col(out) <= limit)
-
-
 def assign_moves(
     df: DataFrame,
     moves: DataFrame,
     window_min: int,
-    most_moves: int,
     by: Sequence[str] = (),
     scenario: Sequence[str] = (),
 ) -> DataFrame:
     """Pick the movements that take the planned moves, easiest to move first.
 
-    ``most_moves`` bounds the moves out of one slot (open neighbours times capacity).
-    Slots are trimmed to that many candidates before the shuffle, so a crowded slot
-    costs no more than any other; the planned moves then meet the trimmed slots.
+    Only slots with moves are ranked, and no further than the last rank that moves; a
+    crowded slot is ranked in blocks.
     """
     slot = slot_start("sched_dep", window_min)
     priority = move_priority(F.col("dep_delay_min"), F.col("carrier"), F.col("sched_dep"), F.col("tail_number"))
     flights = df.filter(F.col("sched_dep").isNotNull()).select(
         *by, "row_id", "flight_id", "sched_dep", priority.alias("priority_score"), slot.alias("__slot")
     )
+    wanted = moves.groupBy(*by, F.col("slot_start").alias("__slot")).agg(F.max("rank_to").alias("__most"))
     ranked = lowest_in_group(
-        flights, [*by, "__slot"], [F.col("priority_score"), F.col("row_id")], most_moves, "slot_rank"
+        flights.join(wanted, [*by, "__slot"]), [*by, "__slot"], ["priority_score", "row_id"], F.col("__most"), "slot_rank", df.count()
     )
     chosen = ranked.join(moves.withColumnRenamed("slot_start", "__slot"), [*by, "__slot"]).filter(
         F.col("slot_rank").between(F.col("rank_from"), F.col("rank_to"))
@@ -194,10 +179,6 @@ def assign_moves(
     )
 
 
-def most_moves_per_slot(max_shift_min: int, window_min: int, capacity: int) -> int:
-    return max(1, 2 * (max_shift_min // window_min) * max(capacity, 1))
-
-
 def demo_capacity(slots: DataFrame, capacity: int, by: Sequence[str] = ()) -> DataFrame:
     """Add ``observed_peak``, ``cap`` and ``demo_mode`` to slot counts.
 
@@ -228,9 +209,7 @@ def greedy_slot_tuner_enhanced(
         {"cap": F.lit(per_window_capacity).cast("bigint"), "max_shift": F.lit(max_shift_min).cast("bigint")}
     )
     moves = plan_moves(slots, window_min, by)
-    return assign_moves(
-        scoped, moves, window_min, most_moves_per_slot(max_shift_min, window_min, per_window_capacity), by
-    )
+    return assign_moves(scoped, cut_lineage(moves), window_min, by)
 
 
 greedy_slot_tuner = greedy_slot_tuner_enhanced

@@ -24,7 +24,6 @@ from slotflow.operators.slots import add_load_index, best_time_to_operate, slot_
 from slotflow.operators.tuner import (
     assign_moves,
     build_tuned_schedule,
-    most_moves_per_slot,
     plan_moves,
     slots_after,
 )
@@ -119,8 +118,7 @@ def tuning_report(
     after = slots_after(slots, moves, keys).join(
         slots.select(*keys, "slot_start", "delay"), [*keys, "slot_start"], "left"
     )
-    most = max(most_moves_per_slot(s.max_shift_min, window_min, s.capacity) for s in scenarios)
-    moved = assign_moves(df, moves, window_min, most, by, ["scenario"])
+    moved = assign_moves(df, moves, window_min, by, ["scenario"])
 
     load = load_index(
         F.max("movements"), F.max(effective_capacity(F.col("capacity"), F.col("weather"), window_min)), OCCUPANCY_MIN

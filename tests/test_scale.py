@@ -11,7 +11,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from slotflow.checks.adapter import movements
-from slotflow.functions.ordered import band_sums, fill_forward, next_rows, running_number, value_stats
+from slotflow.functions import ordered
+from slotflow.functions.ordered import band_sums, fill_forward, in_blocks, lowest_in_group, next_rows, running, running_number, value_stats
 from slotflow.functions.times import MINUTE
 from slotflow.operators import delays, influence, slots, tuner
 from tests.test_goldens import frame
@@ -38,35 +39,106 @@ def random_rows(seed: int, n: int, minutes: int, keys: int = 2):
     ]
 
 
-@pytest.mark.parametrize("n,bin_micros", [(1, 30 * MINUTE), (3, None), (3, 7 * MINUTE)])
-def test_next_rows_equals_plain_lead(spark, monkeypatch, n, bin_micros):
-    monkeypatch.setattr("slotflow.functions.ordered.ROW_BIN_BITS", 3)
-    monkeypatch.setattr("slotflow.functions.ordered.row_bin", lambda r="row_id", bits=3: F.shiftright(r, 3))
-    df = frame(spark, random_rows(n, 300, 400)).repartition(5)
-    got = next_rows(df.select("row_id", "tail_number", "sched_dep"), ["tail_number"], "sched_dep", ["row_id"], n, bin_micros)
+@pytest.fixture(params=[1 << 20, 40], ids=["one block", "many blocks"])
+def block_rows(request, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", request.param)
+    monkeypatch.setattr(ordered, "TREE_BITS", 2 if request.param < 100 else 12)
+    return request.param
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_next_rows_equals_plain_lead(spark, block_rows, n):
+    df = frame(spark, random_rows(n, 300, 400)).repartition(5).select("row_id", "tail_number", "sched_dep")
+    got = next_rows(df, ["tail_number"], "sched_dep", ["row_id"], n)
     plain = Window.partitionBy("tail_number").orderBy(F.col("sched_dep").asc_nulls_last(), "row_id")
     want = df.select("row_id", F.array_compact(F.array(*[F.lead("row_id", i).over(plain) for i in range(1, n + 1)])).alias("w"))
-    both = got.filter("tail_number IS NOT NULL").join(want, "row_id").select(F.transform("next_rows", lambda x: x["row_id"]).alias("g"), "w").collect()
-    assert len(both) > 200 and all(r.g == r.w for r in both)
+    both = got.join(want, "row_id").select(F.transform("next_rows", lambda x: x["row_id"]).alias("g"), "w").collect()
+    assert len(both) == 300 and all(r.g == r.w for r in both)
+
+
+def hot_day(spark, n=600):
+    """One gate, tail, carrier and slot that hold every row, at distinct microseconds."""
+    rng = random.Random(9)
+    when = [START + timedelta(microseconds=x) for x in rng.sample(range(250_000_000), n)]
+    return frame(spark, [{"flight_id": f"F{i}", "carrier": "AI", "tail_number": "T", "gate": "G", "sched_dep": t, "sched_arr": t, "dep_delay_min": rng.random() * 60} for i, t in enumerate(when)])
+
+
+def test_no_window_group_passes_the_block(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 50)
+    df = hot_day(spark)
+    sizes = []
+    plain = ordered.in_blocks
+
+    def watched(df, keys, order, rows=None):
+        blocked, n = plain(df, keys, order, rows)
+        sizes.append(blocked.groupBy(*keys, "__block").count().agg(F.max("count")).first()[0] or 0)
+        return blocked, n
+
+    want = sorted(map(str, influence.dependency_edges(df).collect()))
+    before = delays.delay_propagation_analysis(df, 2, limit=None).orderBy("row_id").collect()
+    windows = slots.best_time_to_operate_enhanced(df, kind="departure").collect()
+    monkeypatch.setattr(ordered, "in_blocks", watched)
+    assert sorted(map(str, influence.dependency_edges(df).collect())) == want and len(want) > 1500
+    assert delays.delay_propagation_analysis(df, 2, limit=None).orderBy("row_id").count() == len(before) > 500
+    assert slots.best_time_to_operate_enhanced(df, kind="departure").collect() == windows
+    assert len(sizes) > 8 and max(sizes) <= 50
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 1 << 20)
+    assert sorted(map(str, influence.dependency_edges(df).collect())) == want
+    whole = delays.delay_propagation_analysis(df, 2, limit=None).orderBy("row_id").collect()
+    for a, b in zip(before, whole):
+        assert a.row_id == b.row_id and a.total_future_flights == b.total_future_flights
+        assert a.affected_flights == b.affected_flights and abs(a.avg_delay_propagation - b.avg_delay_propagation) < 1e-9
+    assert slots.best_time_to_operate_enhanced(df, kind="departure").collect() == windows
+
+
+def test_blocks_hold_the_order(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 20)
+    df = spark.range(300).select((F.col("id") % 3).alias("k"), F.col("id"))
+    blocked, n = in_blocks(df, ["k"], ["id"])
+    rows = sorted((r["__block"], r.k, r.id) for r in blocked.collect())
+    assert n == 30 and [r[1:] for r in rows] == sorted((i % 3, i) for i in range(300))
+
+
+def test_running_sums_and_lowest(spark, block_rows):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "b", None]), i, rng.choice([None, 1, 2, 5])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(4)
+    got = {r.i: r for r in running(df, ["k"], ["i"], {"u": F.col("v")}, {"d": F.col("v")}).collect()}
+    strict = {r.i: r for r in running(df, ["k"], ["i"], {"u": F.col("v")}, {"d": F.col("v")}, strict=True).collect()}
+    add = lambda xs: sum(x for x in xs if x is not None) if any(x is not None for x in xs) else None
+    for k, i, v in rows:
+        own = [(j, w) for kk, j, w in rows if kk == k]
+        assert got[i].u == add([w for j, w in own if j <= i]) and got[i].d == add([w for j, w in own if j >= i])
+        assert strict[i].u == add([w for j, w in own if j < i]) and strict[i].d == add([w for j, w in own if j > i])
+    whole = {r.i: r.u for r in running(df, [], ["i"], {"u": F.col("i")}).collect()}
+    assert whole == {i: i * (i + 1) // 2 for i in range(400)}
+    low = {(r.k, r.i): r.nth for r in lowest_in_group(df, ["k"], ["v", "i"], 70, "nth").collect()}
+    want = {}
+    for key in ("a", "b", None):
+        own = sorted((v is not None, v or 0, i) for k, i, v in rows if k == key)
+        want |= {(key, i): n + 1 for n, (_, _, i) in enumerate(own[:70])}
+    assert low == want
 
 
-def test_fill_and_number_over_chunks(spark):
+def test_fill_and_number_over_chunks(spark, block_rows):
     rng = random.Random(5)
-    rows = [(i, i % 2, rng.choice([None, None, None, i])) for i in range(500)]
+    rows = [(i, i % 2, rng.choice([None, None, None, i]) if 60 < i < 200 or i > 420 else None) for i in range(500)]
     df = spark.createDataFrame(rows, "row_id bigint, k int, v int").withColumn("chunk", F.shiftright("row_id", 4))
     filled = fill_forward(df, ["k"], "v", "chunk", "row_id", "f", then_back=True).collect()
+    forward = {r.row_id: r.f for r in fill_forward(df, ["k"], "v", "chunk", "row_id", "f").collect()}
     last, first = {}, {k: next(v for _, kk, v in rows if kk == k and v is not None) for k in (0, 1)}
     want = {}
     for i, k, v in rows:
         last[k] = v if v is not None else last.get(k)
-        want[i] = last[k] if last[k] is not None else first[k]
-    assert {r.row_id: r.f for r in filled} == want
+        want[i] = last[k]
+    assert forward == want
+    assert {r.row_id: r.f for r in filled} == {i: first[i % 2] if v is None else v for i, v in want.items()}
     numbered = running_number(df, ["k"], bits=4).collect()
     assert all(r.occurrence == r.row_id // 2 for r in numbered)
 
 
 @pytest.mark.parametrize("low,high", [(1, 7200), (-21600, -7200), (7200, 21600), (0, 0), (-3, 2)])
-def test_band_sums_equal_brute_force(spark, low, high):
+def test_band_sums_equal_brute_force(spark, block_rows, low, high):
     rng = random.Random(low + high)
     points = [(rng.choice("ab"), rng.randrange(0, 40000) * rng.choice([1, 60]), rng.random()) for _ in range(400)]
     df = spark.createDataFrame(points, "k string, t bigint, v double")
@@ -79,13 +151,16 @@ def test_band_sums_equal_brute_force(spark, low, high):
         assert abs(r.far - sum(v * (r.t - t) / 60 for t, v in near)) < 1e-6
 
 
-def test_value_stats(spark):
+def test_value_stats(spark, block_rows):
+    rng = random.Random(6)
     values = [3.0, 1.0, 1.0, 10.0, None]
-    df = spark.createDataFrame([("a", v) for v in values] + [("b", None)], "k string, v double")
+    many = [rng.choice([rng.random(), 0.5]) for _ in range(301)]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", None)] + [(None, v) for v in many], "k string, v double")
     counted = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("w"))
     got = {r.k: r for r in value_stats(counted, ["k"], "v", "w").collect()}
     assert (got["a"].n, got["a"].mean, got["a"].median) == (4, 3.75, 2.0) and abs(got["a"].std - 4.272002) < 1e-6
     assert (got["b"].n, got["b"].mean, got["b"].median) == (0, None, None)
+    assert got[None].n == 301 and got[None].median == sorted(many)[150] and abs(got[None].mean - sum(many) / 301) < 1e-9
 
 
 def greedy_model(times: list[datetime], window: int, max_shift: int, cap: int) -> list[tuple]:
@@ -116,7 +191,7 @@ def greedy_model(times: list[datetime], window: int, max_shift: int, cap: int) -
 @pytest.mark.parametrize("seed,window,shift,cap,batch", [(1, 5, 15, 2, 1000), (2, 5, 30, 1, 1), (3, 10, 20, 3, 3), (4, 5, 60, 2, 2)])
 def test_tuner_equals_one_by_one_model(spark, monkeypatch, seed, window, shift, cap, batch):
     monkeypatch.setattr(tuner, "_BATCH", batch)
-    monkeypatch.setattr(tuner, "_GROUP_LIMIT", 1000 if seed % 2 else 1)
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 1 << 20 if seed % 2 else 20)
     rng = random.Random(seed)
     clusters = [rng.randrange(0, 900) for _ in range(12)]
     times = [START + timedelta(minutes=rng.choice(clusters) + int(rng.expovariate(1 / 8))) for _ in range(260)]
@@ -179,7 +254,7 @@ def dense_influence(rows, steps=3, decay=0.85):
     return reach
 
 
-def test_influence_equals_dense_matrix(spark):
+def test_influence_equals_dense_matrix(spark, block_rows):
     rows = random_rows(11, 150, 900)
     df = frame(spark, rows).repartition(4)
     got = {r.row_id: r.reach for r in influence.propagate(df, 3, 0.85).collect()}
@@ -206,10 +281,3 @@ def test_load_index_sums_to_rows(spark):
     rli = slots.runway_load_index(df)
     total, rows, first, last = rli.agg(F.sum("movements"), F.count("*"), F.min("slot_start"), F.max("slot_start")).first()
     assert total == df.count() and rows == (last - first) // timedelta(minutes=5) + 1
-
-
-def test_hot_groups_are_trimmed_before_the_shuffle(spark):
-    df = movements(spark, SF).select("origin", "row_id")
-    low = tuner.lowest_in_group(df, ["origin"], [F.col("row_id")], 10, "rank")
-    plan = low._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2 and low.count() == 50
