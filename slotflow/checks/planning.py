@@ -48,17 +48,18 @@ day AS (SELECT * REPLACE (TIMESTAMP '2024-02-01' + (sched_dep - date_trunc('day'
 DAY_SQL = _day_sql()
 
 
-def _replay(scenarios, cap_sql=None, by=True):
+def _replay(scenarios, cap_sql=None, by=True, cases=None):
     """CTEs replaying the tuner on ``day``: moves(scenario, origin, i, j, target, shift, cost, m) and final counts.
 
     Slots are numbered from ``lo`` slots before midnight, so early targets have a place.
+    ``cases`` is a query that gives the scenarios in place of the listed ones.
     """
     lo = max(s.max_shift_min for s in scenarios) // 5
     size = 288 + 2 * lo
-    cases = ", ".join(f"('{s.name}', {s.capacity}, {s.weather}::DOUBLE, {s.max_shift_min})" for s in scenarios)
+    cases = cases or "VALUES " + ", ".join(f"('{s.name}', {s.capacity}, {s.weather}::DOUBLE, {s.max_shift_min})" for s in scenarios)
     group = "origin" if by else "'all'"
     return f""",
-scen(scenario, capacity, weather, max_shift) AS (VALUES {cases}),
+scen(scenario, capacity, weather, max_shift) AS ({cases}),
 n AS (SELECT {group} AS origin, date_diff('minute', TIMESTAMP '2024-02-01', {bucket('sched_dep', 5)}) // 5 + {lo + 1} AS i, count(*) AS n,
              avg(dep_delay_min) AS mean_delay FROM day GROUP BY ALL),
 peaks AS (SELECT origin, max(n) AS peak FROM n GROUP BY origin),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slotflow.checks import flow, planning, records, slots
+from slotflow.checks import asked, flow, planning, records, slots
 
-MODULES = [slots, flow, records, planning]
+MODULES = [slots, flow, records, planning, asked]
 
 
 def registered() -> dict:

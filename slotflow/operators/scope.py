@@ -91,6 +91,41 @@ def scope_airport(df: DataFrame, airport: str | None, mode: str = "any", on_empt
     return df.filter(keep)
 
 
+def scope_conditions(df: DataFrame, airports: Sequence[str]) -> dict[str, dict[str, Column]]:
+    """For each airport the conditions of its scopes, from one aggregate over the frame.
+
+    ``view``: rows that name it, every row when none does; ``arrival``, ``departure`` and
+    ``origin_first``: those scopes of :func:`scope_airport` within the view; ``any``: only
+    rows that name it.
+    """
+    anywhere = {a: reduce(or_, [_names(a, c) for c in SITE_COLUMNS]) for a in airports}
+
+    def facts(rows: Column, airport: str | None) -> Column:
+        held = [F.bool_or(rows & F.col(c).isNotNull()).alias(c) for c in SITE_COLUMNS]
+        named = [F.bool_or(rows & _names(airport, c)).alias(f"named_{c}") for c in ("origin", "airport")] if airport else []
+        return F.struct(F.bool_or(rows).alias("rows"), *held, *named)
+
+    told = df.agg(facts(F.lit(True), None).alias("all"), *[facts(anywhere[a], a).alias(f"a{i}") for i, a in enumerate(airports)]).first()
+    out = {}
+    for i, a in enumerate(airports):
+        own = told[f"a{i}"].asDict()
+        view = anywhere[a] if own["rows"] else F.lit(True)
+        present_ = own if own["rows"] else told["all"].asDict()
+
+        def first_held(column: str, airport: str = a, there: Mapping = present_) -> Column:
+            return next((_names(airport, c) for c in (column, "airport") if there[c]), F.lit(True))
+
+        named = next((_names(a, c) for c in ("origin", "airport") if own[f"named_{c}"]), F.lit(True))
+        out[a] = {
+            "view": view,
+            "arrival": view & first_held("destination"),
+            "departure": view & first_held("origin"),
+            "origin_first": view & named,
+            "any": anywhere[a],
+        }
+    return out
+
+
 def filter_dates(df: DataFrame, start: date | str, end: date | str | None = None) -> DataFrame:
     """Rows with ``date`` in the inclusive range; reversed ends are swapped, one date means that day."""
     ends = (start, start if end is None else end)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from slotflow.functions import scoring, text, times
 from slotflow.functions.quantiles import t_critical
 from slotflow.operators import delays, influence, labels, scope, sites, slots, tuner
-from slotflow.plans import reports, routing
+from slotflow.plans import answers, reports, routing
 from slotflow.schema import COLUMNS, MOVEMENT_SCHEMA, conform
 from slotflow.sources import columns, ingest, tables
 
@@ -279,14 +279,53 @@ def test_questions(spark):
 def test_answers(spark):
     plan = ["10:00", "10:01", "10:04", "10:12", "12:30"]
     base = departures(spark, plan, origin="DEL", destination="BOM", dep_delay_min=6.0, arr_delay_min=3.0, sched_arr=at("14:00"))
-    df = spark.createDataFrame([(q[0],) for q in QUESTIONS] * 2, "text string")
-    tables_ = dict(routing.answer(df, base))
-    assert ("busiest", "BOM", None) in tables_ and ("capacity", None, 11) in tables_ and len(tables_) == 9
-    assert not any(k[0] == "weather" for k in tables_)
-    assert tables_[("busiest", "BOM", None)].first().movements == 4
-    assert tables_[("rli", None, 10)].count() == 31
-    for table in tables_.values():
-        table.count()
+    df = spark.createDataFrame([(q[0],) for q in QUESTIONS] * 2 + [("cap=1",), ("tune it, cap=2",), ("best time to land in BLR",)], "text string")
+    found = {}
+    for r in answers.answers(df, base).orderBy("metric", "airport", "capacity", "place").collect():
+        found.setdefault((r.metric, r.airport, r.capacity), []).append(r)
+    assert len(found) == 12 and not any(k[0] == "weather" for k in found)
+    assert found["busiest", "BOM", None][0].answer.movements == 4 and found["busiest", "BOM", None][0].questions == 2
+    assert len(found["rli", None, 10]) == 31 and found["rli", None, 10][0].answer.rli == 0.45
+    assert [(r.answer.peak_rli, r.answer.overloaded_windows) for r in found["capacity", None, 1]] == [(4.5, 3)]
+    assert [(r.place, r.answer.shift_min) for r in found["tuner", None, 2]] == [(1, 5)]
+    assert [r.answer for r in found["tuner", None, 10]] == [None]
+    assert [r.answer.metric for r in found["consolidation", "DEL", None]] == answers.SHARES
+    # arrivals of DEL: no movement has it as its destination
+    assert [r.place for r in found["best_arrival", "DEL", None]] == [None]
+    assert len(found["cascade", None, 12]) == 5
+
+
+def test_jobs_do_not_grow_with_the_requests(spark):
+    base = departures(spark, ["10:00", "10:01", "10:04"], origin="DEL")
+
+    def jobs(texts):
+        group = f"answers {len(texts)}"
+        spark.sparkContext.setJobGroup(group, group)
+        df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+        rows = answers.answers(df, base).filter("metric = 'capacity'").collect()
+        spark.sparkContext.setJobGroup("", "")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), len(rows)
+
+    few, many = jobs(["capacity 1", "capacity 2"]), jobs([f"capacity {i} at DEL" for i in range(1, 40)])
+    assert (few[1], many[1]) == (2, 39) and many[0] <= few[0]
+
+
+def test_answers_of_odd_tables(spark):
+    texts = spark.createDataFrame([("busiest at DEL",), ("best departure from DEL",), ("tune DEL cap=1",), ("cascade DEL cap=1",), ("cascade DEL cap=2",), (None,)], "text string")
+    plan = ["10:00"] * 4
+    # nothing names the airport: the whole table is its view, but not its origin or its paths
+    other = departures(spark, plan, origin="MAA", destination="BLR", dep_delay_min=6.0)
+    got = {(r.metric, r.capacity): r for r in answers.answers(texts, other).collect() if r.place in (None, 1)}
+    assert got["busiest", None].answer.movements == 4 and got["best_departure", None].answer is None
+    assert got["tuner", 1].answer.shift_min == 5 and got["cascade", 1].answer is None
+    # only the airport column is filled, and no delay is known: three minutes for each movement over capacity
+    bare = departures(spark, plan, airport="DEL intl")
+    got = {(r.metric, r.capacity, r.place): r.answer for r in answers.answers(texts, bare).collect()}
+    assert got["best_departure", None, 1].n == 4
+    assert sorted(v.direct_impact for k, v in got.items() if k[:2] == ("cascade", 1)) == [9.0] * 4
+    assert sorted(v.direct_impact for k, v in got.items() if k[:2] == ("cascade", 2)) == [6.0] * 4
+    for empty in (answers.answers(texts, other.limit(0)), answers.answers(texts.limit(0), other)):
+        assert all(r.place is None or r.metric == "capacity" for r in empty.collect())
 
 
 # ---- ingestion ------------------------------------------------------------------------------

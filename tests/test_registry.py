@@ -22,6 +22,7 @@ SAMPLE = [
     "blocks_to_movements",
     "flight_labels",
     "requests",
+    "answers_slots",
 ]
 
 
