@@ -24,7 +24,7 @@ from slotflow.functions import text, times
 from slotflow.functions.text import HEADER_WORDS, SYNONYMS
 from slotflow.operators import labels, sites
 from slotflow.session import shared_folder
-from slotflow.sources import columns, ingest, sinks, tables
+from slotflow.sources import columns, delimited, ingest, sinks, tables
 
 TIME_COLS = ["sched_dep", "act_dep", "sched_arr", "act_arr"]
 
@@ -179,35 +179,67 @@ def written_movements(spark, sf):
 
 
 def parquet_without_ids(spark, sf):
-    """Parquet as another tool may have written it: no row id, two files."""
+    """Parquet as another tool may have written it: no row id, several files."""
     path = f"{shared_folder(spark)}/plain-{uuid.uuid4().hex}"
-    movements(spark, sf).drop("row_id").repartition(2, "origin").write.parquet(path)
+    movements(spark, sf).drop("row_id").repartition("origin").write.parquet(path)
     back = tables.read_movements(spark, path)
     per_id = back.groupBy("row_id").count().agg(F.max("count").alias("most")).select(F.col("most").cast("string").alias("flight_id"))
     return back.select("flight_id", "origin", "sched_dep").unionByName(per_id, allowMissingColumns=True)
 
 
+def _titled_files(part, names, sep, path):
+    """Text files of many rows each, whose header comes after a blank line and a title."""
+    quoted = {"sep": sep, "quoteAll": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    part = part.withColumn("k", F.expr("row_id div 20000"))
+    rows = part.select("k", F.col("row_id").alias("at"), F.to_csv(F.struct(*[f"`{h}`" for h in names]), quoted).alias("value"))
+    top = ["", "Plan, of, all, flights, and, of, more, days, to, come, by, hand", sep.join(names)]
+    heads = part.select("k").distinct().select("k", F.posexplode(F.array(*map(F.lit, top))).alias("at", "value"))
+    lines = rows.unionByName(heads.withColumn("at", F.col("at").cast("long") - len(top)))
+    lines.repartition("k").sortWithinPartitions("k", "at").select("k", "value").write.partitionBy("k").text(path)
+
+
 def csv_files(spark, sf):
-    """A folder with two column orders, two separators, two charsets and quoted line breaks."""
+    """A folder with two column orders, three separators, two charsets, titles and quoted line breaks."""
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     raw = raw_movements(spark, sf).withColumn("Gate", F.expr(_GATES))
     for kind, (sep, charset) in enumerate([(",", "UTF-8"), (";", "UTF-8"), ("|", "ISO-8859-1")]):
-        names = [f"`{h}`" for h in (RAW_HEADERS if kind != 1 else RAW_HEADERS[::-1])]
-        part = raw.filter(F.col("row_id") % 3 == kind).select(*names)
-        writer = part.coalesce(2).write.option("header", True).option("sep", sep).option("encoding", charset).option("quoteAll", True)
+        names = RAW_HEADERS if kind != 1 else RAW_HEADERS[::-1]
+        part = raw.filter(F.col("row_id") % 3 == kind)
+        if kind == 1:
+            _titled_files(part, names, sep, f"{path}/kind-{kind}")
+            continue
+        writer = part.select(*[f"`{h}`" for h in names]).write.option("header", True).option("sep", sep).option("encoding", charset).option("quoteAll", True)
         writer.option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/kind-{kind}")
-    return tables.read_csv_files(spark, f"{path}/*").select(*BLOCK_COLS, "gate")
+    return delimited.read_csv_files(spark, f"{path}/*").select(*BLOCK_COLS, "gate")
 
 
 _GATES = "CASE row_id % 3 WHEN 0 THEN gate || chr(10) || 'L' WHEN 2 THEN gate || chr(233) ELSE gate END"
 
 
 def one_sheet(spark, sf):
-    """One sheet, its first row as the header: the title row of a block sheet gives nothing."""
-    out = ingest.read_and_normalize(cell_rows(spark, sf), sheet="sheet-4", simple=True)
+    """The sheet of one name in every book, its first row as the header."""
+    no = F.coalesce(F.regexp_extract("sheet", "[0-9]+", 0).cast("long"), F.lit(3))
+    named = cell_rows(spark, sf).withColumns({"source_file": F.concat(F.lit("book-"), ((no - no % 5) / 5).cast("long").cast("string")), "sheet": F.concat(F.lit("sheet-"), (no % 5).cast("string"))})
+    out = ingest.read_and_normalize(named, sheet="sheet-4", simple=True)
     return out.select("sheet", "flight_id", "date", *TIME_COLS)
 
 
+def ingest_formats(spark, sf):
+    """The same movements ingested from CSV files, from cells and from parquet, by the ending of the path."""
+    path = f"{shared_folder(spark)}/formats-{uuid.uuid4().hex}"
+    raw = raw_movements(spark, sf).withColumn("k", F.expr("row_id div 20000"))
+    names = ["k", *[f"`{h}`" for h in RAW_HEADERS]]
+    ordered = raw.repartition("k").sortWithinPartitions("k", "row_id").select(*names)
+    ordered.write.partitionBy("k").option("header", True).option("quoteAll", True).csv(f"{path}/m.csv")
+    cell_rows(spark, sf).write.parquet(f"{path}/m.cells")
+    movements(spark, sf).write.parquet(f"{path}/m.parquet")
+    parts = [
+        ingest.ingest(spark, f"{path}/m.{kind}").select(F.lit(kind).alias("format"), "flight_id", "date", *TIME_COLS)
+        for kind in ("csv", "cells", "parquet")
+    ]
+    return tables.union_sheets(parts)
+
+
 def movement_labels(spark, sf):
     gaps = movements(spark, sf).withColumn("flight_number", F.when(F.col("gate").isNotNull(), F.col("flight_number")))
     return labels.movement_labels(gaps).select("row_id", "label")
@@ -327,7 +359,19 @@ FROM raw""",
         one_sheet,
         with_sql(
             _normalised_cte("raw", "row_id // 60") + "\nSELECT 'sheet-4' AS sheet, flight_id, date, sched_dep, act_dep, sched_arr, act_arr "
-            "FROM normal WHERE row_id // 60 = 4",
+            "FROM normal WHERE row_id // 60 % 5 = 4",
+            RAW_SQL,
+        ),
+    ),
+    "ingest_formats": (
+        ingest_formats,
+        with_sql(
+            _normalised_cte("raw", "row_id // 20000")
+            + _normalised_cte("raw", "row_id // 60").replace("days AS", "days2 AS").replace("FROM days)", "FROM days2)").replace("timed AS", "timed2 AS").replace("FROM timed)", "FROM timed2)").replace("normal AS", "normal2 AS")
+            + "".join(
+                f"\n{'UNION ALL ' if i else ''}SELECT '{kind}' AS format, flight_id, date, sched_dep, act_dep, sched_arr, act_arr FROM {source}"
+                for i, (kind, source) in enumerate([("csv", "normal"), ("cells", "normal2"), ("parquet", "movements")])
+            ),
             RAW_SQL,
         ),
     ),

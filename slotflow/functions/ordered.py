@@ -165,8 +165,9 @@ def fill_forward(
     ``then_back`` fills leading rows from the first non-null value of the key.
     """
     until = Window.unboundedPreceding, -1
-    in_chunk = Window.partitionBy(*keys, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     known = lambda place, value: F.when(F.col(value).isNotNull(), F.col(place))
+    # One key of all: its NULL parts are equal, and the join and the window share its shuffle.
+    whole = F.struct(*keys, F.col(chunk).alias("__chunk_no"))
     per_chunk = (
         df.groupBy(*keys, chunk)
         .agg(F.max_by(col, known(order, col)).alias("__last"), F.min_by(col, known(order, col)).alias("__first"))
@@ -182,10 +183,11 @@ def fill_forward(
         carried = join_null_safe(carried, lead, keys, "left")
     in_run = F.last("__last", True).over(Window.partitionBy(*keys, "__run").orderBy(chunk).rowsBetween(*until))
     each = join_null_safe(per_chunk.withColumn("__in_run", in_run), carried, [*keys, "__run"], "left").select(
-        *keys, chunk, F.coalesce("__in_run", "__before").alias("__carry"), *(["__lead"] if then_back else [])
+        whole.alias("__key"), F.coalesce("__in_run", "__before").alias("__carry"), *(["__lead"] if then_back else [])
     )
+    in_chunk = Window.partitionBy("__key").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     sources = [F.last(col, True).over(in_chunk), F.col("__carry")] + ([F.col("__lead")] if then_back else [])
-    return join_null_safe(df, each, [*keys, chunk], "left").withColumn(out, F.coalesce(*sources)).drop("__carry", "__lead")
+    return df.withColumn("__key", whole).join(each, "__key", "left").withColumn(out, F.coalesce(*sources)).drop("__key", "__carry", "__lead")
 
 
 def running_number(
@@ -194,20 +196,22 @@ def running_number(
     """0-based number of each row within ``keys`` along ``order`` (a row id); NULL is a key like any other."""
     chunk, run = row_bin(order, bits), F.shiftright("__rb", TREE_BITS)
     binned = df.withColumn("__rb", chunk)
-    in_bin = Window.partitionBy(*keys, "__rb").orderBy(order)
     until = Window.unboundedPreceding, -1
     sizes = binned.groupBy(*keys, "__rb").agg(F.count(F.lit(1)).alias("__n")).withColumn("__run", run)
     runs = sizes.groupBy(*keys, "__run").agg(F.sum("__n").alias("__n"))
     before = runs.select(*keys, "__run", F.sum("__n").over(Window.partitionBy(*keys).orderBy("__run").rowsBetween(*until)).alias("__before"))
     in_run = F.sum("__n").over(Window.partitionBy(*keys, "__run").orderBy("__rb").rowsBetween(*until))
     nothing = F.lit(0).cast("bigint")
+    whole = F.struct(*keys, "__rb")  # one key, as in fill_forward
     offsets = join_null_safe(sizes.withColumn("__in_run", in_run), before, [*keys, "__run"]).select(
-        *keys, "__rb", (F.coalesce("__in_run", nothing) + F.coalesce("__before", nothing)).alias("__offset")
+        whole.alias("__key"), (F.coalesce("__in_run", nothing) + F.coalesce("__before", nothing)).alias("__offset")
     )
+    in_bin = Window.partitionBy("__key").orderBy(order)
     return (
-        join_null_safe(binned.withColumn("__rn", F.row_number().over(in_bin)), offsets, [*keys, "__rb"])
-        .withColumn(out, (F.col("__rn") - 1 + F.col("__offset")).cast("bigint"))
-        .drop("__rn", "__rb", "__offset")
+        binned.withColumn("__key", whole)
+        .join(offsets, "__key")
+        .withColumn(out, (F.row_number().over(in_bin) - 1 + F.col("__offset")).cast("bigint"))
+        .drop("__key", "__rb", "__offset")
     )
 
 

@@ -9,9 +9,11 @@ from slotflow.functions.ordered import fill_forward
 from slotflow.functions.text import clean_token, flight_id
 from slotflow.functions.times import minutes_between, parse_day, resolve_times
 from slotflow.schema import MOVEMENT_SCHEMA
+from slotflow.session import cut_lineage
 from slotflow.sources.columns import detect_columns
+from slotflow.sources.delimited import read_csv_files
 from slotflow.sources.sinks import write_movements
-from slotflow.sources.tables import read_blocks, read_csv_files, read_movements
+from slotflow.sources.tables import read_blocks, read_movements
 
 _PLAIN = ("origin", "destination", "carrier", "flight_number", "tail_number", "runway", "gate", "airport")
 _TIMES = ("sched_dep", "act_dep", "sched_arr", "act_arr")
@@ -69,10 +71,7 @@ def read_and_normalize(cells: DataFrame, sheet: str | None = None, simple: bool
     Where no block has a row, row 0 of each sheet is taken as the header after all.
     """
     chosen = cells if sheet is None else cells.filter(F.col("sheet") == sheet)
-    rows = read_blocks(chosen, simple)
-    if not simple and rows.isEmpty():
-        rows = read_blocks(chosen, simple=True)
-    return to_movements(rows)
+    return to_movements(read_blocks(chosen, simple, or_simple=not simple))
 
 
 def ingest(
@@ -82,13 +81,14 @@ def ingest(
 
     ``csv``: every file in its own dialect; ``cells``: parquet of (source_file, sheet, row_idx,
     cells), of which ``sheet`` picks one sheet and ``simple`` takes row 0 as the only header;
-    ``parquet``: canonical columns. The format defaults to the extension.
+    ``parquet``: canonical columns. The format defaults to the extension. What is parsed from
+    text is written to the checkpoint folder once, so that metrics do not parse it again.
     """
     kind = (fmt or path.rstrip("/").rsplit(".", 1)[-1]).lower()
     if kind == "csv":
-        out = to_movements(read_csv_files(spark, path))
+        out = cut_lineage(to_movements(read_csv_files(spark, path)))
     elif kind == "cells":
-        out = read_and_normalize(spark.read.parquet(path), sheet, simple)
+        out = cut_lineage(read_and_normalize(spark.read.parquet(path), sheet, simple))
     elif kind == "parquet":
         out = read_movements(spark, path)
     else:

@@ -1,22 +1,20 @@
-"""Scans: parquet, CSV of unknown dialect, and cell tables with several blocks per sheet."""
+"""Scans: parquet, and cell tables with several blocks per sheet."""
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotflow.functions.ordered import fill_forward, join_null_safe
+from slotflow.functions.ordered import fill_forward, join_null_safe, running
 from slotflow.functions.text import SYNONYMS, is_filled
 from slotflow.schema import conform
 from slotflow.session import cut_lineage
-from slotflow.sources.columns import column_position, looks_like_header, make_unique
+from slotflow.sources.columns import column_position, looks_like_header
 
-SEPARATORS = [",", ";", "|", "\t"]
-_FILE_SPAN = 40  # row ids leave 2**40 positions per file
+FILE_SPAN = 40  # row ids leave 2**40 positions per file
 
 
 def read_movements(spark: SparkSession, path: str) -> DataFrame:
@@ -30,10 +28,10 @@ def read_movements(spark: SparkSession, path: str) -> DataFrame:
     placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     files = number_rows(spark.read.parquet(path).select(F.col("_metadata.file_path").alias("__file")).distinct(), ["__file"], "__no")
     joined = placed.join(files, "__file")
-    return conform(joined.withColumn("row_id", _row_id(F.col("__no"), F.col("__row"), _FILE_SPAN)).drop("__file", "__row", "__no"))
+    return conform(joined.withColumn("row_id", row_id(F.col("__no"), F.col("__row"), FILE_SPAN)).drop("__file", "__row", "__no"))
 
 
-def _row_id(major: Column, minor: Column, bits: int) -> Column:
+def row_id(major: Column, minor: Column, bits: int) -> Column:
     """Both numbers in one long, in order; fails where one of them has too many digits."""
     fits = (minor >= 0) & (minor < F.lit(1 << bits)) & (major < F.lit(1 << (63 - bits)))
     return F.when(fits, F.shiftleft(major.cast("bigint"), bits) + minor).otherwise(
@@ -42,180 +40,13 @@ def _row_id(major: Column, minor: Column, bits: int) -> Column:
 
 
 def number_rows(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
-    """Consecutive numbers from 0 along ``order``, by ranges: no task sees all rows.
+    """Consecutive numbers from 0 along ``order``, which tells the rows apart: sources, not their rows.
 
-    Rows are dealt to ranges and kept so; only the sizes of the ranges reach the driver. They
-    are written first, since dealing by ranges reads them twice.
+    The rows are written once, and cut into blocks only where they are more than one holds.
     """
-    dealt = cut_lineage(cut_lineage(df).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
-    sizes = {r["__range"]: r["count"] for r in dealt.groupBy("__range").count().collect()}
-    before, starts = 0, []
-    for number in sorted(sizes):
-        starts += [F.lit(number), F.lit(before)]
-        before += sizes[number]
-    start = F.create_map(*starts)[F.col("__range")] if starts else F.lit(0)
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return dealt.withColumn(out, (start + inside - 1).cast("bigint")).drop("__range")
-
-
-# ---- CSV ----------------------------------------------------------------------------
-
-
-def sniff_separator(line: str) -> str:
-    """The separator that splits the header line into the most cells."""
-    width = lambda sep: len(next(csv.reader([line], delimiter=sep), []))
-    return max(SEPARATORS, key=width)
-
-
-def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str, str]:
-    """(separator, encoding, header line). One distributed pass looks for invalid UTF-8."""
-    lines = spark.read.text(path)
-    first = lines.first()
-    if first is None:
-        raise ValueError(f"no rows in {path}")
-    broken = lines.filter(~F.is_valid_utf8("value")).limit(1).count() > 0
-    encoding = "cp1252" if broken else "utf-8"
-    header = spark.read.option("encoding", _spark_charset(encoding)).option("sep", "\x00").csv(path).first()[0]
-    return sniff_separator(header.lstrip("﻿")), encoding, header.lstrip("﻿")
-
-
-def _spark_charset(encoding: str) -> str:
-    return "ISO-8859-1" if encoding == "cp1252" else "UTF-8"
-
-
-def _cp1252_map() -> tuple[str, str]:
-    """Control characters that ISO-8859-1 yields, and the letters and signs meant by them."""
-    pairs = []
-    for code in range(0x80, 0xA0):
-        try:
-            pairs.append((chr(code), bytes([code]).decode("cp1252")))
-        except UnicodeDecodeError:
-            continue
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-def read_csv(
-    spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8", multi_line: bool = False
-) -> DataFrame:
-    """All-text CSV rows with ``source_file``, ``row_id`` and ``file_part`` in file order."""
-    raw = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("encoding", _spark_charset(encoding))
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
-    names = _header_names(spark, path, sep, encoding, raw.columns)
-    place = ["__file", "file_part", "__pos"]
-    kept = raw.select(
-        *[F.col(f"`{c}`") for c in raw.columns],
-        F.col("_metadata.file_path").alias(place[0]),
-        F.col("_metadata.file_block_start").alias(place[1]),
-        F.monotonically_increasing_id().alias(place[2]),
-    ).toDF(*names, *place)
-    if encoding == "cp1252":
-        wrong, right = _cp1252_map()
-        kept = kept.select(*[F.translate(F.col(f"`{c}`"), wrong, right).alias(c) for c in names], *place)
-    return _number_rows(kept)
-
-
-def _header_names(spark: SparkSession, path: str, sep: str, encoding: str, found: Sequence[str]) -> list[str]:
-    """Header cells as written, made unique (the reader itself renames repeats)."""
-    line = spark.read.option("encoding", _spark_charset(encoding)).option("sep", "\x00").option("quote", "\x00").csv(path).first()
-    cells = next(csv.reader([line[0].lstrip("﻿")], delimiter=sep), []) if line and line[0] else []
-    if encoding == "cp1252":
-        table = str.maketrans(*_cp1252_map())
-        cells = [c.translate(table) for c in cells]
-    return make_unique(cells) if len(cells) == len(found) else make_unique(found)
-
-
-def _number_rows(df: DataFrame) -> DataFrame:
-    """``row_id`` from the place in the source: file, then byte block, then row in the block.
-
-    Every row takes at least one byte, so block start + row number is unique and
-    ascending within a file. A group of the window is one read block.
-    """
-    in_part = Window.partitionBy("__file", "file_part").orderBy("__pos")
-    numbered = number_rows(df.select("__file").distinct(), ["__file"], "__no")
-    row_id = _row_id(F.col("__no"), F.col("file_part") + F.col("__rn") - 1, _FILE_SPAN)
-    return (
-        df.withColumn("__rn", F.row_number().over(in_part))
-        .join(numbered, "__file")
-        .withColumns({"row_id": row_id, "source_file": F.col("__file")})
-        .drop("__file", "__pos", "__rn", "__no")
-    )
-
-
-def read_csv_robust(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files that share one separator, charset and header, none of them known."""
-    sep, encoding, _ = sniff_csv(spark, path)
-    open_quote = spark.read.text(path).filter(F.regexp_count("value", F.lit('"')) % 2 == 1)
-    return read_csv(spark, path, sep, encoding, multi_line=not open_quote.isEmpty())
-
-
-def csv_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sep, broken, multi_line, width) of every file, from one distributed pass.
-
-    The separator is the one that splits the file's first line most often, quoted parts left
-    out; ``broken`` files are not valid UTF-8; ``multi_line`` ones have a quote open at the
-    end of a line; ``width`` is the number of header cells.
-    """
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at"),
-    )
-    files = lines.groupBy("file").agg(
-        F.min_by("value", "at").alias("head"),
-        F.bool_or(~F.is_valid_utf8("value")).alias("broken"),
-        F.bool_or(F.regexp_count("value", F.lit('"')) % 2 == 1).alias("multi_line"),
-    )
-    bare = F.regexp_replace("head", '"[^"]*"', "")
-    splits = F.array(*[F.struct((F.length(bare) - F.length(F.replace(bare, F.lit(s)))).alias("n"), F.lit(-i).alias("rank"), F.lit(s).alias("sep")) for i, s in enumerate(SEPARATORS)])
-    best = F.array_max(splits)
-    return files.select("file", best["sep"].alias("sep"), "broken", "multi_line", (best["n"] + 1).alias("width"))
-
-
-def read_csv_files(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical text columns of CSV files, each read as it is: separator, charset, header, line breaks.
-
-    Files of one kind (at most sixteen kinds) are read together by position; each file's own
-    header then says where its canonical columns are. Adds ``row_id``, ``source_file`` and
-    ``file_part`` in file order; files without rows and columns without a known header give
-    nothing.
-    """
-    profiles = cut_lineage(csv_profiles(spark, path))
-    width = profiles.agg(F.max("width")).first()[0] or 1
-    names = [f"_c{i}" for i in range(width)]
-    kinds = profiles.select("sep", "broken", "multi_line").distinct().collect()
-    schema = ", ".join(f"{n} string" for n in names)
-    empty = spark.createDataFrame([], "cells array<string>, __file string, file_part long, __pos long")
-    parts = [empty]
-    for sep, broken, multi_line in sorted(map(tuple, kinds)):
-        reader = spark.read.schema(schema).option("sep", sep).option("multiLine", multi_line).option("escape", '"')
-        raw = reader.option("encoding", _spark_charset("cp1252" if broken else "utf-8")).csv(path)
-        cells = F.array(*names)
-        if broken:
-            wrong, right = _cp1252_map()
-            cells = F.transform(cells, lambda c: F.translate(c, wrong, right))
-        own = profiles.filter((F.col("sep") == sep) & (F.col("broken") == broken) & (F.col("multi_line") == multi_line))
-        rows = raw.select(
-            cells.alias("cells"),
-            F.col("_metadata.file_path").alias("__file"),
-            F.col("_metadata.file_block_start").alias("file_part"),
-            F.monotonically_increasing_id().alias("__pos"),
-        )
-        parts.append(rows.join(own.select(F.col("file").alias("__file")), "__file", "left_semi").select(*empty.columns))
-    rows = _number_rows(union_sheets(parts))
-    head = F.min_by("cells", "row_id")
-    layout = rows.groupBy("source_file").agg(F.transform(head, lambda c: F.replace(c, F.lit("\ufeff"), F.lit(""))).alias("header"), F.min("row_id").alias("__first"))
-    every = F.sequence(F.lit(0), F.size("header") - 1)
-    places = F.struct(*[column_position(F.col("header"), every, c).alias(c) for c in SYNONYMS])
-    return (
-        rows.join(layout.select("source_file", "__first", places.alias("__l")), "source_file")
-        .filter((F.col("row_id") > F.col("__first")) & _has_text(F.col("cells")))
-        .select("row_id", "source_file", "file_part", *[F.get(F.col("cells"), F.col(f"__l.{c}")).alias(c) for c in SYNONYMS])
-    )
+    held = cut_lineage(df)
+    numbered = running(held, [], order, {out: F.lit(1)})
+    return numbered.withColumn(out, F.col(out) - 1)
 
 
 # ---- cell tables --------------------------------------------------------------------
@@ -225,7 +56,7 @@ _BLOCK = [*_SHEET, "header_idx"]
 _CHUNK_BITS = 16
 
 
-def _has_text(cells: Column) -> Column:
+def has_text(cells: Column) -> Column:
     return is_filled(F.concat_ws("", cells))
 
 
@@ -253,7 +84,7 @@ def block_layout(rows: DataFrame) -> DataFrame:
     Columns without any value are ignored. A block needs a row, and three columns
     with values if its header was detected.
     """
-    body = rows.filter((F.col("row_idx") > F.col("header_idx")) & _has_text(F.col("cells")))
+    body = rows.filter((F.col("row_idx") > F.col("header_idx")) & has_text(F.col("cells")))
     # Rows of a block fill few different sets of columns: those are told apart, not the cells.
     filled = F.array_compact(F.transform("cells", lambda c, i: F.when(is_filled(c), i)))
     live = (
@@ -273,22 +104,25 @@ def one_block(cells: DataFrame) -> DataFrame:
     return cells.withColumns({"is_header": F.col("row_idx") == 0, "header_idx": F.lit(0).cast("bigint"), "detected": F.lit(False)})
 
 
-def read_blocks(cells: DataFrame, simple: bool = False) -> DataFrame:
+def read_blocks(cells: DataFrame, simple: bool = False, or_simple: bool = False) -> DataFrame:
     """Rows of all blocks of all sheets with canonical text columns.
 
     ``cells`` has (source_file, sheet, row_idx, cells); ``simple`` takes row 0 of a sheet as
-    its only header. The layout table has one row per block; rows are read through it.
+    its only header, ``or_simple`` does so where no block has a row. The layout table has one row
+    per block; it and the rows come from one written pass over the cells.
     """
-    rows = one_block(cells) if simple else locate_blocks(cells)
-    body = rows.filter((F.col("row_idx") > F.col("header_idx")) & _has_text(F.col("cells")))
-    sheet_no = number_rows(cells.select(*_SHEET).distinct(), _SHEET, "__no")
-    layout = join_null_safe(block_layout(rows), sheet_no, _SHEET)
+    rows = one_block(cells) if simple else cut_lineage(locate_blocks(cells))
+    layout = cut_lineage(block_layout(rows))
+    if or_simple and layout.isEmpty():
+        return read_blocks(cells, simple=True)
+    layout = join_null_safe(layout, number_rows(layout.select(*_SHEET).distinct(), _SHEET, "__no"), _SHEET)
+    body = rows.filter((F.col("row_idx") > F.col("header_idx")) & has_text(F.col("cells")))
     cell = lambda c: F.get(F.col("cells"), F.col(f"__l.{c}"))
     picked = [F.when(is_filled(cell(c)), cell(c)).alias(c) for c in SYNONYMS]
     return (
         join_null_safe(body, layout.select(*_BLOCK, "__no", F.struct(*SYNONYMS).alias("__l")), _BLOCK)
         .select(
-            _row_id(F.col("__no"), F.col("row_idx"), 32).alias("row_id"),
+            row_id(F.col("__no"), F.col("row_idx"), 32).alias("row_id"),
             *_SHEET,
             F.shiftright(F.col("row_idx"), _CHUNK_BITS).alias("file_part"),
             *picked,

@@ -332,7 +332,6 @@ def test_answers_of_odd_tables(spark):
 
 
 def test_headers(spark):
-    assert columns.make_unique(["A", "A", "B", None]) == ["A", "A.1", "B", ""]
     rows = [(["Flight No", "STD", "STA"],), (["Flight No", "10:00"],), ([" flight_no ", None, "GATE"],), ([],)]
     df = spark.createDataFrame(rows, "cells array<string>")
     assert [r[0] for r in df.select(columns.looks_like_header(F.col("cells"))).collect()] == [True, False, True, False]
@@ -378,34 +377,6 @@ def test_flight_ids_and_delays(spark):
     assert [r.dep_delay_min for r in out] == [12.5, None] and out[1].sched_dep == at("11:00")
 
 
-def test_csv_dialects(spark, tmp_path):
-    body = "Date;From;To;Flight No;STD;Städt€\n02/03/2024;BOM;DEL;101;10:00;é“x”\n;DEL;BOM;102;11:30;b\n"
-    path = tmp_path / "s.csv"
-    path.write_bytes(body.encode("cp1252"))
-    assert tables.sniff_csv(spark, str(path))[:2] == (";", "cp1252")
-    raw = tables.read_csv_robust(spark, str(path)).orderBy("row_id")
-    assert raw.columns[:6] == ["Date", "From", "To", "Flight No", "STD", "Städt€"] and raw.first()[5] == "é“x”"
-    out = ingest.ingest(spark, str(path)).orderBy("row_id").collect()
-    assert [(r.flight_id, r.sched_dep) for r in out] == [("101", at("10:00")), ("102", at("11:30"))]
-    (tmp_path / "t.csv").write_bytes("﻿A|A|B\n1|2|3\n".encode())
-    assert tables.read_csv_robust(spark, str(tmp_path / "t.csv")).columns[:3] == ["A", "A.1", "B"]
-
-
-def test_csv_row_order_over_splits(spark, tmp_path):
-    lines = ["n,STD"] + [f"{i},10:00" for i in range(5000)]
-    for name in ("a.csv", "b.csv"):
-        (tmp_path / name).write_text("\n".join(lines) + "\n")
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
-    try:
-        rows = tables.read_csv(spark, str(tmp_path)).select("row_id", "n", "source_file").orderBy("row_id").collect()
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert len({r.row_id for r in rows}) == 10000
-    assert [int(r.n) for r in rows] == list(range(5000)) * 2
-    assert [r.source_file[-5:] for r in rows] == ["a.csv"] * 5000 + ["b.csv"] * 5000
-
-
 def test_blocks(spark):
     sheet = [
         ["Title", None, None],
