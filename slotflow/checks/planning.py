@@ -140,7 +140,45 @@ TUNER_AT_SQL = _recursive(
 
 
 def tuner_timeline(spark, sf):
-    return tuner.greedy_slot_tuner(movements(spark, sf), per_window_capacity=CAP + 1)
+    return rounded(tuner.greedy_slot_tuner(movements(spark, sf), per_window_capacity=CAP + 1), "priority_score", "move_cost")
+
+
+# Overloaded slots more than two reaches (six slots) apart share no target: each run of nearer ones is replayed by itself.
+TIMELINE_SQL = _recursive(
+    f""",
+slots AS (SELECT epoch({bucket('sched_dep', 5)})::BIGINT // 300 AS pos, count(*) AS n FROM movements GROUP BY 1),
+over AS (
+  SELECT pos, sum(CASE WHEN pos - prev <= 6 THEN 0 ELSE 1 END) OVER (ORDER BY pos) AS island
+  FROM (SELECT pos, lag(pos) OVER (ORDER BY pos) AS prev FROM slots WHERE n > {CAP + 1})),
+spans AS (SELECT island, min(pos) - 3 AS lo, max(pos) + 4 AS hi FROM over GROUP BY island),
+start AS (
+  SELECT island, list(coalesce(n, 0) ORDER BY p.pos) AS counts
+  FROM (SELECT island, unnest(range(lo, hi)) AS pos FROM spans) p LEFT JOIN slots ON slots.pos = p.pos GROUP BY island),
+offers AS (
+  SELECT o.island, o.pos, d, o.pos - lo + 1 AS i, o.pos + d - lo + 1 AS t, dense_rank() OVER (PARTITION BY o.island ORDER BY o.pos) AS turn,
+         abs(d) * 5 / 15::DOUBLE + 0.3::DOUBLE * CASE WHEN (o.pos + d) % 288 // 12 BETWEEN 6 AND 9 OR (o.pos + d) % 288 // 12 BETWEEN 18 AND 21 THEN 1.5::DOUBLE ELSE 1 END AS cost
+  FROM over o JOIN spans USING (island), (SELECT unnest([-3, -2, -1, 1, 2, 3]) AS d)),
+steps AS (SELECT *, (turn - 1) * 6 + row_number() OVER (PARTITION BY pos ORDER BY cost, abs(d), d) AS k FROM offers),
+run AS (
+  SELECT island, counts, 0::BIGINT AS k, 0::BIGINT AS pos, 0::INTEGER AS d, 0::DOUBLE AS cost, 0::BIGINT AS m FROM start
+  UNION ALL
+  SELECT island, list_transform(counts, lambda x, p: x - CASE WHEN p = i THEN m WHEN p = t THEN -m ELSE 0 END), k, pos, d, cost, m
+  FROM (SELECT r.island, r.counts, s.k, s.pos, s.d, s.cost, s.i, s.t, greatest(0, least(r.counts[s.i] - {CAP + 1}, {CAP + 1} - r.counts[s.t])) AS m
+        FROM run r JOIN steps s ON s.island = r.island AND s.k = r.k + 1)),
+moves AS (
+  SELECT *, coalesce(sum(m) OVER (PARTITION BY pos ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM run WHERE m > 0),
+prio AS (
+  SELECT *, epoch({bucket('sched_dep', 5)})::BIGINT // 300 AS pos,
+         abs(coalesce(dep_delay_min, 0)) * CASE WHEN carrier IN ('AI', '9W', '6E') THEN 2.0::DOUBLE ELSE 1 END
+           * CASE WHEN hour(sched_dep) BETWEEN 6 AND 9 OR hour(sched_dep) BETWEEN 18 AND 21 THEN 1.5::DOUBLE ELSE 1 END
+           * CASE WHEN tail_number IS NULL THEN 1 ELSE 1.2::DOUBLE END AS score
+  FROM movements),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY score, row_id) AS rn FROM prio)
+SELECT row_id, flight_id, sched_dep AS old_time, sched_dep + to_minutes(d * 5) AS new_time, CAST(d * 5 AS BIGINT) AS shift_min,
+       {present('score', 4)} AS priority_score, {present('cost', 4)} AS move_cost, {bucket('sched_dep', 5)} AS slot_start, rn AS slot_rank
+FROM ranked r JOIN moves v ON v.pos = r.pos AND rn > before AND rn <= before + v.m""",
+    MOVEMENTS_SQL,
+)
 
 
 def multi_objective(spark, sf):
@@ -436,7 +474,7 @@ SELECT row_id, CASE WHEN act_arr IS NULL THEN 0.3 WHEN sched_dep < act_arr + INT
     ),
     "tuner_day": (tuner_day, TUNER_SQL),
     "tuner_of_airport": (tuner_of_airport, TUNER_AT_SQL),
-    "tuner_timeline": (tuner_timeline, None),
+    "tuner_timeline": (tuner_timeline, TIMELINE_SQL),
     "tuned_schedule_csv": (
         tuned_schedule_csv,
         _recursive(

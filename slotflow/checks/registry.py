@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slotflow.checks import asked, flow, planning, records, slots
+from slotflow.checks import asked, flow, planning, records, slots, streams
 
-MODULES = [slots, flow, records, planning, asked]
+MODULES = [slots, flow, records, planning, asked, streams]
 
 
 def registered() -> dict:
