@@ -54,4 +54,45 @@ LABELLED: list[tuple[str, list[str]]] = [
     (f"<body><main><p>{_SHORT[3]}</p></main></body>", [_SHORT[3]]),
     (f'<body><div class="entry"><p>{_LONG[2]}</p><p>{_SHORT[1]}</p></div></body>', [_LONG[2], _SHORT[1]]),
     (f"<p>{_LONG[3]}</p>", [_LONG[3]]),
+    # Wrappers named after a layout, and names that only look like what stands around a text.
+    (
+        f'<body class="has-sidebar"><div class="layout with-sidebar"><div class="column"><h1>Planks</h1>{_paragraphs(_LONG[:3])}</div><div class="sidebar-right"><p>{_SHORT[0]}</p></div></div>{_FOOT}</body>',
+        ["Planks", *_LONG[:3]],
+    ),
+    (f'<body><div class="social-history">{_paragraphs(_LONG[1:])}</div></body>', list(_LONG[1:])),
+    (f'<form id="page"><article><h2>Tides</h2>{_paragraphs(_LONG[:2])}</article><footer>{_SHORT[3]}</footer></form>', ["Tides", *_LONG[:2]]),
+    # An article's own head, adverts as paragraphs, things to share between its points.
+    (
+        f'<body>{_MENU}<article class="post"><header class="entry-header"><h1>Rain at the pier</h1></header><p>{_LONG[0]}</p><p class="advert">{_LONG[2]}</p><ul><li>First the boats.<li class="share">Share it<li>Then the train.</ul><p>{_SHORT[1]}</p></article></body>',
+        ["Rain at the pier", _LONG[0], "First the boats.", "Then the train.", _SHORT[1]],
+    ),
+    # Short pages without any names, and texts without tags.
+    ("<p>One boat.</p><p>Another boat.</p>", ["One boat.", "Another boat."]),
+    ("<body><h1>Fog</h1><p>No boats today.</p></body>", ["Fog", "No boats today."]),
+    ("A line without any tag", ["A line without any tag"]),
+    (f"<div><div><h2>Gulls</h2><div>{_SHORT[2]}</div><div>{_SHORT[1]}</div></div></div>", ["Gulls", _SHORT[2], _SHORT[1]]),
+    # Short article, long comments; links inside an article, and lists of links outside of one.
+    (
+        f'<body><article><h1>Fish</h1><p>{_SHORT[2]}</p></article><div id="comments"><h3>Two readers</h3><ol class="comment-list"><li><p>{_LONG[0]}</p><li><p>{_LONG[1]}</p></ol></div></body>',
+        ["Fish", _SHORT[2]],
+    ),
+    (
+        f'<body><div><a href="/">Home</a> | <a href="/a">About the harbour</a></div><article><p>{_LONG[3]}</p><p><a href="/t">The timetable of all boats</a></p><ul><li><a href="/x">Planks</a>, and where to buy them</li></ul></article><div><a href="/y">Older</a></div></body>',
+        [_LONG[3], "The timetable of all boats", "Planks, and where to buy them"],
+    ),
+    (
+        f'<body><div class="top"><a href="/">Harbour</a></div><div class="story"><h1>Winter</h1><p>{_LONG[1]}</p><h2>Spring</h2><p>{_LONG[2]}</p><table><tr><th>Boat<th>Time<tr><td>Early<td>Six</table></div><div class="related-links"><a href="/1">Summer</a></div></body>',
+        ["Winter", _LONG[1], "Spring", _LONG[2], "Boat", "Time", "Early", "Six"],
+    ),
+    (
+        f'<body><div role="banner">Harbour News</div><div role="main"><p>{_LONG[0]}</p></div><div role="complementary"><p>{_LONG[2]}</p></div><div role="contentinfo">{_SHORT[0]}</div></body>',
+        [_LONG[0]],
+    ),
+    # Articles that end in short blocks, in links or in the middle of a list.
+    (f"<article><h1>List</h1><p>{_LONG[0]}</p><ol><li>Ropes<li>Two lamps<li>Bread</ol></article>", ["List", _LONG[0], "Ropes", "Two lamps", "Bread"]),
+    (f'<body>{_MENU}<article><p>{_LONG[1]}</p><p>{_SHORT[0]}</p><p><a href="/q">Quay</a></p></article><p><a href="/z">Next</a></p></body>', [_LONG[1], _SHORT[0], "Quay"]),
+    (f'<main><p>{_LONG[2]}</p><table><tr><td>Low<td>High</table></main><div class="ad">{_SHORT[0]}</div>', [_LONG[2], "Low", "High"]),
+    (f'<div class="content"><p>{_LONG[3]}</p><blockquote>{_SHORT[1]}</blockquote></div><div>{_SHORT[0]}</div>', [_LONG[3], _SHORT[1]]),
+    (f'<article><p>{_LONG[0]}</p><p>{_LONG[1]}</p><h3>Ends</h3></article><div><a href="/b">Back</a></div>', [_LONG[0], _LONG[1], "Ends"]),
+    (f'<body><div id="nav"><a href="/">Home</a> of the boats</div><article><p>{_SHORT[2]}</p><p><a href="/k">Knots</a> and ropes</p></article></body>', [_SHORT[2], "Knots and ropes"]),
 ]

@@ -94,6 +94,75 @@ PAGES = [
 ]
 
 
+A = "The council met on Monday to talk of the bridge, which has been shut since a lorry struck its eastern arch in the spring floods."
+B = "Repairs will cost more than was thought, the engineer told the room, for the stone must come from the same quarry as before."
+L = f"<p>{A}</p><p>{B}</p>"
+AB = f"{A}\n{B}"
+MORE = [
+    # names of wrappers, and attributes that only mention words
+    (f'<div class="layout with-sidebar"><article>{L}</article></div>', AB),
+    (f'<article title="The hidden valley">{L}</article>', AB),
+    (f'<article data-title="The hidden valley">{L}</article>', AB),
+    (f'<article><header class="entry-header"><h1>Title</h1></header>{L}</article>', f"Title\n{AB}"),
+    (f'<article>{L}<p class="advert">Buy a boat this week, at half the price of the old one.</p></article>', AB),
+    (f"<article>{L}<p hidden>Not shown to anyone who reads this page.</p></article>", AB),
+    (f"<article>{L}<ul><li class=share>Share it<li>First point<li>Second point</ul></article>", f"{AB}\nFirst point\nSecond point"),
+    (f'<div class="social-history">{L}</div>', AB),
+    ("<p>One short line.</p><p>Another.</p>", "One short line.\nAnother."),
+    ("Plain text without tags", "Plain text without tags"),
+    # hidden by attributes of every spelling, and names that are no attribute of the kind
+    (f'<article><div style="color: red; DISPLAY : none">Gone</div><div aria-hidden="true">Gone</div><div HIDDEN>Gone</div>{L}</article>', AB),
+    (f'<article data-hidden="x" class="hidden-gem"><p style="color:none">{A}</p><p>{B}</p></article>', AB),
+    (f'<body class="page-with-comments single-post"><main id="main-content">{L}</main><div class="comment-list"><p>{B}</p></div></body>', AB),
+    (f'<article class="post tag-news category-adverts comments-open">{L}</article><article class="comment"><p>I saw that lorry too.</p></article>', AB),
+    # menus, asides and feet of every kind
+    (f'<ul class="nav-menu"><li><a href=a>One</a><li><a href=b>Two</a></ul><div id="content">{L}</div><div id="site-footer"><p>All the rights</p></div>', AB),
+    (f'<div class="breadcrumbs"><a href=a>Home</a> &gt; News</div><article>{L}<aside>Pull this out</aside><footer>By a writer</footer></article>', AB),
+    (f'<div class="cookieNotice">We use cookies on all of these pages.</div><article>{L}</article>', AB),
+    (f'<div id="adSlot"><p>{B} {A}</p></div><article>{L}</article>', AB),
+    (f'<section class="newsletter-signup"><p>Read us every morning, before you read anyone else.</p></section><main>{L}</main>', AB),
+    (f'<div class="share-buttons">Send it to a friend</div><div class="post-body">{L}</div><div class="related-posts"><h3>More</h3><p>Old bridges</p></div>', AB),
+    (f'<article>{L}</article><section id="disqus_thread"><p>{A} I doubt it.</p><p>{B} So do I.</p></section>', AB),
+    (f'<form action="/"><main>{L}</main><div class="search-form">Find</div></form>', AB),
+    (f'<main>{L}<form><p>Write to the council here, in a few words.</p></form></main>', AB),
+    # markup that ends late, early or never
+    (f"<article><p>{A}<p>{B}<div class=ad>Buy</article><p class=legal>Rights", AB),
+    (f"<article><table><tr><td>{A}<td class=ad>Buy<tr><td>{B}</table></article>", AB),
+    (f"<article><dl><dt class=share>Share<dd>{A}<dd>{B}</dl></article>", AB),
+    (f"<article>{L}<p>It is <span class=ad>sold</span>shut</p></article>", f"{AB}\nIt is\nshut"),
+    (f"<article><h2>Arch<h2>Stone</h2>{L}</article>", f"Arch\nStone\n{AB}"),
+    (f"<article>{L}<svg><text>x</text><p>Kept</p></article>", f"{AB}\nx\nKept"),
+    (f"<article>{L}<blockquote>Short.</blockquote><pre>a  b\n c</pre></article>", f"{AB}\nShort.\na b c"),
+    # pages without an article element
+    (f"<div><a href=a>Home</a> <a href=b>News</a></div><div><h1>Bridge</h1>{L}<p>Yes.</p></div>", f"Bridge\n{AB}\nYes."),
+    (f"<table><tr><td><a href=a>Home</a><td>{L}</table>", AB),
+]
+
+
+def test_ordinary_markup(tree):
+    for page, want in MORE:
+        assert htmltext.extract(page, tree) == want, page
+        assert htmltext.extract(f"<html><head><title>t</title></head><body>{page}</body></html>", tree) == want, page
+
+
+def test_half_of_the_labelled_pages_predicts_the_other():
+    right = total = 0
+    for fold in (0, 1):
+        half = htmltext.fit(LABELLED[fold::2])
+        for page, main in LABELLED[1 - fold :: 2]:
+            found = htmltext.blocks(page)
+            kept = half.main(htmltext.features(found))
+            right += sum(bool(k) == (b.text in main) for b, k in zip(found, kept))
+            total += len(found)
+    assert right / total > 0.9
+
+
+def test_words_and_links_lead(tree):
+    first = htmltext.FEATURES[int(tree.nodes[0][0])]
+    assert first in htmltext.FEATURES[: htmltext.LEADING] and {"words", "links"} <= set(htmltext.FEATURES[: htmltext.LEADING])
+    assert len({int(n[0]) for n in tree.nodes if n[0] >= 0} & set(range(htmltext.LEADING))) >= 2
+
+
 def test_pages_by_hand(spark, tree):
     frame = spark.createDataFrame([(i, p, "clash") for i, (p, _) in enumerate(PAGES)], "page_id long, html string, text string")
     got = {r.page_id: r.t for r in frame.select("page_id", htmltext.main_text(F.col("html"), tree).alias("t")).collect()}
@@ -129,6 +198,8 @@ def test_long_and_hostile_pages(tree):
     deep = "<div>" * 20_000 + "<article><p>deep text</p></article>"
     assert htmltext.extract(deep, tree) == "deep text"
     assert isinstance(htmltext.extract("<a href=\"" * 2_000, tree), str)
+    for piece in ("<svg><p>x", "<li class=ad>x", "<div class=ad><p>x", "</div>", "<span class=ad>x", "<td>x", "<math>"):
+        assert isinstance(htmltext.extract(piece * 20_000, tree), str)
 
 
 def test_tree_splits_what_it_can():
