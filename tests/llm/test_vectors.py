@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -93,11 +94,12 @@ def test_dual_traversal(seed):
 
 
 def brute_top(rows, k=5):
-    fit = {r[0]: np.floor(256 * np.array(r[1], dtype=np.float64)).astype(np.int64) for r in rows if r[0] is not None and r[1] is not None and all(x is not None and np.isfinite(x) for x in r[1])}
+    """Every row counts; rows of the query's id are no candidates, and query rows of one id are one query."""
+    fit = [(r[0], [int(np.floor(256 * x)) for x in np.array(r[1], dtype=np.float64)]) for r in rows if r[0] is not None and r[1] is not None and all(x is not None and np.isfinite(x) for x in r[1])]
     out = []
-    for q in [k_ for k_ in fit if k_ % 50 == 0]:
-        scored = sorted((-int(fit[q][: len(fit[c])] @ fit[c][: len(fit[q])]), c) for c in fit if c != q)[:k]
-        out += [(q, i + 1, c, -s) for i, (s, c) in enumerate(scored)]
+    for q in {key for key, _ in fit if key % 50 == 0}:
+        pairs = [(-sum(x * y for x, y in zip(u, v)), c) for key, u in fit if key == q for c, v in fit if c != q]
+        out += [(q, i + 1, c, -s) for i, (s, c) in enumerate(sorted(pairs)[:k])]
     return sorted(out)
 
 
@@ -106,6 +108,10 @@ def test_top_k_against_all_pairs(spark, how):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=8).round(1).tolist(), 1) for i in range(400)] + [(500 + i, [0.1] * 8, 1) for i in range(60)] + [(700, [0.0] * 8, 1), (750, [], 1), (751, [2.0, 1.0], 1)]
     rows += [(800, None, 1), (801, [None] * 8, 1), (850, [float("nan")] * 8, 1), (900, [float("-inf")] * 8, 1), (None, [1.0] * 8, 1), (1, rows[1][1], 1)]
+    # repeated ids: a better candidate, a copy, and another vector of a query
+    rows += [(3, [9.0] * 8, 1), (3, [9.0] * 8, 1), (100, [-2.0] * 8, 1), (100, rows[100][1], 1)]
+    # integers whose scores no double tells apart
+    rows += [(950, [2.0**20 + 1] * 8, 1), (951, [2.0**20] * 7 + [2.0**20 + 1 / 256], 1), (952, [2.0**20] * 8, 1)]
     frame = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA.replace("float", "double") + ", score int")
     # Blocks in partitions of their own, as a large table has them.
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -122,5 +128,43 @@ def test_top_k_of_few_and_none(spark):
     assert topk.top_k(topk.integers(frame.limit(0)), F.col("id") % 50 == 0).collect() == []
 
 
+def test_scores_beyond_doubles(spark):
+    big = [(50, [2.0**22, 1 / 256], 1), (1, [2.0**22, 1 / 256], 1), (2, [2.0**22, 0.0], 1), (3, [2.0**22, 2 / 256], 1)]
+    assert [tuple(r) for r in topk.top_k(topk.integers(spark.createDataFrame(big, SCHEMA.replace("float", "double"))), F.col("id") % 50 == 0).collect()] == [
+        (50, 1, 3, 2**60 + 2),
+        (50, 2, 1, 2**60 + 1),
+        (50, 3, 2, 2**60),
+    ]
+    for far in ([2.0**25, 0.0], [1e18, 0.0]):
+        frame = spark.createDataFrame([(50, far, 1), (1, far, 1)], SCHEMA.replace("float", "double"))
+        with pytest.raises(Exception, match="does not fit"):
+            topk.top_k(topk.integers(frame), F.col("id") % 50 == 0).collect()
+
+
+def test_copies_grow_slower_than_the_rows(spark):
+    how = topk.Search(candidates=100, queries=50, seeds=64, sample=100)
+    copies = []
+    for n in (1000, 4000):
+        rng = np.random.default_rng(7)
+        lengths = np.exp(rng.normal(size=n))
+        unit = rng.normal(size=(n, 6))
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        rows = [(i, (u * s).tolist(), 1) for i, (u, s) in enumerate(zip(unit, lengths))]
+        held = topk.integers(spark.createDataFrame(rows, SCHEMA.replace("float", "double"))).checkpoint()
+        asked, dealt = topk.deal(held, F.col("id") % 10 == 0, 6, np.eye(6), how)
+        copies.append((asked.count() + dealt.count()) / n)
+        got = topk.top_k(held, F.col("id") % 10 == 0, how)
+        assert got.count() == n // 10 * 5
+    assert copies[1] < 2 * copies[0]  # four times the rows
+
+
 def test_top_k_like_sql(spark):
     assert compare(spark, connect(SF), "op8", queries.op8_topk_inner_product, topk.SQL, SF) == []
+
+
+def test_top_k_of_repeated_ids_like_sql(spark, tmp_path):
+    rows = [(i % 70, [((i * 7) % 11) / 3.0, (i % 5) - 2.0, 0.25 * (i % 3)], 1) for i in range(300)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert compare(spark, con, "op8", queries.op8_topk_inner_product, topk.SQL, str(tmp_path)) == []
