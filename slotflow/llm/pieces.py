@@ -178,8 +178,11 @@ class Lattices:
             total[end[edge[here]]] = np.logaddexp.reduceat(came, here)
         inner = start > begin[end]
         share = np.exp(np.where(inner, total[start - 1], 0.0) + log - total[end])
-        run = np.cumsum(share)
-        bounds = run - np.where(first > 0, run[first - 1], 0.0)[end]
+        # Added up within each place, edge by edge: what a word's bounds are does not depend on its batch.
+        bounds, nth = share.copy(), np.arange(len(end)) - first[end]
+        for i in range(1, int(nth.max()) + 1):
+            edge = np.flatnonzero(nth == i)
+            bounds[edge] += bounds[edge - 1]
         bounds[np.append(first[1:], len(end)) - 1] = 1.0
         self._add(words, last - 1, first, bounds, np.where(inner, start - 1, -1), piece)
 

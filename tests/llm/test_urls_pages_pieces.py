@@ -250,6 +250,29 @@ def test_all_words_of_two_letters_have_their_paths(vocabulary):
         assert b"".join(vocabulary.bytes[i] for i in got) == word.encode() * 200
 
 
+def test_bounds_do_not_depend_on_the_batch(vocabulary):
+    rng = np.random.default_rng(1)
+    letters = [c for c in "abcdefghijklmnopqrstuvwxyz▁é" if c in vocabulary.ids]
+    words = list({"".join(rng.choice(letters, rng.integers(1, 15))) for _ in range(600)})
+
+    def edges(lattice, word):
+        at, out = [lattice.ends[word]], {}
+        while at:
+            place = at.pop()
+            if place < 0 or place in out:
+                continue
+            stop = lattice.first[place + 1] if place + 1 < len(lattice.first) else len(lattice.bounds)
+            out[place] = [(lattice.bounds[e], lattice.piece[e]) for e in range(lattice.first[place], stop)]
+            at += [int(lattice.before[e]) for e in range(lattice.first[place], stop)]
+        return [out[k] for k in sorted(out)]
+
+    together, alone = pieces.Lattices(vocabulary), pieces.Lattices(vocabulary)
+    together.learn(words)
+    for word in words:
+        alone.learn([word])
+        assert edges(together, word) == edges(alone, word), word
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(max_size=40), st.text(" ▁a\n\t\x00é中😀", max_size=30)), max_size=5), st.integers(-(2**63), 2**63 - 1))
 def test_decoding_is_lossless(texts, key):
