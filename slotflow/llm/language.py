@@ -61,12 +61,13 @@ class LanguageJudge:
         held.precompute_compress(compression_params=how)
         return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
 
-    def sizes(self, text: str) -> list[int]:
+    def sizes(self, text: str) -> list[float]:
         """Bytes of the whole text with each dictionary."""
         data = plain(text)
         if len(data) <= self.model.short and all(self.model.leads):
             behind = zip(self.encoders, self.model.leads, self.alone)
-            return [sum(len(e.compress(x + data)) for x in leads) - alone for e, leads, alone in behind]
+            most = max(map(len, self.model.leads))  # a language with fewer leads counts as if it had as many
+            return [(sum(len(e.compress(x + data)) for x in leads) - alone) * most / len(leads) for e, leads, alone in behind]
         parts = [data[i : i + self.model.block] for i in range(0, len(data), self.model.block)]
         return [sum(map(len, map(e.compress, parts))) for e in self.encoders]
 
@@ -103,12 +104,13 @@ def fit(
     """Dictionaries from at most ``per_language`` documents of each language.
 
     The sample is the documents with the smallest key hashes among the learnable ones that
-    have a language, a letter and at most ``longest`` characters; only it reaches the driver.
+    have a language and a letter, each cut to its first ``longest`` characters; of a key with
+    several texts the first in order counts. Only the sample reaches the driver.
     Languages are a closed set of labels, so their dictionaries are too. No labelled text: a
     model that answers ``und``.
     """
     rows = only(docs, key=key, lang=lang, text=text).where(
-        learnable(F.col("key")) & F.col("lang").isNotNull() & (F.length("text") <= longest) & F.col("text").rlike("\\p{L}")
+        learnable(F.col("key")) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")
     )
     keys = rows.select("lang", "key", F.xxhash64("key").alias("hash")).withColumn("salt", F.pmod("hash", F.lit(64)))
     # Few of each salt first: no task sees all candidates of a frequent language.
@@ -116,8 +118,9 @@ def fit(
         place = F.row_number().over(Window.partitionBy(*group).orderBy("hash", "key"))
         keys = keys.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
     picked = keys.select("lang", "key").distinct()
-    # At most per_language keys of each language.
-    found = rows.join(F.broadcast(picked), ["lang", "key"], "left_semi").select("lang", "key", "text").collect()
+    # At most per_language keys of each language, and one text of each.
+    own = rows.join(F.broadcast(picked), ["lang", "key"], "left_semi").select("lang", "key", F.substring("text", 1, longest).alias("text"))
+    found = own.groupBy("lang", "key").agg(F.min("text").alias("text")).collect()
     samples: dict[str, list[bytes]] = {}
     for row in sorted(found, key=lambda r: (r.lang, r.key, r.text)):
         samples.setdefault(row.lang, []).append(plain(row.text))

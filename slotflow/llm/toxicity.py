@@ -256,7 +256,8 @@ def fit(
 
     They are those with the smallest key hashes; texts over ``longest`` characters are not
     learned from, and equal texts count once. A key with several labels is toxic if one of
-    them is. A text counts once for each of its words, by the neighbours of the word's first
+    them is; of its texts the first in order counts, so that as many texts as keys at most
+    leave the executors. A text counts once for each of its words, by the neighbours of the word's first
     use; equal neighbours count once, so that copies of one text do not make its words terms.
     A term is a word with at least ``least_uses`` such uses in toxic texts, and at least twenty
     times as large a share of them as in clean ones. No labels of either kind: a model without
@@ -277,6 +278,8 @@ def fit(
         only(docs, key=key, text=text)
         .where((F.length("text") <= longest) & (F.length("text") > 0))
         .join(F.broadcast(picked), "key")
+        .groupBy("key")
+        .agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
         .groupBy("text")
         .agg(F.max("toxic").alias("toxic"))
         .persist()
@@ -331,8 +334,8 @@ def fit(
     return ToxicityModel(terms, spared, regression(x, y), threshold)
 
 
-def _lookalikes(counted: DataFrame, terms: dict[str, float], most: int = 100_000) -> frozenset[str]:
-    """Words near a term that clean texts use in their own right."""
+def _lookalikes(counted: DataFrame, terms: dict[str, float]) -> frozenset[str]:
+    """Words near a term that clean texts use in their own right; all of them, out of the sample's words."""
 
     @F.arrow_udf("boolean")
     def near_a_term(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -340,7 +343,7 @@ def _lookalikes(counted: DataFrame, terms: dict[str, float], most: int = 100_000
         for batch in batches:
             yield pa.array([w.as_py() not in terms and lexicon.nearest(w.as_py()) is not None for w in batch], pa.bool_())
 
-    own = counted.where("good >= 2 and good >= bad").where(near_a_term("word")).orderBy(F.desc("good"), "word").limit(most)
+    own = counted.where("good >= 2 and good >= bad").where(near_a_term("word"))
     return frozenset(row.word for row in own.select("word").collect())
 
 

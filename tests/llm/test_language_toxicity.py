@@ -7,6 +7,7 @@ import re
 from itertools import product
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from slotflow.llm import language, toxicity
@@ -58,6 +59,56 @@ def test_no_labelled_languages(spark):
     assert empty.select(language.identify(F.col("text"), model)).collect() == []
 
 
+def test_fits_are_bounded_and_whole(spark):
+    """A hot key gives one text, a language of long texts alone gets its dictionary."""
+    hot = [(0, f"the ship sails in the morning number {i}", "en") for i in range(500)]
+    long = [(i, "das schiff fährt am morgen über den see " * 600, "de") for i in range(1, 40)]
+    docs = spark.createDataFrame([*hot, *long], "doc_id long, text string, lang string")
+    collected = []
+    plain = language.divide
+
+    def watched(texts, *rest):
+        collected.append(len(texts))
+        return plain(list(texts), *rest)
+
+    language.divide = watched
+    try:
+        model = language.fit(docs, per_language=20, longest=1000)
+    finally:
+        language.divide = plain
+    assert len(collected) == 2 and max(collected) <= 20
+    ask = spark.createDataFrame([("am morgen fährt das schiff über den see",), ("the ship sails in the morning",)], "text string")
+    assert [r.p for r in ask.select(language.identify(F.col("text"), model)["lang_pred"].alias("p")).collect()] == ["de", "en"]
+
+
+def test_smallest_size_by_brute_force(spark, tables):
+    """The language is that whose dictionary makes the text smallest, recounted with plain compressors."""
+    docs, _ = tables
+    model = language.fit(docs)
+    rows = docs.where("text is not null").limit(40).select("text", language.identify(F.col("text"), model).alias("r")).collect()
+    how = zstandard.ZstdCompressionParameters(
+        window_log=18, chain_log=17, hash_log=17, search_log=4, min_match=4, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False
+    )
+
+    def size(data, content, head=b""):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=how).compress(head + data))
+
+    seen = set()
+    for row in rows:
+        data = " ".join(row.text.lower().split()).encode()
+        totals = []
+        for (name, content), leads in zip(model.dictionaries, model.leads):
+            if len(data) <= 256:
+                totals.append((sum(size(data, content, x) - size(b"", content, x) for x in leads), name))
+            else:
+                totals.append((sum(size(data[i : i + 4096], content) for i in range(0, len(data), 4096)), name))
+        low = min(totals)[0]
+        assert row.r.lang_pred in {name for total, name in totals if total == low}
+        seen.add(row.r.lang_pred)
+    assert len(seen) > 1
+
+
 def test_narrow_margin_is_rejected():
     same = b"alpha beta gamma delta " * 40
     judge = language.LanguageModel((("a", same), ("b", same)), ((b"alpha beta ",), (b"alpha beta ",))).judge()
