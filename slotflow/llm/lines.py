@@ -28,12 +28,14 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", rem
     empty texts. A removed line always stands at an earlier place that stays. Within a text
     an earlier window counts as the first. Rows with equal key and equal text are one
     document: each of them gets the same result. Rows without a key come last, equal texts
-    among them being one document. ``removed`` names a column for the number of lines cut.
+    among them being one document. Of texts that share a key the one whose MD5 begins with the
+    smaller number counts as the earlier. A repeat that overlaps its own first occurrence loses
+    lines of it: ``a a a a a`` becomes ``a``. ``removed`` names a column for the number of lines cut.
     """
     taken = list(docs.columns)
-    k, h, cut = (fresh(n, taken) for n in ("__key", "__hash", "__cut"))
+    k, h, cut, k2, h2 = (fresh(n, taken) for n in ("__key", "__hash", "__cut", "__key2", "__hash2"))
     body = docs[quoted(text)]
-    named = docs.withColumns({k: F.coalesce(docs[quoted(key)].cast("long"), F.lit(_LAST)), h: F.xxhash64(body)})
+    named = docs.withColumns({k: F.coalesce(docs[quoted(key)].cast("long"), F.lit(_LAST)), h: _order(body)})
     windows = _windows(named.select(F.col(k).alias("k"), F.col(h).alias("h"), F.col(quoted(text)).alias("text")))
     first = (
         windows.groupBy("w1", "w2")
@@ -47,15 +49,21 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", rem
         # A set: copies of a row add nothing, and are combined before the shuffle.
         .groupBy("k", "h")
         .agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-        .select(F.col("k").alias(f"{k}2"), F.col("h").alias(f"{h}2"), F.col("spans").alias(cut))
+        .select(F.col("k").alias(k2), F.col("h").alias(h2), F.col("spans").alias(cut))
     )
     # Spans are small beside texts: hashing them saves sorting the texts.
-    joined = named.join(later.hint("shuffle_hash"), (F.col(k) == F.col(f"{k}2")) & (F.col(h) == F.col(f"{h}2")), "left")
-    done = _without(F.col(quoted(text)), F.col(cut))
-    out = [done["text"].alias(c) if c.lower() == text.lower() else F.col(quoted(c)) for c in docs.columns]
+    joined = named.join(later.hint("shuffle_hash"), (F.col(k) == F.col(k2)) & (F.col(h) == F.col(h2)), "left")
+    # Only texts that lose lines go through Python.
+    done = _without(F.when(F.col(cut).isNotNull(), F.col(quoted(text))), F.col(cut))
+    out = [F.when(F.col(cut).isNull(), F.col(quoted(text))).otherwise(done["text"]).alias(c) if c.lower() == text.lower() else F.col(quoted(c)) for c in docs.columns]
     return joined.select(*out, *([done["lines"].alias(removed)] if removed else []))
 
 
+def _order(text: Column) -> Column:
+    """The first 60 bits of the text's MD5: tells texts of one key apart, and orders them."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def _windows(rows: DataFrame) -> DataFrame:
     """(k, h, begin, end, w1, w2): first and last line number and a 128-bit hash of every window."""
     rows = rows.where(F.col("text").isNotNull())
@@ -112,7 +120,7 @@ windows AS (
   SELECT doc_id, text, pos AS b, lead(pos, 2) OVER w AS e, line AS l1, lead(line) OVER w AS l2, lead(line, 2) OVER w AS l3
   FROM filled WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id NULLS LAST, text, b) AS nth
+  SELECT *, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id NULLS LAST, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT), b) AS nth
   FROM windows WHERE e IS NOT NULL),
 kept AS (
   SELECT doc_id, text, pos, raw FROM lined l WHERE NOT EXISTS (

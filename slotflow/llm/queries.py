@@ -39,7 +39,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = marks.groupBy(F.col("doc_id").alias("number")).agg(F.max(bad).alias("bad"))
     number = F.regexp_extract(urls.path_of(F.col("url")), "/([0-9]{1,18})(?:[/.]|$)", 1)
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.when(number != "", number.cast("long")).alias("number"))
-    judged = urls.judge(pages.join(outcomes, "number", "left"), RULES)
+    # Pages without a number meet no outcome: as one key of the join they would be one task's.
+    known = pages.where("number is not null").join(outcomes, "number", "left").select("page_id", "url", "bad")
+    rest = pages.where("number is null").select("page_id", "url", F.lit(None).cast("int").alias("bad"))
+    judged = urls.judge(known.unionByName(rest), RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -123,9 +123,9 @@ def keep_first(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shin
     if rest.isEmpty():
         return kept
     # Repeated keys and rows without one: told apart by fingerprint and text.
-    code, place, least, root = (fresh(n, [*docs.columns, at]) for n in ("__print", "__place", "__least", "__root"))
+    code, place, least, root, code2 = (fresh(n, [*docs.columns, at]) for n in ("__print", "__place", "__least", "__root", "__print2"))
     marked = docs.join(rest, docs[quoted(key)].eqNullSafe(F.col(at)), "left_semi").withColumn(code, fingerprint(docs[quoted(text)], shingle))
-    marked = marked.join(roots.select(F.col("print").alias(f"{code}2"), F.col("component_id").alias(least), F.col("root").alias(root)), F.col(code) == F.col(f"{code}2"), "left")
+    marked = marked.join(roots.select(F.col("print").alias(code2), F.col("component_id").alias(least), F.col("root").alias(root)), F.col(code) == F.col(code2), "left")
     group = F.when(F.col(quoted(key)).isNull(), F.col(code)).otherwise(F.lit(0))
     order = Window.partitionBy(quoted(key), group).orderBy(code, F.xxhash64(quoted(text)))
     chosen = F.col(quoted(key)).eqNullSafe(F.col(least)) & (F.col(quoted(key)).isNotNull() | (F.col(code) == F.col(root)))

@@ -6,6 +6,7 @@ import random
 from itertools import combinations
 from zlib import crc32
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -54,6 +55,23 @@ def test_lines_like_sql(spark):
     assert compare(spark, connect(SF), "lines", run, lines.SQL, SF) == []
 
 
+def test_lines_of_repeated_keys_like_sql(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(rng.choice([1, 2, 3, None]), "\n".join(rng.choices(["a", "b", " c", "", "d"], k=rng.randrange(14)))) for _ in range(120)]
+    rows += [(7, "p\nq\nr"), (7, "p\nq\nr\ns"), (7, "o\np\nq\nr"), (7, "p\nq\nr")]
+    docs = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "doc_id long, text string, __key2 int, __hash2 string, __cut string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+
+    def run(spark, sf_dir):
+        read = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        assert lines.dedup_lines(read).columns == read.columns
+        return lines.dedup_lines(read, removed="n_removed").select("doc_id", "text", "n_removed")
+
+    assert compare(spark, con, "lines", run, lines.SQL, str(tmp_path)) == []
+
+
 def test_lines_by_hand(spark):
     rows = [
         (1, "a\nb\nc\nd"),
