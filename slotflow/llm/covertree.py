@@ -10,8 +10,10 @@ are farther apart than the threshold and both covering radii allow.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,9 @@ class Cells:
     """Sizes that bound what a task holds; they do not change the result."""
 
     cell: int = 1024  # distinct vectors for each pivot
-    pivots: int = 2048  # most pivots, all labels together
+    pivots: int = 32_768  # most pivots, all labels together: what the driver sends
     chunk: int = 2048  # vectors of a cell that share one tree
-    visitors: int = 32_768  # vectors of a label for each copy of its trees
+    visitors: int = 32_768  # guests of a tree for each copy of it
 
 
 class CoverTree:
@@ -42,60 +44,74 @@ class CoverTree:
     LEAST = 1 / 1024
 
     def __init__(self, x: np.ndarray, members: np.ndarray | None = None, centre: int = 0, reach: float = 2.0, gap: np.ndarray | None = None) -> None:
+        """``gap``: distances of the members from the centre; only such are ever measured."""
         self.x = x
         self.members = np.arange(len(x)) if members is None else members
         self.centre = centre
         if gap is None:
-            gap = _distances(x, x)
-        self.radius = float(gap[centre, self.members].max())
+            gap = _distances(x[[centre]], x[self.members])[0]
+        self.radius = float(gap.max())
         self.children: list[CoverTree] = []
         while len(self.members) > self.LEAF and reach > self.LEAST and not self.children:
             reach /= 2
             nets = self._net(gap, reach)
-            if len(nets) > 1 or reach <= self.LEAST:
-                self.children = [CoverTree(x, own, c, reach, gap) for c, own in nets] if len(nets) > 1 else []
+            if len(nets) > 1:
+                self.children = [CoverTree(x, own, c, reach, near) for c, own, near in nets]
 
-    def _net(self, gap: np.ndarray, reach: float) -> list[tuple[int, np.ndarray]]:
-        """Centres over ``reach`` apart, the node's own first, and the members that each covers."""
+    def _net(self, gap: np.ndarray, reach: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Centres over ``reach`` apart, the node's own first, with the members that each covers and their distances."""
         left, out, centre = self.members, [], self.centre
-        while len(left):
-            near = gap[centre, left] <= reach
-            out.append((centre, left[near]))
+        while True:
+            near = gap <= reach
+            out.append((centre, left[near], gap[near]))
             left = left[~near]
-            if len(left):
-                centre = int(left[0])
-        return out
+            if not len(left):
+                return out
+            centre = int(left[0])
+            gap = _distances(self.x[[centre]], self.x[left])[0]
 
     def parts(self) -> list[CoverTree]:
         return self.children or [self]
 
 
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a @ b.T
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2 - 2 * (a @ b.T)))
+    return np.sqrt(np.maximum(0.0, 2 - 2 * _cosines(a, b)))
 
 
 def near_pairs(a: CoverTree, b: CoverTree, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """All index pairs with a cosine of at least ``least``, from a dual traversal."""
-    within, todo, found = math.sqrt(max(0.0, 2 - 2 * least)), [(a, b)], []
+    """All index pairs with a cosine of at least ``least``, from a dual traversal; of a tree with itself each pair i < j once."""
+    within, todo, found, same = math.sqrt(max(0.0, 2 - 2 * least)), [(a, b)], [], a is b
     while todo:
         p, q = todo.pop()
         if not p.children and not q.children:
-            i, j = np.nonzero(p.x[p.members] @ q.x[q.members].T >= least)
+            i, j = np.nonzero(_cosines(p.x[p.members], q.x[q.members]) >= least)
             found.append((p.members[i], q.members[j]))
             continue
         left, right = p.parts(), q.parts()
         ci, cj = np.array([n.centre for n in left]), np.array([n.centre for n in right])
-        cosine = p.x[ci] @ q.x[cj].T
+        cosine = _cosines(p.x[ci], q.x[cj])
         ri, rj = np.array([n.radius for n in left]), np.array([n.radius for n in right])
         close = np.sqrt(np.maximum(0.0, 2 - 2 * cosine)) <= within + ri[:, None] + rj[None, :] + _TINY
         si, sj = np.array([len(n.members) == 1 for n in left]), np.array([len(n.members) == 1 for n in right])
         single = si[:, None] & sj[None, :]
+        if same and p is q:  # each pair of its children once
+            close = np.triu(close)
+            single = np.triu(single)
         i, j = np.nonzero(single & (cosine >= least))
         found.append((ci[i], cj[j]))
         todo += [(left[i], right[j]) for i, j in zip(*np.nonzero(close & ~single))]
     if not found:
         return np.array([], dtype=int), np.array([], dtype=int)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    if not same:
+        return i, j
+    low, high = np.minimum(i, j), np.maximum(i, j)
+    once = np.unique(np.column_stack([low, high])[low < high], axis=0)
+    return once[:, 0], once[:, 1]
 
 
 def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98, cells: Cells = Cells()) -> DataFrame:
@@ -110,12 +126,13 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     rows = cut_lineage(_units(only(vectors, id=key, v=vector, label=label)))
     part = rows.where("u is not null")
     nodes = part.groupBy("g", "d1", "d2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("size"), F.min("u").alias("u"))
-    nodes = cut_lineage(nodes)
+    # A number of its own for each direction: rows with equal keys may have several.
+    nodes = cut_lineage(nodes.withColumn("uid", F.monotonically_increasing_id()))
     found = cut_lineage(_linked(nodes, least, cells))
-    counted = found.where("other is null").groupBy("g", "node").agg(F.sum("links").alias("links"))
+    counted = found.where("other is null").groupBy("uid").agg(F.sum("links").alias("links"))
     roots = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     judged = (
-        nodes.join(counted, ["g", "node"], "left")
+        nodes.join(counted, "uid", "left")
         .join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
         .select("g", "d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     )
@@ -146,31 +163,41 @@ def _units(rows: DataFrame) -> DataFrame:
 
 
 def _linked(nodes: DataFrame, least: float, cells: Cells) -> DataFrame:
-    """(g, node, links, other): counts of linked vectors (other NULL), and links that connect what is near."""
+    """(uid, node, links, other): counts of linked vectors (other NULL), and links that connect what is near."""
     within = math.sqrt(max(0.0, 2 - 2 * least))
     total = nodes.count()
     sample = nodes.orderBy(F.xxhash64("node", "d1"), "node").limit(min(cells.pivots, math.ceil(total / cells.cell))).select("g", "u").collect()
-    pivots: dict[str, list] = {}
-    for row in sample:
-        own, u = pivots.setdefault(row.g, []), np.array(row.u)
-        if not own or _distances(u[None], np.array(own)).min() > 2 * within:
-            own.append(u)
-    nets = {g: np.array(own) for g, own in pivots.items()}
-    placed = cut_lineage(nodes.select("g", "node", "size", "u").mapInArrow(_homes(nets), "g string, node long, size long, u array<double>, cell int, away double"))
+    nets = {g: _apart(np.array([row.u for row in rows]), 2 * within) for g, rows in groupby(sorted(sample, key=lambda r: r.g), key=lambda r: r.g)}
+    shape = "g string, uid long, node long, size long, u array<double>"
+    placed = cut_lineage(nodes.select("g", "uid", "node", "size", "u").mapInArrow(_homes(nets), f"{shape}, cell int, away double"))
     sizes = placed.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"))
-    groups = sizes.groupBy("g").agg(F.sum("n").alias("rows"))
     # Only cells of pivots are known to the driver: at most cells.pivots.
     known = sizes.where(F.col("g").isin(*nets) if nets else F.lit(False)).collect()
     chunks = {(r.g, r.cell): math.ceil(r.n / cells.chunk) for r in known}
     radii = {(r.g, r.cell): r.radius for r in known}
     routed = placed.join(sizes.select("g", "cell", F.ceil(F.col("n") / cells.chunk).cast("int").alias("parts")), ["g", "cell"])
-    routed = routed.join(groups.select("g", F.ceil(F.col("rows") / cells.visitors).cast("int").alias("salts")), "g")
-    routed = routed.select("g", "node", "size", "u", "cell", "parts", "salts")
-    kinds = "g string, cell int, part int, salt int, guest boolean, node long, size long, u array<double>"
-    sent = routed.mapInArrow(_visits(nets, chunks, radii, within), kinds)
+    routed = cut_lineage(routed.select("g", "uid", "node", "size", "u", "cell", "parts"))
+    # Guests of each tree first: only trees with many of them are copied.
+    counted = routed.mapInArrow(_guests(nets, chunks, radii, within), "g string, cell int, part int, n long")
+    crowded = counted.groupBy("g", "cell", "part").agg(F.sum("n").alias("n")).where(F.col("n") > cells.visitors).collect()
+    copies = {(r.g, r.cell, r.part): math.ceil(r.n / cells.visitors) for r in crowded}
+    kinds = "g string, cell int, part int, salt int, guest boolean, uid long, node long, size long, u array<double>"
+    sent = routed.mapInArrow(_visits(nets, chunks, radii, within, copies), kinds)
     by = ["g", "cell", "part", "salt"]
-    met = sent.repartition(*by).sortWithinPartitions(*by, "guest", "node")
-    return met.mapInArrow(_meet(least), "g string, node long, links long, other long")
+    met = sent.repartition(*by).sortWithinPartitions(*by, "guest", "uid")
+    return met.mapInArrow(_meet(least), "uid long, node long, links long, other long")
+
+
+def _apart(x: np.ndarray, least: float) -> np.ndarray:
+    """The vectors that lie farther than ``least`` from all of them before."""
+    held = [0]
+    out = np.empty_like(x)
+    out[0] = x[0]
+    for i in range(1, len(x)):
+        if _distances(x[i : i + 1], out[: len(held)]).min() > least:
+            out[len(held)] = x[i]
+            held.append(i)
+    return out[: len(held)]
 
 
 def _matrix(column: pa.Array) -> list[np.ndarray]:
@@ -192,27 +219,52 @@ def _homes(nets: dict[str, np.ndarray]):
     return nearest
 
 
-def _visits(nets, chunks, radii, within: float):
-    """Every vector at home, once for each salt, and as a guest of chunks and cells before its own."""
+def _routes(batch: pa.RecordBatch, nets, chunks, radii, within: float) -> Iterator[tuple[int, str, int, int, bool]]:
+    """(row, g, cell, part, guest): every vector once at home, and as a guest of chunks and cells before its own."""
+    columns = {c: batch.column(c).to_pylist() for c in ("g", "uid", "cell", "parts")}
+    u = _matrix(batch.column("u"))
+    for i, (g, uid, cell, parts) in enumerate(zip(*columns.values())):
+        own = _spread(uid) % parts
+        yield i, g, cell, own, False
+        for k in range(own):
+            yield i, g, cell, k, True
+        net = nets.get(g)
+        if net is None or cell == 0:
+            continue
+        dots = net @ u[i]
+        planes = (dots[cell] - dots[:cell]) <= within * _distances(net[cell : cell + 1], net[:cell])[0] + _TINY
+        for other in np.flatnonzero(planes).tolist():
+            if (g, other) in radii and math.sqrt(max(0.0, 2 - 2 * dots[other])) <= within + radii[g, other] + _TINY:
+                for k in range(chunks[g, other]):
+                    yield i, g, other, k, True
+
+
+def _spread(uid: int) -> int:
+    return ((uid * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> 20
+
+
+def _guests(nets, chunks, radii, within: float):
+    """How many guests come to each tree."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = Counter((g, cell, part) for _, g, cell, part, guest in _routes(batch, nets, chunks, radii, within) if guest)
+            g, cell, part = zip(*n) if n else ((), (), ())
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((g, cell, part, list(n.values())), kinds)], ["g", "cell", "part", "n"])
+
+    return count
+
+
+def _visits(nets, chunks, radii, within: float, copies: dict[tuple[str, int, int], int]):
+    """Every vector at home, in each copy of its tree, and as a guest of one copy of each tree it visits."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = batch.to_pydict()
-            u = _matrix(batch.column("u"))
-            out: list[tuple] = []
-            for i, (g, node, cell, parts, salts) in enumerate(zip(*(columns[c] for c in ("g", "node", "cell", "parts", "salts")))):
-                mixed = (node * 0x9E3779B97F4A7C15) & (2**64 - 1)
-                own, salt = (mixed >> 33) % parts, (mixed >> 7) % salts
-                out += [(i, cell, own, s, False) for s in range(salts)]
-                out += [(i, cell, k, salt, True) for k in range(own)]
-                net = nets.get(g)
-                if net is None or cell == 0:
-                    continue
-                dots = net @ u[i]
-                planes = (dots[cell] - dots[:cell]) <= within * _distances(net[cell : cell + 1], net[:cell])[0] + _TINY
-                for other in np.flatnonzero(planes).tolist():
-                    if math.sqrt(max(0.0, 2 - 2 * dots[other])) <= within + radii[g, other] + _TINY:
-                        out += [(i, other, k, salt, True) for k in range(chunks[g, other])]
+            uids, out = batch.column("uid").to_pylist(), []
+            for i, g, cell, part, guest in _routes(batch, nets, chunks, radii, within):
+                salts = copies.get((g, cell, part), 1)
+                out += [(i, cell, part, _spread(uids[i] + 1) % salts, True)] if guest else [(i, cell, part, salt, False) for salt in range(salts)]
                 if len(out) > 20_000:
                     yield _routed(batch, out)
                     out = []
@@ -225,19 +277,21 @@ def _visits(nets, chunks, radii, within: float):
 def _routed(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
     at, cell, part, salt, guest = zip(*out)
     picked = batch.take(pa.array(at, pa.int32()))
-    arrays = [picked.column("g"), pa.array(cell, pa.int32()), pa.array(part, pa.int32()), pa.array(salt, pa.int32()), pa.array(guest, pa.bool_()), *(picked.column(c) for c in ("node", "size", "u"))]
-    return pa.RecordBatch.from_arrays(arrays, ["g", "cell", "part", "salt", "guest", "node", "size", "u"])
+    names = ["uid", "node", "size", "u"]
+    arrays = [picked.column("g"), pa.array(cell, pa.int32()), pa.array(part, pa.int32()), pa.array(salt, pa.int32()), pa.array(guest, pa.bool_()), *(picked.column(c) for c in names)]
+    return pa.RecordBatch.from_arrays(arrays, ["g", "cell", "part", "salt", "guest", *names])
 
 
 def _meet(least: float):
     """Walks sorted partitions: the home vectors of a key become a tree, its guests pass by in batches."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, home, tree = None, [], None  # home: (nodes, sizes, vectors) pieces until the tree is built
+        key, home, tree = None, [], None  # home: (numbers, nodes, sizes, vectors) pieces until the tree is built
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("g", "cell", "part", "salt"))))
             guest = batch.column("guest").to_numpy(zero_copy_only=False)
-            node, size, u = batch.column("node").to_numpy(), batch.column("size").to_numpy(), _matrix(batch.column("u"))
+            uid, node, size = (batch.column(c).to_numpy() for c in ("uid", "node", "size"))
+            u = _matrix(batch.column("u"))
             at = 0
             while at < len(keys):
                 end = at + 1
@@ -247,14 +301,14 @@ def _meet(least: float):
                     if home and tree is None:
                         yield from _at_home(key, _settled(home), least)
                     key, home, tree = keys[at], [], None
-                rows = (node[at:end], size[at:end], np.array(u[at:end]))
+                rows = (uid[at:end], node[at:end], size[at:end], np.array(u[at:end]))
                 if not guest[at]:
                     home.append(rows)
                 elif home:
                     if tree is None:
                         tree = _settled(home)
                         yield from _at_home(key, tree, least)
-                    yield from _links(key[0], tree, (rows[0], rows[1], CoverTree(rows[2])), least, False)
+                    yield from _links(tree, (*rows[:3], CoverTree(rows[3])), least)
                 at = end
         if home and tree is None:
             yield from _at_home(key, _settled(home), least)
@@ -263,29 +317,26 @@ def _meet(least: float):
 
 
 def _settled(home):
-    return np.concatenate([h[0] for h in home]), np.concatenate([h[1] for h in home]), CoverTree(np.concatenate([h[2] for h in home]))
+    return *(np.concatenate([h[i] for h in home]) for i in range(3)), CoverTree(np.concatenate([h[3] for h in home]))
 
 
 def _at_home(key, tree, least: float) -> Iterator[pa.RecordBatch]:
     if key[3] == 0:  # one copy of the tree is enough
-        yield from _links(key[0], tree, tree, least, True)
+        yield from _links(tree, tree, least)
 
 
-def _links(g: str, a, b, least: float, same: bool) -> Iterator[pa.RecordBatch]:
-    i, j = near_pairs(a[2], b[2], least)
-    if same:
-        i, j = i[i < j], j[i < j]
+def _links(a, b, least: float) -> Iterator[pa.RecordBatch]:
+    i, j = near_pairs(a[3], b[3], least)
     if not len(i):
         return
-    shift = 0 if same else len(a[0])
-    nodes = a[0] if same else np.concatenate([a[0], b[0]])
-    sizes = a[1] if same else np.concatenate([a[1], b[1]])
-    j = j + shift
+    if a is not b:
+        a, j = tuple(np.concatenate([a[k], b[k]]) for k in range(3)), j + len(a[0])
+    uids, nodes, sizes = a[:3]
     count = np.bincount(i, weights=sizes[j], minlength=len(nodes)) + np.bincount(j, weights=sizes[i], minlength=len(nodes))
     root = _roots(len(nodes), i, j)
     at, child = np.flatnonzero(count), np.flatnonzero(root != np.arange(len(nodes)))
-    yield _found(g, nodes[at], np.rint(count[at]).astype(np.int64), None)
-    yield _found(g, nodes[child], np.zeros(len(child), dtype=np.int64), nodes[root[child]])
+    yield _found(uids[at], nodes[at], np.rint(count[at]).astype(np.int64), None)
+    yield _found(uids[child], nodes[child], np.zeros(len(child), dtype=np.int64), nodes[root[child]])
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -299,6 +350,6 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-def _found(g: str, nodes, links, other) -> pa.RecordBatch:
+def _found(uids, nodes, links, other) -> pa.RecordBatch:
     end = pa.nulls(len(nodes), pa.int64()) if other is None else pa.array(other, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([g] * len(nodes), pa.string()), pa.array(nodes, pa.int64()), pa.array(links, pa.int64()), end], ["g", "node", "links", "other"])
+    return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(links, pa.int64()), end], ["uid", "node", "links", "other"])

@@ -74,6 +74,37 @@ def test_given_embeddings(spark):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute(rows)
 
 
+def brute_rows(rows, least=0.98):
+    """Row by row, for keys that repeat: counts per row, components over keys."""
+    unit = [None if v is None or not any(v) else np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if unit[i] is not None and unit[j] is not None and rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= least]
+    top = roots({r[0] for r in rows}, [(rows[i][0], rows[j][0]) for i, j in near if rows[i][0] != rows[j][0]])
+    count = np.bincount([k for pair in near for k in pair], minlength=len(rows))
+    return sorted((r[0], int(n), top[r[0]]) for r, n in zip(rows, count))
+
+
+def test_repeated_keys_with_other_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 1), (1, [0.0, 1.0, 0.0], 1), (2, [1.0, 0.01, 0.0], 1), (3, [0.01, 1.0, 0.0], 1), (4, [0.0, 0.0, 1.0], 1), (4, [0.0, 0.0, 1.0], 1)]
+    rng = np.random.default_rng(3)
+    rows += [(int(rng.integers(10, 40)), (np.eye(3)[rng.integers(3)] + 0.1 * rng.normal(size=3)).tolist(), 1) for _ in range(150)]
+    got = covertree.near_duplicates(spark.createDataFrame(rows, SCHEMA.replace("float", "double")), cells=covertree.Cells(cell=20, chunk=16, visitors=30)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute_rows(rows)
+
+
+def test_trees_measure_less_than_half_of_all_pairs(monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(40, size=1500)] + 0.15 * rng.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    measured, plain = [], covertree._cosines
+    monkeypatch.setattr(covertree, "_cosines", lambda a, b: (measured.append(len(a) * len(b)), plain(a, b))[1])
+    tree = covertree.CoverTree(x)
+    i, j = covertree.near_pairs(tree, tree, 0.98)
+    want = np.triu(x @ x.T >= 0.98, 1)
+    assert len(i) == want.sum() > 500 and want[i, j].all()
+    assert sum(measured) < len(x) * (len(x) - 1) / 4
+
+
 def test_rows_without_key_and_none_at_all(spark):
     frame = spark.createDataFrame([(None, [1.0, 0.0], 1), (3, [1.0, 0.0], 1)], SCHEMA)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in covertree.near_duplicates(frame).collect()}
