@@ -151,9 +151,12 @@ WITH marks AS (
   hosts AS (
     SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS x, regexp_replace(host, ':[0-9]*$', '') AS name FROM named GROUP BY host),
   placed AS (
-    SELECT *, CASE WHEN NOT contains(name, '.') OR regexp_full_match(name, '[0-9.]*') THEN '' ELSE string_split(name, '.')[-1] END AS suffix FROM hosts),
+    SELECT *, CASE WHEN NOT contains(name, '.') OR regexp_full_match(name, '[0-9.]*') THEN ''
+                   WHEN regexp_matches(array_to_string(string_split(name, '.')[-2:], '.'), '{urls._two_parts(urls.Reputation())}')
+                   THEN array_to_string(string_split(name, '.')[-2:], '.') ELSE string_split(name, '.')[-1] END AS suffix FROM hosts),
   sited AS (
-    SELECT *, CASE WHEN suffix = '' THEN name ELSE array_to_string(string_split(name, '.')[-2:], '.') END AS domain FROM placed),
+    SELECT *, CASE WHEN suffix = '' THEN name WHEN contains(suffix, '.') THEN array_to_string(string_split(name, '.')[-3:], '.')
+                   ELSE array_to_string(string_split(name, '.')[-2:], '.') END AS domain FROM placed),
   suffixes AS (
     SELECT suffix, sum(n) AS n, sum(x) AS x, (SELECT coalesce(sum(x) / nullif(CAST(sum(n) AS DOUBLE), 0), 0) FROM sited) AS mean FROM sited GROUP BY suffix),
 {_SHRUNK.format(name="suffixes")},

@@ -44,7 +44,8 @@ class Reputation:
     deviations: float = 1.6448536269514722  # 95 % one-sided
     least_spread: float = 1 / 1001  # prior strength at most 1,000 pages
     most_spread: float = 0.5  # and at least one
-    two_part_suffixes: tuple[str, ...] = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz")
+    #: Labels under which a country's registry gives out names: with a country code they are a suffix of two parts.
+    registries: tuple[str, ...] = tuple("ac co com edu go gob gov govt gv id info ltd mil ne net nhs nom or org plc res sch web".split())
 
 
 def host_of(url: Column) -> Column:
@@ -133,10 +134,14 @@ def _shrunk(groups: DataFrame, how: Reputation) -> DataFrame:
 
 
 def suffix_of(host: Column, how: Reputation = Reputation()) -> Column:
-    """The last label, or the last two where they are a known suffix; a host of one label or an IPv4 address has none."""
+    """The last label, or the last two where a registry's stands before a country code; a host of one label or an IPv4 address has none."""
     name = F.regexp_replace(host, ":[0-9]*$", "")
     last, two = F.substring_index(name, ".", -1), F.substring_index(name, ".", -2)
-    return F.when((F.instr(name, ".") == 0) | name.rlike("^[0-9.]*$"), "").when(two.isin(*how.two_part_suffixes), two).otherwise(last)
+    return F.when((F.instr(name, ".") == 0) | name.rlike("^[0-9.]*$"), "").when(two.rlike(_two_parts(how)), two).otherwise(last)
+
+
+def _two_parts(how: Reputation) -> str:
+    return f"^({'|'.join(how.registries)})[.][a-z][a-z]$"
 
 
 def domain_of(host: Column, suffix: Column) -> Column:

@@ -6,6 +6,7 @@ import math
 from collections import Counter
 from itertools import product
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -25,6 +26,19 @@ def test_url_filter_like_sql(spark):
     assert compare(spark, connect(SF), "op2", queries.op2_url_filter, queries.SQL["op2_url_filter"], SF) == []
 
 
+def test_two_part_suffixes_like_sql(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    hosts = ["a.b.co.uk", "c.b.co.uk", "d.org.uk", "co.uk", "x.com.au", "y.x.com.au", "e.com", "f.e.com", "g.gov.in", "10.1.2.3", "local", "h.co.it:8080", "i.github.io"]
+    pages = [(i, f"http://{hosts[rng.integers(len(hosts))]}/p/{i}" + ("/x" if i % 3 else "/"), i) for i in range(400)] + [(900, None, 0), (901, "http://a.b.co.uk/none", 0)]
+    labels = [(i, int(rng.random() < 0.5), int(rng.random() < 0.2)) for i in range(0, 400, 2)] + [(4, 0, 1), (None, 0, 1), (5, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, number long").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert compare(spark, con, "op2", queries.op2_url_filter, queries.SQL["op2_url_filter"], str(tmp_path)) == []
+
+
 def test_urls_by_hand(spark):
     rows = [
         ("http://A.Example.COM/en/1?x#y", "a.example.com", "/en/1", "example.com/en/", "block"),
