@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from itertools import product
@@ -155,6 +156,66 @@ def test_held_out_toxicity(spark):
     assert sum(clean) / len(clean) < 0.01
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+    return row[-1]
+
+
+def brute_score(text, model):
+    """Every word against every term, every quotation by scanning on, every window counted anew."""
+    low, closing = text.lower(), {'"': '"', "“": "”", "«": "»", "„": "“”"}
+    words = [(m.group(), m.start()) for m in re.finditer(r"[^\W_]+", low)]
+    hits = {}
+    for i, (word, _) in enumerate(words):
+        near = sorted((edit_distance(word, t), t) for t in model.terms if edit_distance(word, t) <= (0 if len(t) < 5 else 1 if len(t) < 10 else 2))
+        if near and word not in model.spared:
+            hits[i] = near[0]
+    inside, at = set(), 0
+    while at < len(low):
+        line = low[at:].split("\n")[0]
+        ends = [line.index(c, 1) for c in closing.get(low[at], "") if c in line[1:]]
+        if ends:
+            inside.update(range(at, at + min(ends) + 1))
+            at += min(ends)
+        at += 1
+    outright = fuzzy = quoted = best = 0.0
+    n_quoted = 0
+    for i, (edits, term) in hits.items():
+        weight, reach = model.terms[term], model.window
+        told = any(abs(j - i) <= reach and w in toxicity._REPORTING for j, (w, _) in enumerate(words))
+        before, after = [j for j in hits if j < i], [j for j in hits if j > i]
+        near = (bool(before) and i - before[-1] <= reach) + (bool(after) and after[0] - i <= reach)
+        if words[i][1] in inside or told:
+            quoted, n_quoted = quoted + weight, n_quoted + 1
+        elif edits:
+            fuzzy += weight / (1 + edits)
+        else:
+            outright += weight
+            best = max(best, weight * (1 + near / 4))
+    values = [math.log(1 + x) for x in (outright, fuzzy, quoted, best, 100 * len(hits) / max(1, len(words)))]
+    z = model.coefficients[0] + sum(c * v for c, v in zip(model.coefficients[1:], values))
+    score = 1 / (1 + math.exp(-max(-30, min(30, z))))
+    return score, int(score >= model.threshold), len(hits), n_quoted
+
+
+def test_score_by_brute_force(spark):
+    rng = random.Random(21)
+    terms = {"vile": 3.0, "rotten": 2.5, "scoundrel": 4.0, "wretchedness": 1.5}
+    model = toxicity.ToxicityModel(terms, frozenset({"gotten"}), (-3.0, 1.5, 0.8, -0.7, 0.9, 0.4))
+    pool = ["the", "boat", "Vile", "rotten", "rottn", "gotten", "scoundrl", "scoundrels", "wretchednss", "retchedness", "said", "wort", '"', "“", "”", "«", "»", "„", "\n", "été", "x_y", "7"]
+    texts = [" ".join(rng.choices(pool, k=rng.randrange(60))) for _ in range(300)] + [None, "", '"vile', "vile" * 400, 'he said "vile" and left']
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = frame.select("text", toxicity.score(F.col("text"), model).alias("r")).collect()
+    for row in got:
+        want = brute_score(row.text or "", model)
+        assert abs(row.r.score - want[0]) < 1e-9 and tuple(row.r)[1:] == want[1:], row.text
+    assert len({r.r.predicted for r in got}) == 2
+
+
 def test_quotation_and_spelling_weigh_less():
     model = toxicity.ToxicityModel({"scoundrel": 5.0}, frozenset({"scoundrels"}), (-3.0, 2.0, 1.0, 0.2, 1.0, 0.1))
     scorer = toxicity.ToxicityScorer(model)
