@@ -262,6 +262,10 @@ def best_time_to_operate(
 # ---- hourly consolidation -----------------------------------------------------------
 
 
+# The names of the metrics, in the order of their answer.
+CONSOLIDATION_METRICS = ["total_departures", "max_in_any_hour", "share_top_2h_block_%", "share_top_3h_block_%"]
+
+
 def consolidation(df: DataFrame, time_col: str = "sched_dep", by: Sequence[str] = ()) -> DataFrame:
     """(by, metric, value): total, fullest hour, share of the fullest 2 h and 3 h blocks.
 
@@ -277,12 +281,7 @@ def consolidation(df: DataFrame, time_col: str = "sched_dep", by: Sequence[str]
     rolled = hours.withColumns({"__two": block(2), "__three": block(3)})
     total = F.sum("movements")
     share = lambda c: scoring.present(F.max(c) * 100.0 / F.nullif(total, F.lit(0)), 1)
-    wide = rolled.groupBy(*by).agg(
-        total.cast("double").alias("total_departures"),
-        F.max("movements").cast("double").alias("max_in_any_hour"),
-        share("__two").alias("share_top_2h_block_%"),
-        share("__three").alias("share_top_3h_block_%"),
-    )
-    wide = wide.filter(F.col("total_departures").isNotNull())
-    values = ["total_departures", "max_in_any_hour", "share_top_2h_block_%", "share_top_3h_block_%"]
-    return wide.unpivot([F.col(c) for c in by], values, "metric", "value")
+    values = [total.cast("double"), F.max("movements").cast("double"), share("__two"), share("__three")]
+    wide = rolled.groupBy(*by).agg(*[v.alias(name) for v, name in zip(values, CONSOLIDATION_METRICS)])
+    wide = wide.filter(F.col(CONSOLIDATION_METRICS[0]).isNotNull())
+    return wide.unpivot([F.col(c) for c in by], CONSOLIDATION_METRICS, "metric", "value")

@@ -20,7 +20,7 @@ from slotflow.functions.times import slot_start
 from slotflow.operators.delays import too_few
 from slotflow.operators.influence import propagate
 from slotflow.operators.scope import scope_conditions, with_group_stats
-from slotflow.operators.slots import add_load_index, best_time_to_operate, consolidation, dense_slots, slot_counts, top_slots
+from slotflow.operators.slots import CONSOLIDATION_METRICS, add_load_index, best_time_to_operate, consolidation, dense_slots, slot_counts, top_slots
 from slotflow.operators.tuner import assign_moves, plan_moves
 from slotflow.plans.routing import AIRPORT_CODES, classify, distinct_requests
 from slotflow.session import cut_lineage
@@ -47,7 +47,6 @@ FIELDS = {
     "overloaded_windows": "bigint",
 }
 _AT, _ALL = "__at", ""  # the airport of a view, and the view of requests without one
-SHARES = ["total_departures", "max_in_any_hour", "share_top_2h_block_%", "share_top_3h_block_%"]
 
 
 @dataclass(frozen=True)
@@ -148,7 +147,7 @@ def _capacity(views: _Views, asked: DataFrame, s: AnswerSettings) -> DataFrame:
 
 
 def _consolidation(views: _Views, asked: DataFrame, s: AnswerSettings) -> DataFrame:
-    return consolidation(views("view"), by=[_AT]).withColumn("place", F.array_position(F.array(*map(F.lit, SHARES)), F.col("metric")))
+    return consolidation(views("view"), by=[_AT]).withColumn("place", F.array_position(F.array(*map(F.lit, CONSOLIDATION_METRICS)), F.col("metric")))
 
 
 def _tuner(views: _Views, asked: DataFrame, s: AnswerSettings) -> DataFrame:

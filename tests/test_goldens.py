@@ -289,7 +289,7 @@ def test_answers(spark):
     assert [(r.answer.peak_rli, r.answer.overloaded_windows) for r in found["capacity", None, 1]] == [(4.5, 3)]
     assert [(r.place, r.answer.shift_min) for r in found["tuner", None, 2]] == [(1, 5)]
     assert [r.answer for r in found["tuner", None, 10]] == [None]
-    assert [r.answer.metric for r in found["consolidation", "DEL", None]] == answers.SHARES
+    assert [r.answer.metric for r in found["consolidation", "DEL", None]] == slots.CONSOLIDATION_METRICS
     # arrivals of DEL: no movement has it as its destination
     assert [r.place for r in found["best_arrival", "DEL", None]] == [None]
     assert len(found["cascade", None, 12]) == 5
