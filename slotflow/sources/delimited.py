@@ -128,27 +128,26 @@ def _after(before: Column) -> Column:
 
 
 def _split_table(lines: DataFrame) -> DataFrame:
-    """One row per split: the state it starts with, and the record that its first lines may continue.
+    """One row per split: the state it starts with, whether a record of it goes on in a line, and what its first lines continue.
 
     A file whose last quote is never closed has no quoted line breaks: all its states are 0.
     """
     started = lambda h: F.max(F.when(_state(F.lit(h)) == 0, F.col("__nth")))
     last = lambda c: F.max_by(c, F.col("__nth"))
-    splits = lines.groupBy("file", "file_part").agg(
-        last(_after(_state(F.lit(0)))).alias("end0"), last(_after(_state(F.lit(1)))).alias("end1"), started(0).alias("start0"), started(1).alias("start1")
-    )
+    ways = {f"{name}{h}": f(h) for h in (0, 1) for name, f in (("end", lambda h: last(_after(_state(F.lit(h))))), ("start", started), ("breaks", lambda h: F.max(_after(_state(F.lit(h))))))}
+    splits = lines.groupBy("file", "file_part").agg(*[c.alias(n) for n, c in ways.items()])
     maps = splits.withColumns(
         {"fixed": F.when(F.col("end0") == F.col("end1"), F.col("end0")), "flip": F.when(F.col("end0") > F.col("end1"), 1).otherwise(0)}
     )
     told = _states(maps, ["file"], ["file_part"]).withColumn("before", _state(F.lit(0)))
-    start = F.when(F.col("before") == 0, F.col("start0")).otherwise(F.col("start1"))
+    start, breaks = (F.when(F.col("before") == 0, F.col(f"{n}0")).otherwise(F.col(f"{n}1")) for n in ("start", "breaks"))
     whole = Window.partitionBy("file")  # splits of a file
     earlier = whole.orderBy("file_part").rowsBetween(Window.unboundedPreceding, -1)
     end = F.max_by(_after(F.col("before")), F.col("file_part")).over(whole)
     return (
         told.withColumns({"open": end == 1, "__start": F.when(start.isNotNull(), F.struct("file_part", start.alias("nth")))})
         .withColumn("owner", F.last("__start", True).over(earlier))
-        .select(F.col("file").alias("s_file"), F.col("file_part").alias("s_part"), F.when(F.col("open"), 0).otherwise(F.col("before")).alias("before"), "open", "owner")
+        .select(F.col("file").alias("s_file"), F.col("file_part").alias("s_part"), F.when(F.col("open"), 0).otherwise(F.col("before")).alias("before"), (~F.col("open") & (breaks == 1)).alias("breaks"), "open", "owner")
     )
 
 
@@ -167,9 +166,8 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     ).select("file", "file_part", "__pos", "__nth", "line", "sep", "fixed", "flip")
     lines = _states(mapped, ["file", "file_part"], ["__pos"])
     splits = cut_lineage(_split_table(lines))
-    broken_lines = not splits.filter("before = 1").isEmpty() or not lines.filter(_after(_state(F.lit(0))) == 1).isEmpty()
     placed = lines.join(splits, (F.col("file") == F.col("s_file")) & (F.col("file_part") == F.col("s_part")))
-    if not broken_lines:
+    if splits.filter("breaks").isEmpty():  # every record is a line
         return placed.select("file", "file_part", F.col("__nth").alias("nth"), cells_of(F.col("line"), F.col("sep")).alias("cells"))
     before = F.when(F.col("open"), 0).otherwise(_state(F.col("before")))
     after = F.when(F.col("open"), 0).otherwise(_after(before))
