@@ -147,11 +147,11 @@ def links(nodes: DataFrame, bits: int, longest: int = LONGEST_POSTING) -> DataFr
     schema = "posting long, print long, a long, b long"
     linked = cut_lineage(spread.mapInArrow(_linker(bits, longest, True), schema))
     handed = linked.where(F.col("b").isNull()).select("posting", "print", F.col("a").alias("node"))
-    sizes = handed.groupBy("posting").agg(F.count(F.lit(1)).alias("size"))
-    sized = handed.join(sizes, "posting")
-    short = sized.where(F.col("size") <= longest).select("posting", "print", "node")
+    # One posting of more than ``longest`` rows at most for each so many rows: few, and no key of a join.
+    long_ones = F.broadcast(handed.groupBy("posting").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > longest).select("posting"))
+    short = handed.join(long_ones, "posting", "left_anti").select("posting", "print", "node")
     short = short.repartition("posting").sortWithinPartitions("posting", "print").mapInArrow(_linker(bits, longest, False), schema)
-    long = sized.where(F.col("size") > longest).select("print", "node").distinct()
+    long = handed.join(long_ones, "posting", "left_semi").select("print", "node").distinct()
     pairs = [linked.where(F.col("b").isNotNull()).select("a", "b"), short.select("a", "b")]
     return pairs[0].unionByName(pairs[1]).unionByName(_crowded(long, bits))
 
