@@ -120,6 +120,10 @@ def delay_propagation_first(spark, sf):
     return rounded(delays.delay_propagation_analysis(movements(spark, sf)), "initial_delay", "avg_delay_propagation")
 
 
+def delay_propagation_first_per_airport(spark, sf):
+    return rounded(delays.delay_propagation_analysis(movements(spark, sf), by=BY), "initial_delay", "avg_delay_propagation")
+
+
 def _propagation_sql(by, limit=""):
     part, col = ("PARTITION BY origin", "origin, ") if by else ("", "")
     return with_sql(f""",
@@ -340,6 +344,10 @@ LEFT JOIN mean ON mean.origin = m.origin AND mean.slot = {bucket("m.sched_dep +
     ),
     "delay_propagation": (delay_propagation, _propagation_sql(True)),
     "delay_propagation_all": (delay_propagation_all, _propagation_sql(False)),
+    "delay_propagation_first_per_airport": (
+        delay_propagation_first_per_airport,
+        _propagation_sql(True, "QUALIFY row_number() OVER (PARTITION BY origin ORDER BY sched_dep, row_id) <= 20"),
+    ),
     "delay_propagation_first": (delay_propagation_first, _propagation_sql(False, "ORDER BY sched_dep, row_id LIMIT 20")),
     "movement_uid": (
         movement_uid,
