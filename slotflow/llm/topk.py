@@ -177,27 +177,26 @@ def _vectors(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return _matrix(flat.to_pylist(), width)
 
 
-def _products(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Exact inner products row by row; ``far`` bounds their size."""
-    if len(far) and far.max() >= 2.0**62:  # rare: in Python's integers
-        out = [sum(x * y for x, y in zip(u, v)) for u, v in zip(a.tolist(), b.tolist())]
-        return np.array(out, dtype=object)
-    return np.concatenate([np.einsum("ij,ij->i", a[s : s + 65536], b[s : s + 65536]) for s in range(0, len(a), 65536)] or [np.array([], dtype=np.int64)])
+def _products(q: np.ndarray, i: np.ndarray, c: np.ndarray, j: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """Exact inner products of the rows ``i`` of q and ``j`` of c, a bounded number of them at once."""
+    return np.concatenate([np.einsum("ij,ij->i", q[i[s : s + step]], c[j[s : s + step]]) for s in range(0, len(i), step)] or [np.array([], dtype=np.int64)])
 
 
-def best(q_ids, q, floor, c_ids, c, turn, how: Search, chunk: int = 512) -> list[np.ndarray]:
+def best(q_ids, q, floor, c_ids, c, turn, how: Search) -> list[np.ndarray]:
     """The at most k best pairs of every query at or above its floor: (query ids, candidate ids, scores)."""
     qf, cf = q.astype(float), c.astype(float)
-    length = np.linalg.norm(cf, axis=1)
+    length, q_norm = np.linalg.norm(cf, axis=1), np.linalg.norm(qf, axis=1)
+    if q_norm.max() * length.max() >= 2.0**62:
+        return _best_of_large(q_ids, q, c_ids, c, how)
     order = np.lexsort((c_ids, -length))
     c_ids, c, cf, c_norm = c_ids[order], c[order], cf[order], length[order]
     h = min(how.leading, q.shape[1])
     qr, cr = qf @ turn, cf @ turn
-    q_norm = np.linalg.norm(qf, axis=1)
     q_rest, c_rest = np.linalg.norm(qr[:, h:], axis=1), np.linalg.norm(cr[:, h:], axis=1)
-    floors = [-(1 << 200) if f is None else int(f) for f in floor]
-    low = np.array([max(f, -(1 << 62)) for f in floors], dtype=float)  # for bounds, which have slack
-    top: list[list[tuple[int, int]]] = [[] for _ in q_ids]  # (-score, candidate id), ascending
+    low = np.array([-(1 << 62) if f is None else f for f in floor], dtype=np.int64)
+    chunk = max(128, (1 << 19) // len(q))  # bounds of so many pairs at once
+    empty = np.array([], dtype=np.int64)
+    top = [empty, empty, empty]  # query row, candidate id, score
     for at in range(0, len(c), chunk):
         limit = q_norm * c_norm[at]
         open_ = np.flatnonzero(limit + _slack(limit) >= low)  # lengths descend: others are done
@@ -209,24 +208,27 @@ def best(q_ids, q, floor, c_ids, c, turn, how: Search, chunk: int = 512) -> list
         i, j = open_[i], j + at
         other = q_ids[i] != c_ids[j]
         i, j = i[other], j[other]
-        score = _products(q[i], c[j], q_norm[i] * c_norm[j])
-        fit = np.flatnonzero(score.astype(float) + _slack(score.astype(float)) >= low[i])
-        order = fit[np.lexsort((c_ids[j[fit]], -score[fit].astype(float), i[fit]))]
-        rows = i[order]
-        cuts = np.flatnonzero(np.diff(rows, prepend=-1))
-        for a, b in zip(cuts, np.append(cuts[1:], len(rows))):
-            row = int(rows[a])
-            new = [(-int(s), int(k)) for s, k in zip(score[order[a:b]], c_ids[j[order[a:b]]]) if s >= floors[row]]
-            held = sorted(top[row] + new)[: how.k]
-            top[row] = held
-            if len(held) == how.k and -held[-1][0] > floors[row]:
-                floors[row] = -held[-1][0]
-                low[row] = float(floors[row])
-    found = [(q_ids[row], k, -s) for row, held in enumerate(top) for s, k in held]
+        score = _products(q, i, c, j)
+        fit = score >= low[i]
+        rows = [np.concatenate(x) for x in zip(top, (i[fit], c_ids[j[fit]], score[fit]))]
+        order = np.lexsort((rows[1], -rows[2], rows[0]))
+        rows = [x[order] for x in rows]
+        nth = np.arange(len(order)) - np.searchsorted(rows[0], rows[0])
+        top = [x[nth < how.k] for x in rows]
+        full = nth == how.k - 1
+        low[rows[0][full]] = np.maximum(low[rows[0][full]], rows[2][full])
+    return [q_ids[top[0]].astype(np.int64), top[1], top[2]]
+
+
+def _best_of_large(q_ids, q, c_ids, c, how: Search) -> list[np.ndarray]:
+    """The same where products may not fit into longs: in Python's integers, pair by pair."""
+    found = []
+    for key, u in zip(q_ids.tolist(), q.tolist()):
+        scored = sorted((-sum(x * y for x, y in zip(u, v)), k) for k, v in zip(c_ids.tolist(), c.tolist()) if k != key)[: how.k]
+        found += [(key, k, -s) for s, k in scored]
     if any(abs(s) >= 1 << 63 for *_, s in found):
         raise OverflowError("a best score does not fit into a long")
-    columns = list(zip(*found)) if found else [()] * 3
-    return [np.array(x, dtype=np.int64) for x in columns]
+    return [np.array(x, dtype=np.int64) for x in (zip(*found) if found else ([], [], []))]
 
 
 SQL = """
