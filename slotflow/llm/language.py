@@ -104,14 +104,19 @@ def fit(
     """Dictionaries from at most ``per_language`` documents of each language.
 
     The sample is the documents with the smallest key hashes among the learnable ones that
-    have a language and a letter, each cut to its first ``longest`` characters; of a key with
-    several texts the first in order counts. Only the sample reaches the driver.
+    have a language, a letter and at most ``longest`` characters. A language without any such
+    text is learned from longer ones, each cut to its first ``longest`` characters. Of a key
+    with several texts the first in order counts. Only the sample reaches the driver.
     Languages are a closed set of labels, so their dictionaries are too. No labelled text: a
     model that answers ``und``.
     """
     rows = only(docs, key=key, lang=lang, text=text).where(
         learnable(F.col("key")) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")
     )
+    sized = rows.withColumn("long", F.length("text") > longest)
+    # One row for each language.
+    shorter = F.broadcast(sized.groupBy("lang").agg(F.min("long").alias("least")))
+    rows = sized.join(shorter, "lang").where(F.col("long") == F.col("least"))
     keys = rows.select("lang", "key", F.xxhash64("key").alias("hash")).withColumn("salt", F.pmod("hash", F.lit(64)))
     # Few of each salt first: no task sees all candidates of a frequent language.
     for group in (["lang", "salt"], ["lang"]):
