@@ -40,7 +40,7 @@ BUCKET = 3  # keys of a bucket with one displacement, on average
 
 
 def _mixed(term: bytes, seed: int) -> int:
-    return xxhash.xxh3_128_intdigest(term, seed)
+    return xxhash.xxh3_64_intdigest(term, seed)
 
 
 def displaced(keys: list[bytes]) -> tuple[int, np.ndarray, list[int]]:
@@ -84,8 +84,9 @@ def displaced(keys: list[bytes]) -> tuple[int, np.ndarray, list[int]]:
 def _slot(h: int, move: int, n: int) -> int:
     if move < 0:
         return -1 - move
-    # The second half of the hash multiplies, and the upper bits of the product choose the slot.
-    return ((((h >> 64) + move * _STEP) * (h | 1) & _MASK) >> 32) % n
+    # The hash multiplies its own halves changed over, and the upper bits of the product choose the slot.
+    turned = (h >> 32) | (h << 32) & _MASK
+    return (((turned + move * _STEP) * (h | 1) & _MASK) >> 32) % n
 
 
 class Shards:
@@ -97,24 +98,39 @@ class Shards:
 
     def __init__(self, rows: list[tuple[bytes, int, int, int, np.ndarray, list[bytes]]]) -> None:
         """``rows``: language, its number of shards, shard, seed, displacements, keys in the order of slots."""
-        self.shards: dict[bytes, int] = {}
-        self.held: dict[bytes, dict[int, tuple]] = {}
+        self.held: dict[bytes, dict] = {}
         self.size: dict[bytes, int] = {}
         for lang, shards, shard, seed, moves, keys in sorted(rows, key=lambda r: r[:3]):
-            self.shards[lang] = shards
-            first = self.size.get(lang, 0)
-            self.held.setdefault(lang, {})[shard] = (first, seed, moves, keys)
-            self.size[lang] = first + len(keys)
-
-    def slot(self, lang: bytes, term: bytes) -> int:
-        """The slot of a kept term, -1 of any other."""
-        own = self.held.get(lang, {}).get(crc32(term) % self.shards.get(lang, 1))
-        if own is None:
-            return -1
-        first, seed, moves, keys = own
-        h = _mixed(term, seed)
-        at = _slot(h, int(moves[h % len(moves)]), len(keys))
-        return first + at if keys[at] == term else -1
+            # by shard: first slot, slots (0: not held here), first displacement, displacements, seed
+            own = self.held.setdefault(lang, {"shards": np.zeros((5, shards), dtype=np.int64), "moves": [], "keys": []})
+            own["shards"][:, shard] = len(own["keys"]), len(keys), sum(map(len, own["moves"])), len(moves), seed
+            own["moves"].append(moves)
+            own["keys"] += keys
+        for lang, own in self.held.items():
+            own["moves"], self.size[lang] = np.concatenate(own["moves"]), len(own["keys"])
+
+    def slots(self, lang: bytes, terms: list[bytes]) -> np.ndarray:
+        """The slot of each kept term, -1 of any other."""
+        own = self.held.get(lang)
+        out = np.full(len(terms), -1, dtype=np.int64)
+        if own is None or not terms:
+            return out
+        shard = np.fromiter(map(crc32, terms), dtype=np.int64, count=len(terms)) % own["shards"].shape[1]
+        first, n, base, buckets, seed = own["shards"][:, shard]
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, terms), dtype=np.uint64, count=len(terms))
+        for i in np.flatnonzero(seed):
+            h[i] = _mixed(terms[i], int(seed[i]))
+        some = np.flatnonzero(n)
+        first, n, h = first[some], n[some].astype(np.uint64), h[some]
+        move = own["moves"][base[some] + (h % buckets[some].astype(np.uint64)).astype(np.int64)]
+        half = np.uint64(32)
+        turned = (h >> half) | (h << half)
+        far = (((turned + move.astype(np.uint64) * np.uint64(_STEP)) * (h | np.uint64(1))) >> half) % n
+        at = first + np.where(move < 0, -1 - move, far.astype(np.int64))
+        keys = own["keys"]
+        same = np.fromiter((keys[s] == terms[i] for s, i in zip(at.tolist(), some.tolist())), dtype=bool, count=len(some))
+        out[some[same]] = at[same]
+        return out
 
 
 # --- passes over the documents -----------------------------------------------------------------
@@ -138,10 +154,10 @@ def _document_counts(rows: DataFrame) -> DataFrame:
         yield _counted(held)
 
     def _counted(held: dict[bytes, Counter]) -> pa.RecordBatch:
-        langs = [lang for lang, own in held.items() for _ in own]
+        langs = pa.concat_arrays([pa.array([], pa.binary()), *(pa.repeat(pa.scalar(lang, pa.binary()), len(own)) for lang, own in held.items())])
         terms = [t for own in held.values() for t in own]
         docs = [n for own in held.values() for n in own.values()]
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.binary()), pa.array(terms, pa.binary()), pa.array(docs, pa.int64())], ["lang", "term", "docs"])
+        return pa.RecordBatch.from_arrays([langs, pa.array(terms, pa.binary()), pa.array(docs, pa.int64())], ["lang", "term", "docs"])
 
     found = rows.select("lang", "text").mapInArrow(count, "lang binary, term binary, docs long")
     return found.groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
@@ -186,11 +202,12 @@ def _recount(rows: DataFrame, volume: Shards, held_slots: int) -> DataFrame:
 
         def filled() -> Iterator[pa.RecordBatch]:
             for (lang, source), own in dense.items():
-                numbers = np.array(list(known.held[lang]), dtype=np.int64)
-                firsts = np.array([x[0] for x in known.held[lang].values()], dtype=np.int64)
+                of = known.held[lang]["shards"]
+                numbers = np.flatnonzero(of[1])  # shards held here, in the order of their slots
+                firsts = of[0, numbers]
                 at = np.flatnonzero(own)
                 where = np.searchsorted(firsts, at, side="right") - 1
-                arrays = [pa.array([x] * len(at), pa.binary()) for x in (lang, source)]
+                arrays = [pa.repeat(pa.scalar(x, pa.binary()), len(at)) for x in (lang, source)]
                 arrays += [pa.array(numbers[where], pa.int32()), pa.array(at - firsts[where], pa.int32()), pa.array(own[at], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, columns)
 
@@ -207,10 +224,9 @@ def _recount(rows: DataFrame, volume: Shards, held_slots: int) -> DataFrame:
                         dense, held = {}, 0
                     dense[group] = np.zeros(size, dtype=np.int64)
                     held += size
-                found = [(s, n) for t, n in own.items() if (s := known.slot(group[0], t)) >= 0]
-                if found:
-                    at, n = np.array(found, dtype=np.int64).T
-                    dense[group][at] += n
+                at = known.slots(group[0], list(own))
+                n = np.fromiter(own.values(), dtype=np.int64, count=len(own))
+                dense[group][at[at >= 0]] += n[at >= 0]
         yield from filled()
 
     return rows.mapInArrow(count, "lang binary, source binary, shard int, slot int, count long")

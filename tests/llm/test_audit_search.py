@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -47,8 +48,27 @@ def test_perfect_hash_is_minimal(n):
     seed, moves, slots = divergence.displaced(keys)
     assert sorted(slots) == list(range(n))
     held = divergence.Shards([(b"en", 1, 0, seed, moves, [keys[i] for i in np.argsort(slots)])])
-    assert sorted(held.slot(b"en", k) for k in keys) == list(range(n))
-    assert {held.slot(b"en", f"x{i}".encode()) for i in range(1000)} == {-1} == {held.slot(b"de", k) for k in keys}
+    assert sorted(held.slots(b"en", keys).tolist()) == list(range(n))
+    assert set(held.slots(b"en", [f"x{i}".encode() for i in range(1000)]).tolist()) == {-1} == set(held.slots(b"de", keys).tolist())
+
+
+def test_shards_with_seeds_and_gaps():
+    keys, rows = [f"t{i}".encode() for i in range(900)], []
+    for shard in (0, 2, 3):  # shard 1 is in another volume
+        own = [k for k in keys if crc32(k) % 4 == shard]
+        plain = divergence._mixed
+        if shard == 2:  # as if the first seeds had failed
+            divergence._mixed = lambda term, seed: plain(term, seed) if seed >= 3 else 5
+        try:
+            seed, moves, slots = divergence.displaced(own)
+        finally:
+            divergence._mixed = plain
+        assert seed == (3 if shard == 2 else 0)
+        rows.append((b"en", 4, shard, seed, moves, [own[i] for i in np.argsort(slots)]))
+    held = divergence.Shards(rows[::-1])
+    got = dict(zip(keys, held.slots(b"en", keys).tolist()))
+    assert sorted(s for s in got.values() if s >= 0) == list(range(held.size[b"en"]))
+    assert {k for k, s in got.items() if s < 0} == {k for k in keys if crc32(k) % 4 == 1}
 
 
 def brute_audit(rows, least, ranks):
