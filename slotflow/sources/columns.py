@@ -22,13 +22,22 @@ _PAD = f"[{SPACE.replace(_CELL_END, '')}]*"
 _HEADER_CELL = rf"(?<={_CELL_END}){_PAD}(?:{'|'.join(HEADER_WORDS)}){_PAD}(?={_CELL_END})"
 
 
+def _plain(text: Column) -> Column:
+    return F.translate(F.lower(text), " _", "")
+
+
+def holds_header_word(text: Column) -> Column:
+    """Does the text hold a header word anywhere? Cheap, and true of every text that holds a header cell."""
+    return F.rlike(_plain(text), F.lit("|".join(HEADER_WORDS)))
+
+
 def looks_like_header(cells: Column, min_hits: int = 2) -> Column:
     """A row of cells is a header when at least ``min_hits`` of them are header words.
 
     The row is joined and searched as one text, which stays in generated code.
     """
     joined = F.concat(F.lit(_CELL_END), F.concat_ws(_CELL_END, cells), F.lit(_CELL_END))
-    return F.regexp_count(F.translate(F.lower(joined), " _", ""), F.lit(_HEADER_CELL)) >= min_hits
+    return F.regexp_count(_plain(joined), F.lit(_HEADER_CELL)) >= min_hits
 
 
 def unique_header_names(headers: DataFrame, keys: Sequence[str], cells: str) -> DataFrame:
@@ -45,11 +54,16 @@ def unique_header_names(headers: DataFrame, keys: Sequence[str], cells: str) ->
     )
 
 
-def column_position(header: Column, live: Column, canonical: str) -> Column:
-    """0-based position of the first live header cell that spells ``canonical``.
+def live_words(header: Column, live: Column) -> Column:
+    """(pos, word) of the live header cells in normal form: worked out once for all canonical columns.
 
-    A repeated header is no match: its unique name carries a suffix.
+    A repeated header is left out: its unique name carries a suffix.
     """
-    spells = lambda c: F.coalesce(normalise_token(c).isin(SYNONYMS[canonical]), F.lit(False))
-    at = F.transform(header, lambda c, i: F.when(spells(c) & (F.array_position(header, c) == i + 1), i))
-    return F.array_min(F.array_intersect(F.array_compact(at), live))
+    told = lambda c, i: F.struct(i.alias("pos"), normalise_token(c).alias("word"), (F.array_position(header, c) == i + 1).alias("first"))
+    return F.filter(F.transform(header, told), lambda x: x["first"] & F.array_contains(live, x["pos"]))
+
+
+def column_position(words: Column, canonical: str) -> Column:
+    """0-based position of the first of ``live_words`` that spells ``canonical``."""
+    spelled = F.filter(words, lambda x: x["word"].isin(SYNONYMS[canonical]))
+    return F.array_min(F.transform(spelled, lambda x: x["pos"]))

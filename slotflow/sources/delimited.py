@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from slotflow.functions.text import SYNONYMS
 from slotflow.session import cut_lineage
-from slotflow.sources.columns import column_position, looks_like_header
+from slotflow.sources.columns import column_position, holds_header_word, live_words, looks_like_header
 from slotflow.sources.tables import FILE_SPAN, has_text, number_rows, row_id
 
 SEPARATORS = [",", ";", "|", "\t"]
@@ -33,24 +33,25 @@ def _escaped(sep: str) -> str:
     return "\\|" if sep == "|" else sep
 
 
-def _by_separator(sep: Column, pattern) -> Column:
-    out = F.lit(pattern(SEPARATORS[0]))
+def _by_separator(sep: Column, build) -> Column:
+    """The expression of the row's separator; each has a constant pattern, which is compiled once, not for every row."""
+    out = build(SEPARATORS[0])
     for s in SEPARATORS[1:]:
-        out = F.when(sep == s, pattern(s)).otherwise(out)
+        out = F.when(sep == s, build(s)).otherwise(out)
     return out
 
 
 def cells_of(line: Column, sep: Column) -> Column:
     """The cells of a record, without their quotes."""
-    each = _by_separator(sep, lambda s: f"(?s){_escaped(s)}({_cell(s)})")
-    found = F.regexp_extract_all(F.concat(sep, F.regexp_replace(line, "\r$", "")), each, F.lit(1))
+    record = F.concat(sep, F.regexp_replace(line, "\r$", ""))
+    found = _by_separator(sep, lambda s: F.regexp_extract_all(record, F.lit(f"(?s){_escaped(s)}({_cell(s)})"), F.lit(1)))
     bare = lambda c: F.replace(F.regexp_replace(c, f"(?s)^\"([^\"]*+(?:\"\"[^\"]*+)*+)\"", "$1"), F.lit('""'), F.lit('"'))
     return F.transform(found, lambda c: F.when(F.startswith(c, F.lit('"')), bare(c)).otherwise(c))
 
 
 def _whole(line: Column, sep: Column) -> Column:
     """Does every cell that begins on the line end on it?"""
-    return F.rlike(line, _by_separator(sep, lambda s: f"(?s)^{_cell(s)}(?:{_escaped(s)}{_cell(s)})*+$"))
+    return _by_separator(sep, lambda s: F.rlike(line, F.lit(f"(?s)^{_cell(s)}(?:{_escaped(s)}{_cell(s)})*+$")))
 
 
 def _cp1252_map() -> tuple[str, str]:
@@ -88,7 +89,9 @@ def csv_profiles(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = _lines(spark, path)
     line = F.ltrim(F.col("value"), F.lit("\ufeff"))
-    known = reduce(lambda a, b: a | b, [looks_like_header(F.split(F.replace(line, F.lit('"'), F.lit("")), _escaped(s), -1)) for s in SEPARATORS])
+    bare = F.replace(line, F.lit('"'), F.lit(""))
+    # lines without any header word, as most are, need not be split
+    known = F.when(holds_header_word(bare), reduce(lambda a, b: a | b, [looks_like_header(F.split(bare, _escaped(s), -1)) for s in SEPARATORS]))
     at = F.struct("file_part", "__pos")
     files = lines.groupBy("file").agg(
         F.min_by(line, F.when(known, at)).alias("header"),
@@ -164,7 +167,8 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
             "__nth": F.row_number().over(along),
         }
     ).select("file", "file_part", "__pos", "__nth", "line", "sep", "fixed", "flip")
-    lines = _states(mapped, ["file", "file_part"], ["__pos"])
+    # written once: the split table and the records both read it
+    lines = cut_lineage(_states(mapped, ["file", "file_part"], ["__pos"]))
     splits = cut_lineage(_split_table(lines))
     placed = lines.join(splits, (F.col("file") == F.col("s_file")) & (F.col("file_part") == F.col("s_part")))
     if splits.filter("breaks").isEmpty():  # every record is a line
@@ -193,15 +197,17 @@ def read_csv_files(spark: SparkSession, path: str) -> DataFrame:
     above it is left out; lines end in LF or CRLF. Adds ``row_id``, ``source_file`` and ``file_part`` in file order. Empty
     files, empty cells and columns without a known header give nothing.
     """
-    records = csv_records(spark, path).filter(has_text(F.col("cells")))
+    # written once: headers and rows both read the cells
+    records = cut_lineage(csv_records(spark, path)).filter(has_text(F.col("cells")))
     at = F.struct("file_part", "nth")
     heads = records.groupBy("file").agg(
         F.min_by(F.struct(at.alias("at"), "cells"), F.when(looks_like_header(F.col("cells")), at)).alias("named"), F.min(F.struct(at.alias("at"), "cells")).alias("first")
     )
     head = F.coalesce("named", "first")
     every = F.sequence(F.lit(0), F.size(head["cells"]) - 1)
-    places = F.struct(*[column_position(head["cells"], every, c).alias(c) for c in SYNONYMS])
-    layout = number_rows(heads.select("file", head["at"].alias("__at"), places.alias("__l")), ["file"], "__no")
+    places = F.struct(*[column_position(F.col("__words"), c).alias(c) for c in SYNONYMS])
+    worded = heads.withColumn("__words", live_words(head["cells"], every))
+    layout = number_rows(worded.select("file", head["at"].alias("__at"), places.alias("__l")), ["file"], "__no")
     # Every line takes at least one byte, so split + line number ascends within a file.
     number = row_id(F.col("__no"), F.col("file_part") + F.col("nth") - 1, FILE_SPAN)
     return (

@@ -12,7 +12,7 @@ from slotflow.functions.ordered import fill_forward, join_null_safe, running
 from slotflow.functions.text import SYNONYMS, is_filled
 from slotflow.schema import conform
 from slotflow.session import cut_lineage
-from slotflow.sources.columns import column_position, looks_like_header
+from slotflow.sources.columns import column_position, live_words, looks_like_header
 
 FILE_SPAN = 40  # row ids leave 2**40 positions per file
 
@@ -72,6 +72,7 @@ def locate_blocks(cells: DataFrame) -> DataFrame:
             "__chunk": F.shiftright(F.col("row_idx"), _CHUNK_BITS),
         }
     ).withColumn("__h", F.when(F.col("is_header"), F.col("row_idx")))
+    flagged = cut_lineage(flagged)  # the fill reads the rows three times
     found = fill_forward(flagged, _SHEET, "__h", "__chunk", "row_idx", "__found", then_back=True)
     return found.withColumns(
         {"header_idx": F.coalesce(F.col("__found"), F.lit(0).cast("bigint")), "detected": F.col("__found").isNotNull()}
@@ -96,7 +97,8 @@ def block_layout(rows: DataFrame) -> DataFrame:
     )
     headers = rows.filter(F.col("row_idx") == F.col("header_idx")).select(*_BLOCK, "detected", F.col("cells").alias("header"))
     kept = join_null_safe(headers, live, _BLOCK).filter(~F.col("detected") | (F.size("live") >= 3))
-    return kept.select(*_BLOCK, *[column_position(F.col("header"), F.col("live"), c).alias(c) for c in SYNONYMS])
+    worded = kept.withColumn("words", live_words(F.col("header"), F.col("live")))
+    return worded.select(*_BLOCK, *[column_position(F.col("words"), c).alias(c) for c in SYNONYMS])
 
 
 def one_block(cells: DataFrame) -> DataFrame:
