@@ -6,12 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, LongType
 
-from slotflow.functions.ordered import band_parts, band_sums, next_rows, running_number
+from slotflow.functions.ordered import band_parts, band_sums, join_null_safe, next_rows, running_number
 from slotflow.functions.scoring import rotation_weight
 from slotflow.functions.times import HOUR, micros, slot_start
 from slotflow.operators.scope import has_any, in_groups, primary_time, scope_airport
 from slotflow.session import cut_lineage
+from slotflow.sources.tables import number_rows
 
 # Fixed values of the dependency model.
 GATE_WEIGHT = 0.35
@@ -138,47 +140,56 @@ def crew_links(df: DataFrame, incoming: bool = True, by: Sequence[str] = ()) ->
     )
 
 
+def _node(row_id: Column, kind: DataType) -> list[Column]:
+    """``id`` and ``no_id``: a row id as two columns that are never NULL, which a grouping and a join share."""
+    if not isinstance(kind, LongType):  # a struct of columns
+        return [row_id.alias("id"), F.lit(False).alias("no_id")]
+    return [F.coalesce(row_id, F.lit(0)).cast("bigint").alias("id"), row_id.isNull().alias("no_id")]
+
+
 def propagate(
     df: DataFrame, steps: int, decay: float, direction: str = "incoming", by: Sequence[str] = ()
 ) -> DataFrame:
     """(row_id, reach) of movements on any path: sum over k of decay^k times the k-step path weight.
 
     Each movement carries its few explicit edges, so a step sends weight along them
-    without an edge join; crew links are sliding sums per carrier, which reach each movement
-    as at most two parts. So a step deals the movements twice: by carrier and time for the
-    sliding sums, and by row id for the sum of what a movement got. Its result is written to the
-    checkpoint folder: neither the plan nor a recomputation after a lost executor grows
-    with the steps.
+    without an edge join. Movements of a carrier that depart at one instant have the same crew
+    partners: they are one cell, so the sliding sums run over cells. What a movement
+    gets is summed by row id, as plain numbers, and only then meets its edges. A step's result is
+    written to the checkpoint folder: neither the plan nor a recomputation after a lost executor
+    grows with the steps.
     """
     if direction not in ("incoming", "outgoing"):
         raise ValueError(f"direction must be 'incoming' or 'outgoing', not {direction!r}")
     incoming = direction == "incoming"
-    known = ["__t", *by, "carrier", "links"]
+    # written once: every kind of edge reads it twice (borders of blocks, then rows), the steps once more
+    df = cut_lineage(df.select("row_id", *by, "carrier", "tail_number", "gate", "sched_dep", "sched_arr"))
     rows = df.count()
     links = _links(dependency_edges(df, 5, by, rows), incoming)
-    fixed = df.select("row_id", *by, "carrier", micros("sched_dep").alias("__t")).join(links, "row_id", "left")
-    none = F.lit(None).cast("double")
-    state = cut_lineage(fixed.select("row_id", F.struct(*known).alias("fixed"), F.lit(1.0).alias("s"), F.lit(0.0).alias("reach")))
+    cell = [*by, "carrier", "__t"]
+    points = df.select("row_id", *by, "carrier", micros("sched_dep").alias("__t"))
+    cells = cut_lineage(number_rows(points.filter("carrier IS NOT NULL AND __t IS NOT NULL").select(*cell).distinct(), cell, "cell"))
+    instants = cells.count()
+    fixed = join_null_safe(points.join(links, "row_id", "left"), cells, cell, "left")
+    node = _node(F.col("row_id"), df.schema["row_id"].dataType)
+    state = cut_lineage(fixed.select(*node, "cell", "links", F.lit(1.0).alias("s"), F.lit(0.0).alias("reach")))
     factor = decay
-    for _ in range(steps):
-        sending = state.filter(F.col("s") != 0)
-        direct = sending.select("s", F.explode("fixed.links").alias("e")).select(
-            F.col("e.to").alias("row_id"), (F.col("e.weight") * F.col("s")).alias("s")
-        )
-        points = state.select("row_id", "s", "fixed.*").filter(F.col("carrier").isNotNull())
-        crew = band_parts(
-            points, [*by, "carrier"], "__t", *_crew_band(incoming), {"__n": F.col("s")}, {"__gap": "__n"}, HOUR, ["row_id"], rows
-        ).select("row_id", _crew_weight(incoming).alias("s"))
-        gained = direct.unionByName(crew.filter("s != 0")).select("row_id", F.lit(None).cast(state.schema["fixed"].dataType).alias("fixed"), "s", none.alias("reach"))
-        kept = state.select("row_id", "fixed", none.alias("s"), "reach")
-        total = F.coalesce(F.sum("s"), F.lit(0.0))
-        state = cut_lineage(
-            kept.unionByName(gained)
-            .groupBy("row_id")
-            .agg(F.first("fixed", True).alias("fixed"), total.alias("s"), (F.sum("reach") + total * F.lit(factor)).alias("reach"))
-        )
+    for step in range(steps):
+        sent = F.col("e.weight") * F.col("s")
+        to = _node(F.col("e.to"), df.schema["row_id"].dataType)
+        direct = state.filter(F.col("s") != 0).select("s", F.explode("links").alias("e")).select(*to, sent.alias("s"))
+        held = cells.join(state.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("s").alias("s")), "cell")
+        crew = band_parts(held, [*by, "carrier"], "__t", *_crew_band(incoming), {"__n": F.col("s")}, {"__gap": "__n"}, HOUR, ["cell"], instants)
+        weight = crew.select("cell", _crew_weight(incoming).alias("s")).filter("s != 0").groupBy("cell").agg(F.sum("s").alias("s"))
+        gained = direct.unionByName(state.select("id", "no_id", "cell").join(weight, "cell").drop("cell"))
+        got = gained.groupBy("id", "no_id").agg(F.sum("s").alias("got"))
+        s = F.coalesce("got", F.lit(0.0))
+        kept = state.drop("s").join(got, ["id", "no_id"], "left")
+        if step == 0:  # rows of one row id are one movement from here on; they start with the same reach
+            kept = kept.dropDuplicates(["id", "no_id"])
+        state = cut_lineage(kept.select("id", "no_id", "cell", "links", s.alias("s"), (F.col("reach") + s * F.lit(factor)).alias("reach")))
         factor *= decay
-    return state.select("row_id", "reach")
+    return state.select(F.when(~F.col("no_id"), F.col("id")).alias("row_id"), "reach")
 
 
 def _base_delay(df: DataFrame, base_delay_col: str) -> Column:
